@@ -215,3 +215,69 @@ VERDICTS = (
     (40, "Competitors Are Winning"),
 )
 LOWEST_VERDICT = "Rewrite / Merge / Noindex Candidate"
+
+# --- fixed values: article score categories -----------------------------------------------------
+# key, name, maximum, (excellent, good, warning) cut-offs, difficulty, priority, confidence,
+# evidence when nothing is wrong
+SCORE_CATEGORIES = (
+    ("crawl", "Crawl & Index Clarity", 7, (6, 4, 2), "easy", 1, 85,
+     "No critical crawl issues detected"),
+    ("technical", "Technical SEO Foundation", 7, (6, 4, 2), "medium", 2, 80,
+     "Technical basics look good"),
+    ("intent", "Search Intent Match", 12, (10, 7, 4), "medium", 1, 75,
+     "Content appears to match search intent"),
+    ("depth", "Content Depth & Usefulness", 12, (10, 7, 4), "hard", 2, 80,
+     "Content depth appears reasonable"),
+    ("competitors", "Competitor Defense", 10, (8, 6, 4), "hard", 3, 70,
+     "Competitive position looks adequate"),
+    ("trust", "E-E-A-T / Trust / Source Quality", 12, (10, 7, 4), "medium", 2, 80,
+     "Trust signals appear adequate"),
+    ("internal_links", "Internal Link Power", 9, (7, 5, 3), "easy", 3, 75,
+     "Internal linking appears healthy"),
+    ("snippet", "CTR / SERP Snippet Power", 6, (5, 3, 2), "easy", 2, 85,
+     "Snippet elements look clickable"),
+    ("extractability", "AI Search Extractability", 8, (7, 5, 3), "medium", 2, 70,
+     "Content is reasonably extractable by AI"),
+    ("freshness", "Freshness / Decay Risk", 5, (4, 3, 2), "easy", 3, 70,
+     "Content appears reasonably fresh"),
+    ("conversion", "Conversion Path Quality", 5, (4, 3, 2), "medium", 3, 65,
+     "Conversion path looks adequate"),
+    ("cannibalization", "Cannibalization Risk Control", 5, None, "medium", 4, 40,
+     "No sitemap provided — cannibalization check requires sitemap or multiple article URLs"),
+    ("topical", "Topical Authority Fit", 2, None, "hard", 5, 30,
+     "Topical authority requires full site analysis"),
+)
+CONSTANT_SCORES = {"cannibalization": (5, "good"), "topical": (1, "warning")}
+SCORE_WITHOUT_COMPETITORS = 5
+
+# --- fixed values: article failure rules --------------------------------------------------------
+# key, type, confidence, impact, effort, priority, fix (a column may replace the fix)
+FAILURE_RULES = (
+    ("title", "Missing Title Tag", 99, "high", "easy", 1,
+     "Add a keyword-rich title tag under 60 characters"),
+    ("h1", "Missing H1", 99, "high", "easy", 1, "Add one clear H1 with your primary keyword"),
+    ("thin", "Thin Content", 90, "high", "hard", 2,
+     "Expand to at least 1,000+ words with practical, useful content"),
+    ("faq", "No FAQ Section", 85, "medium", "medium", 2,
+     "Add 5–8 FAQ questions covering common user questions"),
+    ("links", "No Internal Links", 95, "medium", "easy", 2,
+     "Add 3–5 internal links to related articles on your site"),
+    ("author", "Missing Author / E-E-A-T Signal", 80, "medium", "easy", 3,
+     "Add author name and brief bio"),
+    ("date", "No Publication/Update Date", 75, "medium", "easy", 3,
+     "Add visible publication date and last-updated date"),
+    ("sources", "No Official Sources for Visa/Travel", 90, "high", "medium", 1,
+     "Add links to official embassy or government visa pages"),
+    ("overclaim", "Compliance Risk: Overclaim Language", 95, "high", "easy", 1,
+     "Remove guarantee language; use softer, evidence-based wording"),
+    ("meta", "Missing Meta Description", 99, "medium", "easy", 2,
+     "Write a 150–160 char meta description with keyword + CTA"),
+    ("keyword", "Keyword Missing from Title", 80, "high", "easy", 1, None),
+    ("tables", "No Tables in Visa/Travel Content", 85, "medium", "medium", 2,
+     "Add a document checklist table or fee/timeline comparison table"),
+    ("structure", "Poor Content Structure", 90, "medium", "medium", 2,
+     "Add 5–8 H2 sections covering all major subtopics"),
+    ("competitor_faq", "Competitor FAQ Gap", 85, "high", "medium", 1,
+     "Build a comprehensive FAQ section"),
+    ("competitor_depth", "Content Depth Far Below Competitors", 85, "high", "hard", 1, None),
+)
