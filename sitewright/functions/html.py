@@ -74,12 +74,11 @@ def attr(tag: Column, name: str) -> Column:
 
     Empty text when the attribute is absent or empty.
     """
-    raw = F.regexp_extract(
-        tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)""", 1
-    )
-    return decode_entities(
-        F.regexp_replace(raw, r"""(?s)^(?:"([^"]*)"|'([^']*)'|(.*))$""", "$1$2$3")
-    )
+    return decode_entities(F.call_function(
+        "regexp_replace",
+        F.regexp_extract(
+            tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)""", 1),
+        F.lit(r"""(?s)^(?:"([^"]*)"|'([^']*)'|(.*))$"""), F.lit("$1$2$3")))
 
 
 def tag_text(h: Column) -> Column:

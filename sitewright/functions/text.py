@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -25,6 +26,8 @@ ANY_TAG = rf"<[a-zA-Z/!?]{TAG_BODY}(?:>|\z)"
 _NAMED = {f"&{n};": chr(cp) for n, cp in name2codepoint.items() if n != "amp"}
 _NAMED |= {"&apos;": "'"} | {f"&{n}": chr(name2codepoint[n]) for n in ("lt", "gt", "quot", "nbsp")}
 
+_NAMED_JSON = json.dumps(_NAMED).replace("'", "\\u0027")
+
 
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, however often the body reads it."""
@@ -55,52 +58,46 @@ def null_if_blank(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _from_codepoint(cp: Column) -> Column:
-    ok = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    return F.when(ok, char).otherwise(F.lit("�"))
+def apply_sql(lambda_sql: str, c: Column) -> Column:
+    """A one-argument SQL lambda applied to `c`.
+
+    Written as SQL text because these building blocks occur dozens of times in one plan, and a
+    text costs one call to the JVM where the same tree of Column objects costs hundreds.
+    """
+    return F.get(F.call_function("transform", F.array(c), F.expr(lambda_sql)), F.lit(0))
+
+
+DECODE_SQL = f"""
+x -> CASE WHEN contains(x, '&') THEN replace(replace(
+  get(transform(
+    array(aggregate(
+      sort_array(filter(
+        array_distinct(regexp_extract_all(x, r'&(?:[A-Za-z][A-Za-z0-9]{{1,31}};|lt|gt|quot|nbsp)', 0)),
+        e -> e <> '&amp;'), false),
+      x,
+      (acc, e) -> replace(
+        acc, e, coalesce(try_element_at(from_json(r'{_NAMED_JSON}', 'map<string,string>'), e), e)))),
+    y -> CASE WHEN contains(y, '&#') THEN aggregate(
+      sort_array(array_distinct(
+        regexp_extract_all(y, r'&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});?', 0)), false),
+      y,
+      (acc, e) -> replace(acc, e, get(transform(
+        array(cast(CASE WHEN lower(e) LIKE '&#x%'
+                        THEN conv(regexp_replace(e, '[&#;xX]', ''), 16, 10)
+                        ELSE regexp_replace(e, '[&#;]', '') END AS bigint)),
+        cp -> CASE WHEN cp BETWEEN 1 AND 1114111 AND NOT cp BETWEEN 55296 AND 57343
+                   THEN decode(unhex(lpad(hex(cp), 8, '0')), 'UTF-32') ELSE '\ufffd' END), 0)))
+      ELSE y END), 0),
+  '&amp;', '&'), '&amp', '&') ELSE x END
+"""
 
 
 def decode_entities(c: Column) -> Column:
-    """Character references to characters; `&amp;` last so that it is decoded once only."""
-    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
-
-    def named(text: Column) -> Column:
-        found = F.regexp_extract_all(
-            text, F.lit(r"&(?:[A-Za-z][A-Za-z0-9]{1,31};|lt|gt|quot|nbsp)"), F.lit(0)
-        )
-        other = F.filter(F.array_distinct(found), lambda e: e != "&amp;")
-        return F.aggregate(
-            F.sort_array(other, asc=False),
-            text,
-            lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), e)),
-        )
-
-    def one_number(acc: Column, e: Column) -> Column:
-        body = F.regexp_replace(e, "[&#;]", "")
-        cp = F.when(
-            F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 8), 16, 10)
-        ).otherwise(body)
-        return F.replace(acc, e, let(cp.cast("bigint"), _from_codepoint))
-
-    def numeric(text: Column) -> Column:
-        found = F.regexp_extract_all(
-            text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"), F.lit(0)
-        )
-        return F.when(
-            F.contains(text, F.lit("&#")),
-            F.aggregate(F.sort_array(F.array_distinct(found), asc=False), text, one_number),
-        ).otherwise(text)
-
-    def ampersand(text: Column) -> Column:
-        return F.replace(F.replace(text, F.lit("&amp;"), F.lit("&")), F.lit("&amp"), F.lit("&"))
-
-    return let(
-        c,
-        lambda x: F.when(
-            F.contains(x, F.lit("&")), ampersand(let(named(x), numeric))
-        ).otherwise(x),
-    )
+    """Character references to characters: named ones, then numeric ones, then ampersands.
+
+    `&amp;` comes last so that it is decoded once only.
+    """
+    return apply_sql(DECODE_SQL, c)
 
 
 def strip_tags(c: Column) -> Column:

@@ -28,12 +28,24 @@ def with_page_defaults(df: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Small input over all cores; input with a partition per core or more is left as it is.
+
+    Reading markup costs far more than moving it when the input is one small file.  A large table
+    has many splits already, and its markup is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return with_page_defaults(spark.read.parquet(path))
+    return spread(with_page_defaults(spark.read.parquet(path)), "page_id")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path), "doc_id")
 
 
 def documents_as_pages(documents: DataFrame) -> DataFrame:
