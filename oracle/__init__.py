@@ -1,0 +1,7 @@
+"""DuckDB SQL that computes the same tables as the registered queries."""
+
+
+def all_sql() -> dict[str, str]:
+    from oracle import documents_sql, pages_sql
+
+    return {**pages_sql.SQL, **documents_sql.SQL}

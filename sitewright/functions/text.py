@@ -133,3 +133,11 @@ def keep(cond: Column, value) -> Column:
 
 def compact(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
+
+
+def escape_html(c: Column) -> Column:
+    """Text that can stand inside markup."""
+    out = F.coalesce(c, F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out

@@ -122,3 +122,13 @@ def input_markup(parsed: DataFrame) -> DataFrame:
     """`html` of an input without a fetched page: its own markup, else its text as a body."""
     body = F.concat(F.lit("<html><body>"), "raw_article_text", F.lit("</body></html>"))
     return parsed.withColumn("html", F.coalesce("raw_html", body))
+
+
+def complete_inputs(articles: DataFrame) -> DataFrame:
+    """Article type and keyword of parsed inputs, completed from the features of the article."""
+    c = F.col
+    return articles.withColumns({
+        "detected_article_type": upgraded_type(c("detected_article_type"), c("main_text")),
+        "detected_keyword": F.coalesce(
+            c("detected_keyword"), inferred_keyword(c("main_url"), c("h1"), c("title"))),
+    })
