@@ -2,6 +2,6 @@
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import documents_sql, pages_sql
+    from oracle import derived_sql, documents_sql, pages_sql
 
-    return {**pages_sql.SQL, **documents_sql.SQL}
+    return {**pages_sql.SQL, **documents_sql.SQL, **derived_sql.SQL}

@@ -179,7 +179,7 @@ def _failure_rows() -> str:
 FAILURES = (f"fl0 AS ({_failure_rows()}), fl AS (SELECT *, row_number() OVER (PARTITION BY article_id "
             "ORDER BY priority, rule) AS rank FROM fl0), fa AS (SELECT article_id, count(*) AS n, "
             "count(*) FILTER (impact = 'high') AS high, bool_or(type = 'Thin Content') AS thin, "
-            "array_to_string((list(type || ': ' || split_part(evidence, '|', 1) ORDER BY rank))[:5], '|') AS problems, "
+            "array_to_string((list(type || ': ' || CASE WHEN rule = 9 THEN split_part(evidence, '|', 1) ELSE evidence END ORDER BY rank))[:5], '|') AS problems, "
             "array_to_string((list(fix ORDER BY rank))[:5], '|') AS fixes, "
             "list_extract(list(type ORDER BY rank), 1) AS worst FROM fl GROUP BY article_id)")
 DECISION = ("CASE WHEN thin AND w < 300 THEN 'Rebuild From Scratch' WHEN high >= 4 THEN 'Major Rewrite' "
@@ -218,7 +218,7 @@ SQL = {
                          "length(substr(body, 1, 10000))::BIGINT AS main_text_length FROM da"),
     "article_signals": docs("""SELECT article_id, faq AS has_faq, phone AS has_phone, email AS has_email,
         line AS has_line, phone OR email OR line AS has_contact_info,
-        CASE WHEN has_article THEN array_to_string(cta, '|') END AS cta_phrases,
+        array_to_string(cta, '|') AS cta_phrases,
         array_to_string(claims, '|') AS overclaims, false AS has_author, false AS has_date FROM da"""),
     "article_questions": docs("SELECT article_id, coalesce(array_to_string(asked, '|'), '') AS questions_found FROM da"),
     "article_repeated_phrases": docs(r"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewright.functions import urls as U
 from sitewright.functions.ranking import reuse, top_k
+from sitewright.operators import answers as A
 from sitewright.operators import issues as I
 from sitewright.operators import keywords as K
 from sitewright.operators import page_ranking as R
@@ -22,6 +23,15 @@ from sitewright.operators.inputs import (
     safe_inputs,
 )
 from sitewright.operators.page_features import page_features, page_links
+from sitewright.operators.competitors import (
+    competitor_report, difficulty_band, keyword_table, markets,
+)
+from sitewright.operators.costs import answer_visibility, api_costs, model_costs, scan_costs
+from sitewright.operators.reports import (
+    article_contexts, markdown_reports, rewrite_prompts, site_contexts,
+)
+from sitewright.plans import derived as D
+from sitewright.sources.serp import ranked_keywords
 from sitewright.operators.scoring import article_scores, article_verdicts, score_band
 from sitewright.sources.pages import pages_as_articles, read_documents, read_pages
 
@@ -352,5 +362,146 @@ def _document_queries() -> dict:
     }
 
 
+def _derived_queries() -> dict:
+    c = F.col
+
+    def table(name):
+        return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    def over(name, fn):
+        return lambda spark, sf_dir: tidy(fn(table(name)(spark, sf_dir)))
+
+    def shop_features(spark, sf_dir):
+        return remembered(spark, sf_dir, "shop_features", lambda: page_features(
+            D.marked_up_pages(read_documents(spark, f"{sf_dir}/documents.parquet"))))
+
+    def stored_shop_features(spark, sf_dir):
+        return remembered(spark, sf_dir, "stored_shop_features",
+                          lambda: reuse(shop_features(spark, sf_dir), "shop_features"))
+
+    def shop_facts(spark, sf_dir):
+        return remembered(spark, sf_dir, "shop_facts",
+                          lambda: S.site_facts(stored_shop_features(spark, sf_dir)))
+
+    def shop(fn):
+        return lambda spark, sf_dir: tidy(fn(stored_shop_features(spark, sf_dir)))
+
+    def facts(fn):
+        return lambda spark, sf_dir: tidy(fn(shop_facts(spark, sf_dir)))
+
+    def both(fn):
+        return lambda spark, sf_dir: tidy(
+            fn(shop_facts(spark, sf_dir), stored_shop_features(spark, sf_dir)))
+
+    def responses(features: DataFrame) -> DataFrame:
+        return D.rank_responses(token_ranks(features))
+
+    def ranked(fn):
+        return lambda spark, sf_dir: tidy(fn(responses(stored_features_of(spark, sf_dir))))
+
+    def reports(fn):
+        def run(spark, sf_dir):
+            a = articles_of(spark, sf_dir)
+            rows = F.sort_array(F.collect_list(F.struct(
+                "position", "name", "score", "max_score", "status", "evidence")))
+            categories = article_scores(a).groupBy("article_id").agg(rows.alias("categories"))
+            whole = with_failures(a).join(article_verdicts(a), "article_id").join(
+                article_findings(a), "article_id").join(categories, "article_id")
+            return tidy(fn(whole.withColumn("id", c("article_id"))))
+        return run
+
+    def checked(answers: DataFrame) -> DataFrame:
+        df = A.checked_site_answers(answers)
+        full = A.with_empty_lists(c("answer"))
+        return df.select(
+            "scan_id", "is_parsed", "missing", "is_accepted",
+            F.size(full["contentGaps"]).alias("n_gaps"), F.size(full["quickWins"]).alias("n_quick_wins"))
+
+    def competitor_rows(features: DataFrame) -> DataFrame:
+        pairs = largest_site_and_rivals(features)
+        sizes = features.groupBy(c("site").alias("competitor")).agg(F.count("*").alias("n"))
+        order = F.row_number().over(Window.partitionBy("site").orderBy(c("n").desc(), "competitor"))
+        listed = pairs.join(sizes, "competitor").select(
+            c("site").alias("target"), order.alias("at"), c("competitor").alias("domain"),
+            c("n").alias("shared_keywords"), (c("n") * 2).alias("missing_keywords"))
+        rows = ranked_keywords(responses(features))
+        report = competitor_report(listed, rows, rows)
+        return report.select(
+            "target", "rank", "domain", "estimated_visibility", "shared_keywords",
+            "missing_keywords", "suggested_action", F.size("top_keywords").alias("n_keywords"),
+            "keyword_gaps")
+
+    return {
+        "markup_head": lambda spark, sf_dir: tidy(shop_features(spark, sf_dir).select(
+            "page_id", "site", "page_type", "title", "meta_description", "meta_robots",
+            "canonical", "viewport", "has_og_title", "has_og_image", "has_og_description",
+            F.size("hreflang").alias("n_hreflang"), "is_noindex", "is_nofollow",
+            "canonical_is_self", "canonical_mismatch", "brand_colors")),
+        "markup_schema": lambda spark, sf_dir: tidy(shop_features(spark, sf_dir).select(
+            "page_id", c("schemas.type").alias("schema_types"), "has_organization_schema",
+            "has_product_schema", "has_faq_schema", "has_breadcrumb_schema", "has_article_schema",
+            "has_website_schema")),
+        "markup_body": lambda spark, sf_dir: tidy(shop_features(spark, sf_dir).select(
+            "page_id", "h1", "h1_count", "h2s", "h3s", "has_multiple_h1", "heading_hierarchy_ok",
+            "image_count", "missing_alt_count", "images_with_alt", "has_table",
+            "has_numbered_list", "has_cta_button", "has_faq", "has_table_of_contents",
+            "has_author", "has_date", "has_contact_info", "word_count", "paragraph_count",
+            "body_snippet")),
+        "markup_links": lambda spark, sf_dir: tidy(shop_features(spark, sf_dir).select(
+            "page_id", "internal_link_count", "external_nofollow_count",
+            "external_dofollow_count", "nav_items", "broken_nav_items")),
+        "markup_site_scores": facts(S.site_scores),
+        "markup_site_issues": both(lambda f, p: I.site_issues(f, p).select(
+            "site", "issue_id", "rule_no", "priority", "affected_count")),
+        "markup_schema_summary": both(lambda f, p: I.site_issues(f, p, with_examples=False).filter(
+            "issue_id = 'no_schema_markup'").select("site", c("found.page").alias("pages"))),
+        "markup_strengths": facts(lambda f: S.site_strengths(f).select(
+            "site", F.inline("strengths"))),
+        "markup_recommended_sitemap": shop(lambda p: S.recommended_sitemap(p).select(
+            "site", "collections", "pages", "blogs", "other")),
+        "markup_schema_coverage": facts(S.schema_coverage),
+        "markup_type_counts": shop(S.page_type_counts),
+        "markup_languages": shop(S.site_languages),
+        "markup_markets": facts(lambda f: f.select("site", F.transform(
+            markets(c("languages")),
+            lambda m: F.concat_ws("/", m["location"], m["language"])).alias("markets"))),
+        "markup_crawl_queue": shop(S.crawl_queue),
+        "markup_broken_pages": shop(lambda p: S.broken_pages(p).select("page_id", "site")),
+        "ranked_keyword_rows": ranked(lambda r: ranked_keywords(r).withColumn(
+            "difficulty_band", difficulty_band(c("keyword_difficulty")))),
+        "keyword_tables": lambda spark, sf_dir: tidy(keyword_table(
+            token_ranks(stored_features_of(spark, sf_dir)).select(
+                c("site").alias("target"), "keyword", "search_volume")).select(
+            "target", "rank", "keyword", "search_volume")),
+        "competitor_report": lambda spark, sf_dir: tidy(
+            competitor_rows(stored_features_of(spark, sf_dir))),
+        "model_costs": over("conversations", lambda d: model_costs(D.model_usage(d)).groupBy(
+            "scan_id", "model").agg(
+            F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+            F.round(F.sum("cost_usd"), 6).alias("cost_usd"))),
+        "api_costs": over("events", lambda d: api_costs(D.api_calls(d)).withColumn(
+            "cost_usd", F.round("cost_usd", 4))),
+        "scan_costs": lambda spark, sf_dir: tidy(scan_costs(
+            model_costs(D.model_usage(table("conversations")(spark, sf_dir))),
+            D.api_calls(table("events")(spark, sf_dir))).select(
+            "scan_id", "input_tokens", "output_tokens",
+            F.round("total_cost_usd", 4).alias("total_cost_usd"),
+            F.round("total_cost_thb", 2).alias("total_cost_thb"))),
+        "answer_visibility": over("events", lambda d: answer_visibility(D.prompt_probes(d))),
+        "site_answers": over("documents", lambda d: checked(D.site_answers(d))),
+        "error_classes": over("conversations", lambda d: D.error_log(d).select(
+            "conv_id", "turn", A.error_class(c("message")).alias("error_class"),
+            A.is_retryable(c("message")).alias("is_retryable"))),
+        "pasted_inputs": over("pages", lambda d: parse_inputs(D.pasted_inputs(d)).select(
+            "input_id", "main_url", "sitemap_url", "competitor_urls", "detected_keyword",
+            "confidence")),
+        "markdown_reports": reports(markdown_reports),
+        "rewrite_prompts": reports(rewrite_prompts),
+        "article_contexts": lambda spark, sf_dir: article_contexts(articles_of(spark, sf_dir)),
+        "site_contexts": both(lambda f, p: site_contexts(
+            f, p, I.site_issues(f, p, with_examples=False))),
+    }
+
+
 def queries() -> dict:
-    return {**_page_queries(), **_document_queries()}
+    return {**_page_queries(), **_document_queries(), **_derived_queries()}
