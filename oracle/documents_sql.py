@@ -258,6 +258,9 @@ SQL = {
     "competitor_averages": docs(COMPETITORS, """SELECT article_id, n_comp AS n_competitors,
         mean_words AS competitor_mean_words, n_faq AS n_competitors_with_faq,
         0::BIGINT AS n_competitors_with_tables FROM avgs"""),
+    "scan_rows": docs(COMPETITORS, SCORES, FAILURES, SCANS, """SELECT id, raw_input, score, verdict, final_decision,
+        (score::BIGINT)::VARCHAR AS json_total, n AS json_failures
+        FROM sn JOIN fa ON sn.id = fa.article_id::VARCHAR"""),
     "recent_scans": docs(COMPETITORS, SCORES, FAILURES, SCANS,
                          f"SELECT {_LISTED} FROM sn ORDER BY created_at DESC, id LIMIT 50"),
     "scan_by_id": docs(COMPETITORS, SCORES, FAILURES, SCANS, f"SELECT {_LISTED} FROM sn WHERE id = '7'"),

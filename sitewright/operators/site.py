@@ -160,12 +160,7 @@ def _page_counts(features: DataFrame) -> DataFrame:
         "live_fetch_ms": F.sum(F.when(live, c("fetch_ms"))),
         "no_h2": _n(live & kind.isin("home", "product", "category", "blog", "service")
                     & (c("h2_count") == 0) & (c("word_count") > 200)),
-        # first pages
-        "first_url": F.min_by("url", "page_id"),
-        "brand_colors": F.min_by("brand_colors", "page_id"),
-        "home": F.min_by(
-            F.struct("url", "title", "nav_items"),
-            F.when(kind == "home", c("page_id"))),
+        # whether the first page of a kind carries its structured data
         "home_org": F.min_by("has_organization_schema",
                              F.when(live & (kind == "home"), c("page_id"))),
         "product_schema": F.min_by("has_product_schema",
@@ -177,11 +172,25 @@ def _page_counts(features: DataFrame) -> DataFrame:
     return features.groupBy("site").agg(*[e.alias(n) for n, e in counts.items()])
 
 
+def _first_pages(features: DataFrame) -> DataFrame:
+    """Texts of the first page and of the home page of a site.
+
+    Kept apart from the counts: text in an aggregation buffer forces a sort-based aggregate, which
+    here sorts a few columns only, while the counts stay in a hash aggregate.
+    """
+    c = F.col
+    return features.groupBy("site").agg(
+        F.min_by(F.struct("url", "brand_colors"), "page_id").alias("first"),
+        F.min_by(
+            F.struct("url", "title", "nav_items"),
+            F.when(c("page_type") == "home", c("page_id"))).alias("home"))
+
+
 def site_facts(features: DataFrame, *, sitemaps: DataFrame | None = None,
                robots: DataFrame | None = None, sitemap_urls: DataFrame | None = None) -> DataFrame:
     """One row of facts per site.
 
-    `features` comes from `page_features`; hand in a stored table, it is read four times.
+    `features` comes from `page_features`; hand in a stored table, it is read five times.
     `sitemaps` and `robots` are the per-site tables of `sources.sitemaps`; without them a site has
     neither.  Every part is hashed by site already, so the joins add no shuffle of their own.
     """
@@ -194,7 +203,7 @@ def site_facts(features: DataFrame, *, sitemaps: DataFrame | None = None,
         F.count_if(c("n_ok") > 0).alias("ok_titles"),
         F.count_if(c("n_live") > 1).alias("duplicate_titles"),
     )
-    df = _page_counts(features).join(found, "site", "left").join(titles, "site", "left").join(
+    df = _page_counts(features).join(_first_pages(features), "site").join(found, "site", "left").join(titles, "site", "left").join(
         _language_columns(features), "site", "left")
     if sitemaps is None:
         df = df.withColumns({
@@ -213,12 +222,13 @@ def site_facts(features: DataFrame, *, sitemaps: DataFrame | None = None,
     else:
         df = df.join(robots.select("site", "robots_found", "sitemap_declared", "disallowed_paths"),
                      "site", "left")
-    base = F.coalesce(c("home")["url"], c("first_url"))
+    base = F.coalesce(c("home")["url"], c("first")["url"])
     nav = F.coalesce(c("home")["nav_items"], F.array().cast("array<string>"))
     df = df.withColumns({
         "base_url": U.origin(base),
         "is_https": F.coalesce(F.lower(base).startswith("https"), F.lit(False)),
         "nav_items": nav,
+        "brand_colors": c("first")["brand_colors"],
         "home_url": c("home")["url"],
         "home_title": c("home")["title"],
         "languages": F.coalesce(
@@ -235,7 +245,7 @@ def site_facts(features: DataFrame, *, sitemaps: DataFrame | None = None,
             | t.rlike(fv.BROKEN_NAV_ISSUE_PATTERNS[1])),
     })
     return df.withColumn("is_multi_language", F.size("languages") > 1).drop(
-        "_tagged", "home", "text_th", "text_en")
+        "_tagged", "home", "first", "text_th", "text_en")
 
 
 def _clamp(score: Column) -> Column:

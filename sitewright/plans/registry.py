@@ -344,7 +344,10 @@ def _document_queries() -> dict:
         "competitor_gaps": stored(lambda a: competitor_gaps(next_documents(a), a)),
         "competitor_averages": stored(lambda a: competitor_averages(next_documents(a), a)),
         "scan_rows": competing(lambda a: scans(a).select(
-            "id", "raw_input", "score", "verdict", "final_decision", "json_report")),
+            "id", "raw_input", "score", "verdict", "final_decision",
+            F.get_json_object("json_report", "$.apexScore.total").alias("json_total"),
+            F.size(F.from_json("json_report", "failureReasons array<struct<type:string>>")
+                   ["failureReasons"]).cast("bigint").alias("json_failures"))),
         "recent_scans": competing(lambda a: recent_scans(scans(a)).select(*listed)),
         "scan_by_id": competing(lambda a: scan_by_id(scans(a), "7").select(*listed)),
         "escaped_text": documents(lambda d: d.select("doc_id", escape_html(c("text")).alias("html"))),
