@@ -10,9 +10,13 @@ from sitewright.functions import urls as U
 from sitewright.functions.ranking import collect_ranked, top_k
 from sitewright.functions.text import compact, keep
 
-OK_PAGE = F.expr("status = 200")
-LIVE_PAGE = F.expr("status = 200 OR status IS NULL")
-BROKEN_PAGE = F.expr("status >= 400")
+
+def ok_page() -> Column:
+    return F.expr("status = 200")
+
+
+def live_page() -> Column:
+    return F.expr("status = 200 OR status IS NULL")
 
 
 def ok_pages(features: DataFrame) -> DataFrame:
@@ -48,9 +52,9 @@ def title_groups(features: DataFrame) -> DataFrame:
     """How often each title is used on a site."""
     return features.filter("title IS NOT NULL").groupBy("site", "title").agg(
         F.count("*").alias("n_pages"),
-        F.count_if(OK_PAGE).alias("n_ok"),
-        F.count_if(LIVE_PAGE).alias("n_live"),
-        F.min(F.when(LIVE_PAGE, F.col("page_id"))).alias("first_page_id"),
+        F.count_if(ok_page()).alias("n_ok"),
+        F.count_if(live_page()).alias("n_live"),
+        F.min(F.when(live_page(), F.col("page_id"))).alias("first_page_id"),
     )
 
 
@@ -78,7 +82,7 @@ def _n(cond: Column) -> Column:
 def _page_counts(features: DataFrame) -> DataFrame:
     """Every count, sum and first page that scores, issues and summaries need, in one pass."""
     c = F.col
-    ok, live = OK_PAGE, LIVE_PAGE
+    ok, live = ok_page(), live_page()
     kind = c("page_type")
     no_og = ~c("has_og_title") | ~c("has_og_image")
     no_schema = F.size("schemas") == 0
@@ -88,7 +92,7 @@ def _page_counts(features: DataFrame) -> DataFrame:
         "n_ok": _n(ok),
         "n_live": _n(live),
         # all pages
-        "broken": _n(BROKEN_PAGE),
+        "broken": _n(c("status") >= 400),
         "no_canonical": _n(c("canonical").isNull()),
         "mismatch": _n(c("canonical_mismatch")),
         "noindex_key": _n(c("is_noindex") & key_type),
