@@ -39,7 +39,10 @@ r0 AS (SELECT doc_id AS id, lang, source, text, doc_id % 7 AS k,
          doc_id % 17 <> 16 AS got
        FROM documents),
 r1 AS (SELECT *, 'https://' || host || ({_PATH}) AS url, ({_PATH}) AS path,
-         {collapse(_MAIN)} AS content FROM r0),
+         {collapse(_MAIN)} AS main_text FROM r0),
+r2 AS (SELECT *, CASE WHEN length(main_text) > 50 THEN main_text
+         ELSE 'HomeItem ' || k || CASE k WHEN 3 THEN 'RAW_NAME' WHEN 5 THEN '{{menu}}' ELSE '' END
+              || ' ' || main_text || ' Footer text' END AS content FROM r1),
 rf AS (SELECT id, id AS page_id, k, lang, host, 'shop' || k || '.example.com' AS site, url, path, got, content,
     CASE id % 11 WHEN 0 THEN 404 WHEN 1 THEN NULL ELSE 200 END AS status, (id * 37) % 7000 AS fetch_ms,
     CASE WHEN got THEN {_TYPE} ELSE 'other' END AS page_type,
@@ -70,7 +73,7 @@ rf AS (SELECT id, id AS page_id, k, lang, host, 'shop' || k || '.example.com' AS
     CASE WHEN got AND id % 3 = 0 THEN 1 ELSE 0 END AS external_nofollow_count,
     CASE WHEN got THEN len(regexp_extract_all(content, '[^ ]{{2,}}')) ELSE 0 END AS word_count,
     got AND regexp_matches(content, '(?i)(\+66|0[0-9]{{8,9}}|@|line\.me|facebook\.com|LINE ID)') AS has_contact_info
-  FROM r1)
+  FROM r2)
 """
 
 _L = "(status = 200 OR status IS NULL)"
@@ -312,7 +315,7 @@ SQL = {
           coalesce(n_keywords, 0) AS n_keywords, coalesce(l, '') AS keyword_gaps
         FROM cs LEFT JOIN gl ON gl.domain = cs.domain LEFT JOIN kn ON kn.domain = cs.domain""",
     "model_costs": f"WITH {USAGE} SELECT scan_id, model, sum(tin)::BIGINT AS input_tokens, sum(tout)::BIGINT AS output_tokens, "
-                   "round(sum(cost), 6) AS cost_usd FROM uc GROUP BY 1, 2",
+                   "round(sum(cost), 9) AS cost_usd FROM uc GROUP BY 1, 2",
     "api_costs": "SELECT user_id AS scan_id, event_type AS api, round(sum(value), 4) AS cost_usd, count(*) AS n_calls FROM events GROUP BY 1, 2",
     "scan_costs": f"""WITH {USAGE}, m AS (SELECT scan_id, sum(tin)::BIGINT AS tin, sum(tout)::BIGINT AS tout, sum(cost) AS c FROM uc GROUP BY 1),
         a AS (SELECT user_id AS scan_id, sum(value) AS v FROM events GROUP BY 1)

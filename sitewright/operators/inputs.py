@@ -35,8 +35,8 @@ def urls_in_text(text: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    thai = F.length(F.regexp_replace(text, "[^฀-๿]", ""))
-    latin = F.length(F.regexp_replace(text, "[^a-zA-Z]", ""))
+    thai = F.length(F.regexp_replace(text, "[^฀-๿]+", ""))
+    latin = F.length(F.regexp_replace(text, "[^a-zA-Z]+", ""))
     counts = F.struct(thai.alias("thai"), latin.alias("latin"))
     return let(
         counts,

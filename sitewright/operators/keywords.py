@@ -18,7 +18,7 @@ FREQUENCY_CAP = 120
 
 def is_cjk(text: Column) -> Column:
     """More than a fifth of the characters belong to scripts written without spaces."""
-    return F.length(F.regexp_replace(text, "[^" + _CJK[1:], "")) / F.greatest(
+    return F.length(F.regexp_replace(text, "[^" + _CJK[1:] + "+", "")) / F.greatest(
         F.length(text), F.lit(1)) > 0.2
 
 

@@ -262,7 +262,7 @@ def articles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_articles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remembered(spark, sf_dir, "stored_articles",
-                      lambda: reuse(articles_of(spark, sf_dir).drop("main_text"), "articles"))
+                      lambda: reuse(articles_of(spark, sf_dir), "articles"))
 
 
 def next_documents(articles: DataFrame) -> DataFrame:
@@ -404,7 +404,7 @@ def _derived_queries() -> dict:
 
     def reports(fn):
         def run(spark, sf_dir):
-            a = articles_of(spark, sf_dir)
+            a = stored_articles_of(spark, sf_dir)
             rows = F.sort_array(F.collect_list(F.struct(
                 "position", "name", "score", "max_score", "status", "evidence")))
             categories = article_scores(a).groupBy("article_id").agg(rows.alias("categories"))
@@ -481,7 +481,7 @@ def _derived_queries() -> dict:
         "model_costs": over("conversations", lambda d: model_costs(D.model_usage(d)).groupBy(
             "scan_id", "model").agg(
             F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-            F.round(F.sum("cost_usd"), 6).alias("cost_usd"))),
+            F.round(F.sum("cost_usd"), 9).alias("cost_usd"))),
         "api_costs": over("events", lambda d: api_costs(D.api_calls(d)).withColumn(
             "cost_usd", F.round("cost_usd", 4))),
         "scan_costs": lambda spark, sf_dir: tidy(scan_costs(
@@ -500,7 +500,7 @@ def _derived_queries() -> dict:
             "confidence")),
         "markdown_reports": reports(markdown_reports),
         "rewrite_prompts": reports(rewrite_prompts),
-        "article_contexts": lambda spark, sf_dir: article_contexts(articles_of(spark, sf_dir)),
+        "article_contexts": lambda spark, sf_dir: article_contexts(stored_articles_of(spark, sf_dir)),
         "site_contexts": both(lambda f, p: site_contexts(
             f, p, I.site_issues(f, p, with_examples=False))),
     }
