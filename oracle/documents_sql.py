@@ -9,14 +9,20 @@ _KEYWORD = r"(?i)(?:keywords?|คีย์เวิร์ด)\s*:\s*([^\n]+)"
 _TRIM = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
 
 
-def first_case(x: str, patterns) -> str:
+def any_word(words) -> str:
+    """Case-insensitive alternation of words that have no special characters."""
+    return "(?i)" + "|".join(words)
+
+
+def first_case(x: str, types) -> str:
     return "(CASE " + " ".join(
-        f"WHEN regexp_matches({x}, {q(p)}) THEN {q(n)}" for n, p in patterns) + " ELSE 'General' END)"
+        f"WHEN regexp_matches({x}, {q(any_word(words))}) THEN {q(n)}" for n, words in types
+    ) + " ELSE 'General' END)"
 
 
 _SPACED = "'  ' || regexp_replace(substr(body, 1, 10000), '[^A-Za-z0-9_]+', '  ', 'g') || '  '"
 _OVERCLAIMS = "[" + ", ".join(
-    f"CASE WHEN regexp_matches(body, {q(p)}) THEN {q(n)} END" for n, p in fv.OVERCLAIMS) + "]"
+    f"CASE WHEN regexp_matches(body, {q('(?i)' + '.*'.join(p))}) THEN {q(n)} END" for n, p in fv.OVERCLAIMS) + "]"
 _CTA = "[" + ", ".join(
     f"CASE WHEN contains(lower(body), {q(p)}) THEN {q(p)} END" for p in fv.CTA_PHRASES) + "]"
 
@@ -41,18 +47,18 @@ d2 AS (
   FROM d1),
 d3 AS (
   SELECT *, {text_of('coalesce(CASE WHEN has_html THEN t END, raw_text)')} AS body,
-    {first_case("t || coalesce(main_url, '')", fv.ARTICLE_TYPE_PATTERNS)} AS first_type
+    {first_case("t || coalesce(main_url, '')", fv.ARTICLE_TYPE_WORDS)} AS first_type
   FROM d2),
 da AS (
   SELECT *, body IS NOT NULL AS has_article,
     len(regexp_extract_all(body, '[^ ]+')) AS wc,
     CASE WHEN first_type = 'General' AND body IS NOT NULL
-      THEN {first_case("lower(substr(body, 1, 10000))", fv.ARTICLE_TYPE_UPGRADES)}
+      THEN {first_case("lower(substr(body, 1, 10000))", fv.ARTICLE_TYPE_UPGRADE_WORDS)}
       ELSE first_type END AS kind,
-    regexp_matches(body, {q(fv.ARTICLE_FAQ_PATTERN)}) AS faq,
+    regexp_matches(body, {q(any_word(fv.ARTICLE_FAQ_WORDS))}) AS faq,
     regexp_matches(body, '(?:^|[^A-Za-z0-9_])[0-9]{{3}}[-.]?[0-9]{{3}}[-.]?[0-9]{{4}}(?:$|[^A-Za-z0-9_])|0[689][0-9]{{8}}') AS phone,
     regexp_matches(body, '[A-Za-z0-9_][.%+-]*@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}(?:$|[^A-Za-z0-9_])') AS email,
-    regexp_matches(body, {q(fv.LINE_PATTERN)}) AS line,
+    regexp_matches(body, {q('(?i)line|ไลน์|@[a-z0-9_]+')}) AS line,
     list_filter({_CTA}, lambda x: x IS NOT NULL) AS cta,
     list_filter({_OVERCLAIMS}, lambda x: x IS NOT NULL) AS claims,
     regexp_extract_all({_SPACED}, ' (201[0-9]|202[0-2]) ', 1) AS years,
@@ -276,7 +282,7 @@ SQL = {
             "H1RAW", decode(strip_tags(r"regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1\s*>', 1)"))).replace(
             "ANCHOR", decode(r"regexp_replace(regexp_extract(p, '(?is)^[^>]*>(.*?)(?:</a\s*>|\z)', 1), '<[^>]*>', '', 'g')"))),
     "safe_inputs": "SELECT conv_id, turn, role FROM conversations WHERE NOT regexp_matches(text, "
-                   + q("(?i)" + "|".join(fv.BLACK_HAT_PATTERNS)) + ")",
+                   + q(any_word(fv.BLACK_HAT_WORDS)) + ")",
     "unsafe_inputs": "SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(text, "
-                     + q("(?i)" + "|".join(fv.BLACK_HAT_PATTERNS)) + ")",
+                     + q(any_word(fv.BLACK_HAT_WORDS)) + ")",
 }

@@ -91,39 +91,46 @@ STOP_WORDS = tuple(
 )
 
 # --- fixed values: article text -----------------------------------------------------------------
-# (label shown as evidence, pattern searched in the body text)
+# (label shown as evidence, words that must follow each other in the lower-cased body text)
 OVERCLAIMS = (
-    ("การันตีวีซ่า", r"(?i)การันตีวีซ่า"),
-    ("ผ่านแน่นอน", r"(?i)ผ่านแน่นอน"),
-    ("100%", r"(?i)100%"),
-    ("ไม่มีพลาด", r"(?i)ไม่มีพลาด"),
-    ("guaranteevisa", r"(?i)guarantee.*visa"),
-    ("100% success", r"(?i)100% success"),
-    ("definitely approved", r"(?i)definitely approved"),
+    ("การันตีวีซ่า", ("การันตีวีซ่า",)),
+    ("ผ่านแน่นอน", ("ผ่านแน่นอน",)),
+    ("100%", ("100%",)),
+    ("ไม่มีพลาด", ("ไม่มีพลาด",)),
+    ("guaranteevisa", ("guarantee", "visa")),
+    ("100% success", ("100% success",)),
+    ("definitely approved", ("definitely approved",)),
 )
 OFFICIAL_LINK_PATTERN = r"(?i)\.gov|\.go\.th|\.gouv|embassy|consulate|mfa\.|mofa\.|schengenvisainfo"
 CTA_PHRASES = (
     "contact us", "get started", "book now", "apply now", "ติดต่อ", "สอบถาม", "จอง", "สมัคร",
 )
+# Words searched in lower-cased text.
+ARTICLE_FAQ_WORDS = ("faq", "คำถาม", "ถามตอบ", "frequently asked")
+LINE_WORDS = ("line", "ไลน์")
+LINE_HANDLE_PATTERN = r"(?i)@[a-z0-9_]"
+CONTACT_WORDS = ("+66", "@", "line.me", "facebook.com", "line id")
+CONTACT_NUMBER_PATTERN = r"0[0-9]{8}"
 WEAK_ANCHOR_PATTERN = r"(?i)click here|read more|here|link"
-ARTICLE_FAQ_PATTERN = r"(?i)faq|คำถาม|ถามตอบ|frequently asked"
-CONTACT_PATTERN = r"(?i)(\+66|0[0-9]{8,9}|@|line\.me|facebook\.com|LINE ID)"
-LINE_PATTERN = r"(?i)line|ไลน์|@[a-z0-9_]+"
 BROKEN_NAV_PATTERNS = (r"^[A-Z_]{3,}$", r"\{[^}]+\}", r"(?i)^(ITEM|VIDEO|BLOCK|NODE|VAR)_[0-9]+$")
 BROKEN_NAV_ISSUE_PATTERNS = (r"^[A-Z_]{3,}$", r"(?i)^(ITEM|VIDEO|BLOCK|NODE)_[0-9]+")
 RAW_VARIABLE_PATTERN = r"^[A-Z_]{3,}$"
 
-ARTICLE_TYPE_PATTERNS = (
-    ("Visa", r"(?i)visa|วีซ่า|embassy|consulate|schengen|เอกสารยื่นวีซ่า|ยื่นวีซ่า|วีซ่า"),
-    ("Travel", r"(?i)travel|เที่ยว|ท่องเที่ยว|flight|hotel|itinerary|ท่องเที่ยว|ที่พัก|สายการบิน"),
-    ("Affiliate", r"(?i)review|รีวิว|ซื้อ|ราคา|product|affiliate|สินค้า|แนะนำ|เปรียบเทียบ"),
-    ("Local/Service", r"(?i)service|contact|phone|line|booking|บริการ|ติดต่อ|โทร|จอง|ราคาบริการ"),
+# First type whose words occur in the lower-cased text wins.
+ARTICLE_TYPE_WORDS = (
+    ("Visa", ("visa", "วีซ่า", "embassy", "consulate", "schengen", "เอกสารยื่นวีซ่า", "ยื่นวีซ่า")),
+    ("Travel", ("travel", "เที่ยว", "ท่องเที่ยว", "flight", "hotel", "itinerary", "ที่พัก",
+                "สายการบิน")),
+    ("Affiliate", ("review", "รีวิว", "ซื้อ", "ราคา", "product", "affiliate", "สินค้า", "แนะนำ",
+                   "เปรียบเทียบ")),
+    ("Local/Service", ("service", "contact", "phone", "line", "booking", "บริการ", "ติดต่อ", "โทร",
+                       "จอง", "ราคาบริการ")),
 )
-ARTICLE_TYPE_UPGRADES = (
-    ("Visa", r"visa|วีซ่า|embassy|schengen"),
-    ("Travel", r"travel|เที่ยว|hotel|flight"),
+ARTICLE_TYPE_UPGRADE_WORDS = (
+    ("Visa", ("visa", "วีซ่า", "embassy", "schengen")),
+    ("Travel", ("travel", "เที่ยว", "hotel", "flight")),
 )
-BLACK_HAT_PATTERNS = (
+BLACK_HAT_WORDS = (
     "cloaking", "doorway page", "link spam", "fake click", "fake traffic", "hidden text",
     "keyword stuff", "scrape google", "bypass robots", "fake review",
 )

@@ -117,11 +117,18 @@ def any_rlike(c: Column, patterns) -> Column:
     return out
 
 
-def first_case(c: Column, patterns, otherwise) -> Column:
-    """Ordered (label, pattern) list: label of the first pattern found in `c`."""
+def contains_any(c: Column, words) -> Column:
+    """Any of the words occurs in `c`.  A byte search per word beats an alternation pattern."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(c, F.lit(w))
+    return out
+
+
+def first_case(cases, otherwise) -> Column:
+    """Ordered (label, condition) list: label of the first condition that holds."""
     out = None
-    for label, pattern in patterns:
-        cond = c.rlike(pattern)
+    for label, cond in cases:
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     return out.otherwise(otherwise)
 

@@ -56,7 +56,8 @@ def page_type(url: Column, *, strict: bool = False) -> Column:
     """
     subject = F.lower(url if strict else path(url))
     home = F.when(path(url) == "/", F.lit("home")).otherwise(F.lit("other"))
-    return F.coalesce(first_case(subject, fv.PAGE_TYPE_PATTERNS, home), F.lit("other"))
+    cases = [(name, subject.rlike(pattern)) for name, pattern in fv.PAGE_TYPE_PATTERNS]
+    return F.coalesce(first_case(cases, home), F.lit("other"))
 
 
 def crawl_priority(url: Column) -> Column:

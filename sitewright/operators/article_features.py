@@ -9,7 +9,7 @@ from sitewright import fixed_values as fv
 from sitewright.functions import html as H
 from sitewright.functions import urls as U
 from sitewright.functions.text import (
-    collapse_ws, compact, count_words, decode_entities, keep, let, null_if_blank, strip_tags,
+    collapse_ws, compact, contains_any, count_words, decode_entities, keep, let, null_if_blank, strip_tags,
     trim_ws,
 )
 from sitewright.operators.page_features import schema_nodes
@@ -25,10 +25,11 @@ _DATE = "(?:" + "|".join((
 )) + ")"
 _FAQ_MARKUP = (H.tag_with("itemtype", part="FAQPage"), H.tag_with("class", token="faq"))
 _PHONE = (
-    r"(?:^|[^A-Za-z0-9_])[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}(?:$|[^A-Za-z0-9_])|0[689][0-9]{8}"
+    r"(?=[0-9])(?:(?<![A-Za-z0-9_])[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}(?![A-Za-z0-9_])"
+    r"|0[689][0-9]{8})"
 )
 _EMAIL = r"[A-Za-z0-9_][.%+-]*@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}(?:$|[^A-Za-z0-9_])"
-_OLD_YEAR = r"(?<![A-Za-z0-9_])(201[0-9]|202[0-2])(?![A-Za-z0-9_])"
+_OLD_YEAR = r"(?=20[12])(?<![A-Za-z0-9_])(201[0-9]|202[0-2])(?![A-Za-z0-9_])"
 
 
 def _plain(c: Column) -> Column:
@@ -66,6 +67,13 @@ def _repeated(bigrams: str, ordered: str) -> Column:
     return F.transform(F.slice(placed, 1, 10), lambda x: x["phrase"])
 
 
+def _in_sequence(low: Column, words) -> Column:
+    """The words occur in `low`, each after the one before it."""
+    if len(words) == 1:
+        return F.contains(low, F.lit(words[0]))
+    return contains_any(low, words[:1]) & low.rlike(".*".join(words))
+
+
 def _links(pieces: Column) -> Column:
     def parts(p: Column) -> Column:
         return let(
@@ -102,12 +110,13 @@ def article_features(articles: DataFrame) -> DataFrame:
         "body_text": collapse_ws(decode_entities(strip_tags(H.body_markup(c("_h"))))),
         "links": _links(H.anchor_pieces(c("_h"))),
     })
+    df = df.withColumn("_lower", F.lower("body_text"))
     df = df.withColumns({
         "_metas": H.tags(c("_t"), "meta"),
         "_link_tags": H.tags(c("_t"), "link"),
         "_imgs": H.tags(c("_t"), "img"),
         "_words": F.split("body_text", " "),
-        "_lower_words": F.split(F.lower("body_text"), " "),
+        "_lower_words": F.split("_lower", " "),
         "main_text": F.substring("body_text", 1, 10000),
         "h1": null_if_blank(_plain(F.regexp_extract("_h", H.element("h1"), 1))),
         "h2s": F.transform(F.regexp_extract_all("_h", F.lit(H.element("h2")), F.lit(1)), _plain),
@@ -145,19 +154,18 @@ def article_features(articles: DataFrame) -> DataFrame:
             F.filter("links", lambda x: x["nofollow"]), lambda x: x["href"]),
         "author_name": F.when(
             c("_has_author_markup"), null_if_blank(_plain(H.first_inner(c("_h"), _AUTHOR)))),
-        "date_text": F.coalesce(
-            _first_attr(c("_h"), _DATE, "datetime"),
-            null_if_blank(_plain(H.first_inner(c("_h"), _DATE)))),
-        "has_faq": c("body_text").rlike(fv.ARTICLE_FAQ_PATTERN)
+        "date_text": F.when(c("_t").rlike(_DATE), F.coalesce(
+            _first_attr(c("_t"), _DATE, "datetime"),
+            null_if_blank(_plain(H.first_inner(c("_h"), _DATE))))),
+        "has_faq": contains_any(c("_lower"), fv.ARTICLE_FAQ_WORDS)
         | c("_t").rlike(_FAQ_MARKUP[0]) | c("_t").rlike(_FAQ_MARKUP[1])
         | F.exists("h2s", lambda t: t.rlike("(?i)faq|คำถาม")),
-        "cta_phrases": let(
-            F.lower("body_text"),
-            lambda low: F.filter(
-                F.array(*[F.lit(p) for p in fv.CTA_PHRASES]), lambda p: F.contains(low, p))),
+        "cta_phrases": compact(*[
+            keep(F.contains(c("_lower"), F.lit(p)), p) for p in fv.CTA_PHRASES]),
         "has_phone": c("body_text").rlike(_PHONE),
-        "has_email": c("body_text").rlike(_EMAIL),
-        "has_line": c("body_text").rlike(fv.LINE_PATTERN),
+        "has_email": c("body_text").contains("@") & c("body_text").rlike(_EMAIL),
+        "has_line": contains_any(c("_lower"), fv.LINE_WORDS)
+        | (c("body_text").contains("@") & c("body_text").rlike(fv.LINE_HANDLE_PATTERN)),
         "first_300_words": F.array_join(F.slice("_words", 1, 300), " "),
         "all_headings": F.filter(
             F.concat(F.array(c("h1")), c("h2s"), c("h3s")), lambda t: F.coalesce(t, F.lit("")) != ""),
@@ -168,7 +176,7 @@ def article_features(articles: DataFrame) -> DataFrame:
                 lambda w, i: F.concat(w, F.lit(" "), F.get("_lower_words", i + 1))),
             lambda p: F.length(p) > 5),
         "overclaims": compact(*[
-            keep(c("body_text").rlike(pattern), label) for label, pattern in fv.OVERCLAIMS]),
+            keep(_in_sequence(c("_lower"), words), label) for label, words in fv.OVERCLAIMS]),
         "official_source_links": F.filter("_hrefs", lambda u: u.rlike(fv.OFFICIAL_LINK_PATTERN)),
         "old_years": F.regexp_extract_all("main_text", F.lit(_OLD_YEAR), F.lit(1)),
     })

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright import fixed_values as fv
 from sitewright.functions import urls as U
-from sitewright.functions.text import first_case, let, null_if_blank, trim_ws
+from sitewright.functions.text import contains_any, first_case, let, null_if_blank, trim_ws
 
 _URL = r"""(?i)https?://[^\s<>"{}|\\^`\[\]]+"""
 _KEYWORD = r"(?i)(?:keywords?|คีย์เวิร์ด)\s*:\s*([^\n]+)"
@@ -16,7 +16,7 @@ _HTML = r"(?i)<\s*(?:html|head|body|article|div|h[1-6]|p|section)(?![A-Za-z0-9_]
 
 def is_safe_input(text: Column) -> Column:
     """False for text that asks for a black-hat tactic."""
-    return ~text.rlike("(?i)" + "|".join(fv.BLACK_HAT_PATTERNS))
+    return let(F.lower(text), lambda low: ~contains_any(low, fv.BLACK_HAT_WORDS))
 
 
 def safe_inputs(df: DataFrame, column: str = "text") -> DataFrame:
@@ -35,29 +35,38 @@ def urls_in_text(text: Column) -> Column:
 
 
 def language(text: Column) -> Column:
+    """Language by letter counts; letters are counted only in text that has Thai letters at all."""
     thai = F.length(F.regexp_replace(text, "[^฀-๿]+", ""))
     latin = F.length(F.regexp_replace(text, "[^a-zA-Z]+", ""))
-    counts = F.struct(thai.alias("thai"), latin.alias("latin"))
-    return let(
-        counts,
+    counted = let(
+        F.struct(thai.alias("thai"), latin.alias("latin")),
         lambda n: F.when(
-            (n["thai"] > 0) & (n["latin"] > 0),
+            n["latin"] > 0,
             F.when(n["thai"] > n["latin"] * 0.5, "Thai/English mixed").otherwise("English"),
-        )
-        .when(n["thai"] > 10, "Thai")
-        .when(n["latin"] > 10, "English")
-        .otherwise("Unknown"),
+        ).when(n["thai"] > 10, "Thai").otherwise("Unknown"),
     )
+    more_than_ten = text.rlike("(?:[a-zA-Z][^a-zA-Z]*+){11}")
+    return F.when(text.rlike("[฀-๿]"), counted).when(more_than_ten, "English").otherwise("Unknown")
 
 
 def article_type(text: Column) -> Column:
-    return first_case(text, fv.ARTICLE_TYPE_PATTERNS, F.lit("General"))
+    def decide(low: Column) -> Column:
+        cases = [(n, contains_any(low, words)) for n, words in fv.ARTICLE_TYPE_WORDS]
+        return first_case(cases, F.lit("General"))
+
+    return let(F.lower(text), decide)
 
 
 def upgraded_type(current: Column, main_text: Column) -> Column:
     """A `General` input takes the type that the body of the article shows."""
-    found = first_case(F.lower(main_text), fv.ARTICLE_TYPE_UPGRADES, F.lit("General"))
-    return F.when((current == "General") & main_text.isNotNull(), found).otherwise(current)
+
+    def decide(low: Column) -> Column:
+        cases = [(n, contains_any(low, words)) for n, words in fv.ARTICLE_TYPE_UPGRADE_WORDS]
+        return first_case(cases, F.lit("General"))
+
+    return F.when(
+        (current == "General") & main_text.isNotNull(), let(F.lower(main_text), decide)
+    ).otherwise(current)
 
 
 def slug_keyword(url: Column) -> Column:

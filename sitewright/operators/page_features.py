@@ -14,7 +14,7 @@ from sitewright import fixed_values as fv
 from sitewright.functions import html as H
 from sitewright.functions import urls as U
 from sitewright.functions.text import (
-    any_rlike, collapse_ws, count_words, decode_entities, let, markup_text, null_if_blank, trim_ws,
+    any_rlike, collapse_ws, contains_any, count_words, decode_entities, let, markup_text, null_if_blank, trim_ws,
 )
 from sitewright.sources.pages import with_page_defaults
 
@@ -246,7 +246,8 @@ def page_features(pages: DataFrame, *, strict: bool = False) -> DataFrame:
     df = df.withColumns({
         "word_count": count_words(c("_text"), 2),
         "body_snippet": F.substring("_text", 1, 2000),
-        "has_contact_info": c("_text").rlike(fv.CONTACT_PATTERN),
+        "has_contact_info": contains_any(F.lower("_text"), fv.CONTACT_WORDS)
+        | c("_text").rlike(fv.CONTACT_NUMBER_PATTERN),
         "has_faq": c("url").rlike(_FAQ_WORDS)
         | F.coalesce(c("title"), F.lit("")).rlike(_FAQ_WORDS)
         | c("_t").rlike(H.tag_with("class", part="faq"))
