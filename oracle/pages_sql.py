@@ -272,6 +272,7 @@ SQL = {
         f"FROM (SELECT page_id, {kept_words('title')} AS tw FROM pf)"),
     "keyword_frequency": p(FREQ, "SELECT site, rank, keyword, n, found_in FROM kf"),
     "seed_keywords": p(FREQ, "SELECT site, rank, keyword FROM kf WHERE rank <= 10 AND length(keyword) >= 3"),
+    "request_keywords": p(FREQ, f"SELECT site, rank, keyword FROM ({top_k('(SELECT site, rank AS r, keyword FROM kf WHERE rank <= 10 AND length(keyword) >= 3)', 'site', 'r', 5)})"),
     "verified_keywords": p(FREQ, "SELECT site, rank, keyword FROM kf WHERE rank <= 20"),
     "url_patterns": pages(rf"""SELECT site, rank, pattern, n, example FROM ({top_k(
         f'''(SELECT site, pattern, count(*) AS n, min(url) AS example FROM (

@@ -91,6 +91,12 @@ def seed_keywords(frequency: DataFrame) -> DataFrame:
         "site", "rank", "keyword")
 
 
+def request_keywords(seeds: DataFrame, *, cap: int = 5) -> DataFrame:
+    """Keywords to send with one request: five for keyword ideas, twenty for search volumes."""
+    return top_k(seeds.select("site", F.col("rank").alias("seed_rank"), "keyword"), ["site"],
+                 [F.col("seed_rank")], cap, salted=False).select("site", "rank", "keyword")
+
+
 def verified_keywords(frequency: DataFrame) -> DataFrame:
     return frequency.filter(F.col("rank") <= 20).select("site", "rank", "keyword")
 

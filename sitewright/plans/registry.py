@@ -66,7 +66,8 @@ def stored_features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remembered(
-        spark, sf_dir, "facts", lambda: S.site_facts(stored_features_of(spark, sf_dir)))
+        spark, sf_dir, "facts",
+        lambda: reuse(S.site_facts(stored_features_of(spark, sf_dir)), "site_facts"))
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -220,6 +221,8 @@ def _page_queries() -> dict:
         "page_bigrams": lazy(lambda f: f.select("page_id", K.bigrams(c("title")).alias("bigrams"))),
         "keyword_frequency": lazy(K.keyword_frequency),
         "seed_keywords": lazy(lambda f: K.seed_keywords(K.keyword_frequency(f))),
+        "request_keywords": lazy(lambda f: K.request_keywords(
+            K.seed_keywords(K.keyword_frequency(f)))),
         "verified_keywords": lazy(lambda f: K.verified_keywords(K.keyword_frequency(f))),
         "url_patterns": pages(lambda p: K.url_patterns(S.discovered_urls(
             p.select(U.site(c("url")).alias("site"), "url")))),
@@ -384,7 +387,8 @@ def _derived_queries() -> dict:
 
     def shop_facts(spark, sf_dir):
         return remembered(spark, sf_dir, "shop_facts",
-                          lambda: S.site_facts(stored_shop_features(spark, sf_dir)))
+                          lambda: reuse(S.site_facts(stored_shop_features(spark, sf_dir)),
+                                        "shop_facts"))
 
     def shop(fn):
         return lambda spark, sf_dir: tidy(fn(stored_shop_features(spark, sf_dir)))
