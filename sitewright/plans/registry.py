@@ -312,8 +312,11 @@ def _document_queries() -> dict:
         return scan_rows(whole.withColumn("id", c("article_id").cast("string")),
                          created_at=day)
 
-    listed = ["id", "detected_keyword", "detected_article_type", "detected_language", "score",
-              "verdict", "final_decision", c("created_at").cast("date").alias("created_at")]
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "id", "detected_keyword", "detected_article_type", "detected_language", "score",
+            "verdict", "final_decision", c("created_at").cast("date").alias("created_at"))
+
     return {
         "input_parsing": parsed(lambda d: d.select(
             "article_id", F.size("detected_urls").alias("n_urls"), "main_url", "sitemap_url",
@@ -351,8 +354,8 @@ def _document_queries() -> dict:
             F.get_json_object("json_report", "$.apexScore.total").alias("json_total"),
             F.size(F.from_json("json_report", "failureReasons array<struct<type:string>>")
                    ["failureReasons"]).cast("bigint").alias("json_failures"))),
-        "recent_scans": competing(lambda a: recent_scans(scans(a)).select(*listed)),
-        "scan_by_id": competing(lambda a: scan_by_id(scans(a), "7").select(*listed)),
+        "recent_scans": competing(lambda a: listed(recent_scans(scans(a)))),
+        "scan_by_id": competing(lambda a: listed(scan_by_id(scans(a), "7"))),
         "escaped_text": documents(lambda d: d.select("doc_id", escape_html(c("text")).alias("html"))),
         "page_article_counts": page_articles(lambda a: a.select(
             "article_id", "title", "h1", "word_count", "paragraph_count", "list_count",
