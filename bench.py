@@ -40,6 +40,7 @@ def headline(spark: SparkSession, sf_dir: str) -> dict:
     from sitewright.operators.article_features import article_features
     from sitewright.operators.inputs import input_markup, parse_inputs
     from sitewright.operators.page_features import page_features
+    from sitewright.operators.site import site_facts
     from sitewright.plans import registry
     from sitewright.sources.pages import read_documents, read_pages
     from pyspark.sql import functions as F
@@ -55,11 +56,16 @@ def headline(spark: SparkSession, sf_dir: str) -> dict:
 
     queries = registry.queries()
     named = (
-        "site_facts", "site_scores", "site_issues", "keyword_frequency", "token_cannibalization",
+        "site_scores", "site_issues", "keyword_frequency", "token_cannibalization",
         "url_patterns", "crawl_frontier", "top_pages", "keyword_gaps", "article_scores",
         "article_findings", "competitor_gaps", "article_repeated_phrases", "recent_scans",
     )
-    out = {"page_features": all_page_features, "article_features": all_article_features}
+    out = {
+        "page_features": all_page_features,
+        "article_features": all_article_features,
+        # from the stored features; the registered queries below read the stored facts
+        "site_facts": lambda: site_facts(registry.stored_features_of(spark, sf_dir)),
+    }
     for name in named:
         out[name] = lambda q=queries[name]: q(spark, sf_dir)
     return out
