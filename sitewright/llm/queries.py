@@ -36,3 +36,12 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *map(count, BASE_KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
         F.concat_ws(",", F.transform("pii", lambda s: s["score"].cast("string"))).alias("scores"))
+
+
+def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.language_id import identify_language, language_dictionaries, learns
+
+    learned = language_dictionaries(documents(spark, sf_dir, "doc_id", "text", "lang").filter(learns()))
+    found = identify_language(documents(spark, sf_dir, "doc_id", "text"), learned)
+    return found.select("doc_id", (~learns()).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+                        F.col("lang_rejected").alias("rejected"))
