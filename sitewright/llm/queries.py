@@ -45,3 +45,12 @@ def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_language(documents(spark, sf_dir, "doc_id", "text"), learned)
     return found.select("doc_id", (~learns()).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
                         F.col("lang_rejected").alias("rejected"))
+
+
+def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.contamination import build_index, search
+
+    found = search(build_index(documents(spark, sf_dir, "doc_id", "text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
