@@ -54,3 +54,10 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
