@@ -61,3 +61,12 @@ def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    from sitewright.llm.bpe import encode_documents, load_ranks
+
+    found = encode_documents(documents(spark, sf_dir, "doc_id", "text"), load_ranks(public_tokenizers.path(tokenizer)), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
