@@ -70,3 +70,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50
 
     found = encode_documents(documents(spark, sf_dir, "doc_id", "text"), load_ranks(public_tokenizers.path(tokenizer)), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.iblt import fingerprint_edits
+
+    found = fingerprint_edits(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
