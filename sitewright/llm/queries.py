@@ -78,3 +78,14 @@ def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_edits(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.quality_mil import fit_quality, score_quality
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(~held_out)
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
+                         F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
