@@ -89,3 +89,20 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(docs, fit_quality(docs, labels))
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
                          F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in passages of 50 words or more that another document has too."""
+    from sitewright.llm.sparse_suffixes import repeated_passages
+
+    found = repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
+    joined = F.concat_ws(",", F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.concat_ws(
+        ":", F.get("spans", i).cast("string"), F.get("spans", i + 1).cast("string"))))
+    return found.select("doc_id", "n_words", "n_repeated", F.when(F.size("spans") > 0, joined).otherwise(F.lit("")).alias("spans"))
+
+
+def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.automata import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

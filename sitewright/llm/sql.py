@@ -20,3 +20,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN item USING (rid)
 """
+#: Words between ASCII white space.
+SPACED_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SPACED_WORDS} AS w FROM documents),
+grams AS (SELECT rid, doc_id, i, list_slice(w, i, i + 49) AS g
+          FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+shared AS (SELECT g FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)),
+covered AS (SELECT DISTINCT rid, unnest(range(i - 1, i + 49)) AS p FROM grams JOIN shared USING (g)),
+runs AS (SELECT rid, min(p) AS a, max(p) + 1 AS b
+         FROM (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS run FROM covered) GROUP BY rid, run),
+spans AS (SELECT rid, sum(b - a)::BIGINT AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS s FROM runs GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_repeated, coalesce(s, '') AS spans FROM d LEFT JOIN spans USING (rid)
+"""
+
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SPACED_WORDS} AS w FROM documents),
+grams AS (SELECT rid, doc_id, i, list_slice(w, i, i + 12) AS g
+          FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+least AS (SELECT g, min(doc_id) AS first_id FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM grams JOIN least USING (g) WHERE first_id < doc_id),
+words AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
