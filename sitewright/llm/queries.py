@@ -106,3 +106,15 @@ def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = (op1_flow_resharding, op2_pii_spans, op3_zstd_language, op4_positional_index, op5_simhash_popcount,
+             op6_sparse_suffixes, op7_byte_bpe, op8_iblt_fingerprint, op9_suffix_automata, op10_attention_mil, pipeline)
+    return {q.__name__: q for q in named}

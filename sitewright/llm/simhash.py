@@ -42,13 +42,14 @@ def simhash(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): one row for each document.  A text without words, or null, has fingerprint zero."""
+    """(doc_id, text_hash, fp): one row for each document.  A text without words, or null, has fingerprint zero."""
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([simhash(x.as_py()) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+                [*batch.columns[:2], pa.array([simhash(x.as_py()) for x in batch.column(2)], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(prints, "doc_id long, fp long")
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    return narrow.mapInArrow(prints, "doc_id long, text_hash long, fp long")
 
 
 def segment_counts(fp: Column, bits: int = SEGMENT_BITS) -> Column:
@@ -85,7 +86,7 @@ def near_links(prints: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = SEGMENT_BITS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id reachable over links of two or fewer bits.
+    """(doc_id, text_hash, fp, component_id): component_id is the smallest id reachable over links of two or fewer bits.
 
     One row for each row of docs, whatever else it holds; repeated ids and texts are kept.  A component whose ids are
     all null has a null component_id.  Copies share a fingerprint and cost one row after the first count.
@@ -96,4 +97,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     named = labels.join(groups, labels.id == groups.fp).groupBy("label").agg(F.min("least").alias("component"))
     table = groups.join(labels, groups.fp == labels.id, "left").join(named, "label", "left")
     table = written(table.select("fp", "copies", F.coalesce("component", "least").alias("component_id")))
-    return skew_safe_left_join(prints, table, "fp", "copies").select("doc_id", "fp", "component_id")
+    return skew_safe_left_join(prints, table, "fp", "copies").select("doc_id", "text_hash", "fp", "component_id")

@@ -46,3 +46,7 @@ kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
 """
+
+
+def all_sql() -> dict[str, str]:
+    return {"op4_positional_index": OP4, "op6_sparse_suffixes": OP6, "op9_suffix_automata": OP9}
