@@ -29,13 +29,13 @@ from sitewright.llm.bpe import _ragged, pack_numbers, pack_words, unpack_numbers
 from sitewright.llm.common import drop_written, written
 
 #: Documents are worked on in blocks of about so many characters.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 #: Bit sets have 16 bits for each member, and this many at most (32 MB).
 MOST_BITS = 1 << 28
 #: Bits of a part of a bit set that a task sends.
 PART = 1 << 16
-#: Shards of a bucket; each is solved on its own.
-SHARDS = 64
+#: Shards of a bucket; each is solved on its own, so many that most hold the segments of one anchor.
+SHARDS = 1 << 20
 HIGHEST = 2**63 - 1
 _M = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_M, -1, 1 << 64)
@@ -73,10 +73,24 @@ def windows_of(texts: list[str], n: int, k: int) -> Windows:
     up, down = powers(_M), powers(_INVERSE)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:-1])])
     grams = mix((sums[k:] - sums[:-k]) * down[:len(sums) - k])
-    anchor = start + np.lib.stride_tricks.sliding_window_view(grams, n - k + 1)[start].argmin(axis=1)
+    anchor = _leftmost_least(grams, n - k + 1)[start]
     return Windows(words, first, text, start, anchor, grams[anchor], mix((sums[start + n] - sums[start]) * down[start]))
 
 
+def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the leftmost least value of each run of `width` values stands; runs are made of runs half as long."""
+    at, own, span = np.arange(len(x)), x, 1
+
+    def joined(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        right = own[shift:] < own[:-shift]
+        return np.where(right, at[shift:], at[:-shift]), np.where(right, own[shift:], own[:-shift])
+
+    while span * 2 <= width:
+        at, own = joined(span)
+        span *= 2
+    return joined(width - span)[0] if width > span else at
+
+
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
     ids, texts, chars = [], [], 0
     for batch in batches:
@@ -256,6 +270,12 @@ def _solved(blocks: DataFrame, n: int, solver: Solver) -> DataFrame:
         answers: list[tuple[list[int], list[int]]] = []
         for shard in shards.values():  # each is a reference of its own: equal windows have equal anchors
             entries = list(shard.items())
+            if len(entries) == 1:  # one distinct segment: its own ids are all there is
+                (_, e), = entries
+                c = entries[0][0][0].count(b" ") + 2 - n
+                e[2] = len(answers)
+                answers.append(([e[0]] * c, [e[1]] * c))
+                continue
             lows, highs = solver([x.split(b" ") for (x, _), _ in entries], [off for (_, off), _ in entries],
                                  [e[0] for _, e in entries], [e[1] for _, e in entries], n)
             for (_, e), low, high in zip(entries, lows, highs, strict=True):
