@@ -31,6 +31,8 @@ BLOCK_PIECES = 3_000_000
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that no pre-token crosses: the pattern's own rule for spaces, with runs of other characters left whole.
 PIECES = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Compression of what is written or sent in packed form.
+LEVEL = 9
 BLOCK = "block long, doc_ids array<long>, n_codes array<int>, codes binary, buckets binary, words array<struct<bucket:int,words:binary>>"
 
 
@@ -41,18 +43,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """Unsigned numbers below 2^32, byte by byte, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    """Unsigned numbers below 2^32, compressed: their high bytes first, then the low bytes of small and of large ones."""
+    x = x.astype(np.uint32)
+    low, high = (x & 255).astype(np.uint8), x >> 8
+    planes = [(high >> shift).astype(np.uint8) for shift in (0, 8, 16)]
+    return zstandard.compress(b"".join(part.tobytes() for part in (*planes, low[high == 0], low[high > 0])), LEVEL)
 
 
 def unpack_numbers(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    data = np.frombuffer(zstandard.decompress(x), np.uint8)
+    n = len(data) // 4
+    high = data[:n].astype(np.uint32) | data[n:2 * n].astype(np.uint32) << 8 | data[2 * n:3 * n].astype(np.uint32) << 16
+    small, low = high == 0, np.empty(n, np.uint32)
+    cut = 3 * n + int(small.sum())
+    low[small], low[~small] = data[3 * n:cut], data[cut:]
+    return high << 8 | low
 
 
 def pack_words(words: list[bytes]) -> bytes:
     sizes = pack_numbers(np.array([len(w) for w in words], np.int64))
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(words), 3)
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(words), LEVEL)
 
 
 def unpack_words(x: bytes) -> list[bytes]:
