@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 #: The documented bound of the fit: so many labelled texts for each language, and so many characters of each.
 SAMPLE_TEXTS = 256
 SAMPLE_CHARS = 512
+SALTS = 64
 FRAME = 2048
 LEVEL = 6
 #: A text is rejected when the second best encoding is longer by less than this share.
@@ -39,11 +40,15 @@ def language_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "
     the size of the result is bounded for each language, and the number of languages is that of the labels.  Languages with more
     labelled rows come first."""
     order = Window.partitionBy("_lang").orderBy("_hash", "_text")
+    # a language's rows are first ranked in SALTS parts, so that the last ranking sees SALTS * SAMPLE_TEXTS rows at most
+    part = Window.partitionBy("_lang", "_salt").orderBy("_hash", "_text")
     t = F.col(text)
     # a piece from a place that the hash names, not always the start
     place = (F.lit(1) + F.pmod(F.xxhash64(t, F.lit(7)), F.greatest(F.length(t) - SAMPLE_CHARS, F.lit(1)).cast("long"))).cast("int")
     picked = (labelled.filter(F.col(lang).isNotNull() & (F.trim(t) != ""))
               .select(F.col(lang).alias("_lang"), F.xxhash64(t).alias("_hash"), t.substr(place, F.lit(SAMPLE_CHARS)).alias("_text"))
+              .withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)))
+              .withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= SAMPLE_TEXTS)
               .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= SAMPLE_TEXTS)
               .groupBy("_lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_text"))), lambda x: x["_text"]), "\n").alias("_all")))
     texts = {r["_lang"]: plain(r["_all"]) for r in picked.collect()}
