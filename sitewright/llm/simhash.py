@@ -23,8 +23,9 @@ from sitewright.llm.components import connected
 
 SHINGLE = 3
 SEED = 42
-#: Bits of a segment, 2 or 4: 16 segments of 4 bits suit up to about 10^9 different fingerprints, 32 of 2 bits more.
-SEGMENT_BITS = 4
+#: Bits of a segment, 2 or 4.  Chance meetings in a cell grow with the square of the fingerprints; with 16 segments of
+#: 4 bits about one pair in 10^6 meets, with 32 of 2 bits one in 10^10, for half as many cells again.
+SEGMENT_BITS = 2
 
 
 def simhash(text: str | None) -> int:
@@ -78,8 +79,9 @@ def near_links(prints: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k)) for k in range(64)])
     points = prints.select("fp", segment_counts(F.col("fp"), bits).alias("point"))
     cells = points.select("fp", F.explode(nearby_cells(F.col("point"), bits)).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("cell")
-    candidates = written(cells.join(shared, "cell", "left_semi").select("fp").distinct())
+    cell = Window.partitionBy("cell")  # a fingerprint is in a cell once, so no cell holds more than 1 in 33 rows
+    met = cells.select("fp", (F.min("fp").over(cell) < F.max("fp").over(cell)).alias("met")).filter("met")
+    candidates = written(met.select("fp").distinct())
     words = candidates.select("fp", F.explode(flips).alias("word"))
     return (words.withColumn("least", F.min("fp").over(Window.partitionBy("word")))
             .filter("least < fp").select(F.col("least").alias("u"), F.col("fp").alias("v")).distinct())
@@ -94,7 +96,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     prints = written(fingerprints(docs, key, text))
     groups = written(prints.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
     labels = written(connected(near_links(groups.select("fp"), bits)))
-    named = labels.join(groups, labels.id == groups.fp).groupBy("label").agg(F.min("least").alias("component"))
-    table = groups.join(labels, groups.fp == labels.id, "left").join(named, "label", "left")
+    named = labels.join(groups, labels.id == groups.fp).groupBy("label").agg(F.count("*").alias("members"), F.min("least").alias("component"))
+    inside = skew_safe_left_join(labels, written(named), "label", "members").select("id", "component")
+    table = groups.join(inside, groups.fp == inside.id, "left")
     table = written(table.select("fp", "copies", F.coalesce("component", "least").alias("component_id")))
     return skew_safe_left_join(prints, table, "fp", "copies").select("doc_id", "text_hash", "fp", "component_id")
