@@ -25,6 +25,7 @@ def session(cpus: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("sitewright-bench")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
+        .config("spark.sitewright.read.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -42,14 +43,14 @@ def headline(spark: SparkSession, sf_dir: str) -> dict:
     from sitewright.operators.page_features import page_features
     from sitewright.operators.site import site_facts
     from sitewright.plans import registry
-    from sitewright.sources.pages import read_documents, read_pages
+    from sitewright.sources.pages import read_documents, read_pages, read_partitions
     from pyspark.sql import functions as F
 
     def all_page_features() -> DataFrame:
-        return page_features(read_pages(spark, f"{sf_dir}/pages.parquet"))
+        return page_features(read_pages(spark, f"{sf_dir}/pages.parquet", read_partitions(spark)))
 
     def all_article_features() -> DataFrame:
-        docs = read_documents(spark, f"{sf_dir}/documents.parquet").select(
+        docs = read_documents(spark, f"{sf_dir}/documents.parquet", read_partitions(spark)).select(
             F.col("doc_id").alias("article_id"), F.col("text").alias("raw_input"))
         return article_features(
             input_markup(parse_inputs(docs)).withColumn("url", F.col("main_url")))

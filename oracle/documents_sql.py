@@ -20,7 +20,7 @@ def first_case(x: str, types) -> str:
     ) + " ELSE 'General' END)"
 
 
-_SPACED = "'  ' || regexp_replace(substr(body, 1, 10000), '[^A-Za-z0-9_]+', '  ', 'g') || '  '"
+_SPACED = "'  ' || regexp_replace(body, '[^A-Za-z0-9_]+', '  ', 'g') || '  '"
 _OVERCLAIMS = "[" + ", ".join(
     f"CASE WHEN regexp_matches(body, {q('(?i)' + '.*'.join(p))}) THEN {q(n)} END" for n, p in fv.OVERCLAIMS) + "]"
 _CTA = "[" + ", ".join(
@@ -53,7 +53,7 @@ da AS (
   SELECT *, body IS NOT NULL AS has_article,
     len(regexp_extract_all(body, '[^ ]+')) AS wc,
     CASE WHEN first_type = 'General' AND body IS NOT NULL
-      THEN {first_case("lower(substr(body, 1, 10000))", fv.ARTICLE_TYPE_UPGRADE_WORDS)}
+      THEN {first_case("lower(body)", fv.ARTICLE_TYPE_UPGRADE_WORDS)}
       ELSE first_type END AS kind,
     regexp_matches(body, {q(any_word(fv.ARTICLE_FAQ_WORDS))}) AS faq,
     regexp_matches(body, '(?:^|[^A-Za-z0-9_])[0-9]{{3}}[-.]?[0-9]{{3}}[-.]?[0-9]{{4}}(?:$|[^A-Za-z0-9_])|0[689][0-9]{{8}}') AS phone,
@@ -62,13 +62,13 @@ da AS (
     list_filter({_CTA}, lambda x: x IS NOT NULL) AS cta,
     list_filter({_OVERCLAIMS}, lambda x: x IS NOT NULL) AS claims,
     regexp_extract_all({_SPACED}, ' (201[0-9]|202[0-2]) ', 1) AS years,
-    [trim(s) for s in regexp_extract_all(body, '[^.!?]*\?') if length(trim(s)) between 11 and 199][:10] AS asked,
+    [trim(s) for s in regexp_extract_all(body, '[^.!?]*\?') if length(trim(s)) between 11 and 199] AS asked,
     array_to_string(string_split(body, ' ')[:300], ' ') AS head
   FROM d3)
 """
 
 COMPETITORS = r"""
-tgt AS (SELECT article_id, unnest([1, 2, 3]) AS pos FROM da),
+tgt AS (SELECT article_id, unnest([1, 2, 3, 4]) AS pos FROM da),
 cmp AS (SELECT tgt.article_id, tgt.article_id + tgt.pos AS competitor_id, pos, c.has_article IS TRUE AS fetched,
                coalesce(c.wc, 0) AS their, coalesce(c.faq, false) AS their_faq
         FROM tgt LEFT JOIN da c ON c.article_id = tgt.article_id + tgt.pos),
@@ -199,7 +199,7 @@ def docs(*parts: str) -> str:
     return "WITH " + ", ".join([DOCS, *ctes]) + " " + select
 
 
-SCANS = f"""sn AS (SELECT x.article_id::VARCHAR AS id, substr(text, 1, 5000) AS raw_input,
+SCANS = f"""sn AS (SELECT x.article_id::VARCHAR AS id, text AS raw_input,
   keyword AS detected_keyword, kind AS detected_article_type, language AS detected_language,
   total::DOUBLE AS score, {VERDICT} AS verdict, {DECISION} AS final_decision,
   DATE '2024-01-01' + (x.article_id % 90)::INT AS created_at
@@ -232,7 +232,7 @@ SQL = {
         bg AS (SELECT article_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w) - 1)]) AS p,
                  unnest([i for i in range(1, len(w) - 1)]) AS i FROM ws),
         rp AS (SELECT article_id, p, min(i) AS i FROM bg WHERE length(p) > 5 GROUP BY 1, 2 HAVING count(*) >= 5),
-        ls AS (SELECT article_id, array_to_string((list(p ORDER BY i))[:10], '|') AS l FROM rp GROUP BY 1)
+        ls AS (SELECT article_id, array_to_string(list(p ORDER BY i), '|') AS l FROM rp GROUP BY 1)
         SELECT da.article_id, CASE WHEN has_article THEN coalesce(l, '') END AS repeated_phrases
         FROM da LEFT JOIN ls ON da.article_id = ls.article_id""").replace(" \n        , ws", ", ws"),
     "article_old_years": docs("SELECT article_id, array_to_string(years, '|') AS old_years FROM da"),

@@ -34,15 +34,15 @@ ln AS (
                unnest(pieces) AS p,
                unnest([{decode("regexp_extract(p, '(?i)^href=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")}
                        for p in pieces]) AS href,
-               unnest([substr(trim({ANCHOR_TEXT}), 1, 80) for p in pieces]) AS link_text
+               unnest([trim({ANCHOR_TEXT}) for p in pieces]) AS link_text
         FROM pf))
 """
 
 # Facts of the given pages: no sitemap, robots file, status, meta tags, images or schema in them.
 FACTS = r"""
 lang AS (
-  SELECT site, bool_or(regexp_matches(substr(content, 1, 2000), '[฀-๿]')) AS th,
-         bool_or(regexp_matches(substr(content, 1, 2000), '[a-zA-Z]{3,}')) AS en
+  SELECT site, bool_or(regexp_matches(content, '[฀-๿]')) AS th,
+         bool_or(regexp_matches(content, '[a-zA-Z]{3,}')) AS en
   FROM pf GROUP BY site),
 tg AS (SELECT site, title, count(*) AS n, min(page_id) AS first_id FROM pf
        WHERE title IS NOT NULL GROUP BY site, title),
@@ -181,7 +181,7 @@ SQL = {
     "page_flags": pages(
         "SELECT page_id, has_faq, has_contact_info, false AS has_author, false AS has_date, "
         "false AS has_cta_button, false AS has_table, false AS has_numbered_list, "
-        "regexp_matches(substr(content, 1, 500), '(?i)สารบัญ|table of content') AS has_table_of_contents FROM pf"),
+        "regexp_matches(content, '(?i)สารบัญ|table of content') AS has_table_of_contents FROM pf"),
     "page_head_signals": pages(
         "SELECT page_id, NULL::VARCHAR AS meta_description, NULL::VARCHAR AS canonical, "
         "NULL::VARCHAR AS meta_robots, false AS viewport, false AS is_noindex, false AS has_og_title, "
@@ -195,7 +195,7 @@ SQL = {
           SELECT page_id, [trim({ANCHOR_TEXT}) for p in string_split_regex(
             regexp_extract(h, '(?is)<nav[^>]*>.*?</nav\s*>', 0), '(?i)<a[\s/]')[2:]] AS l FROM pf)),
       one AS (SELECT page_id, t, min(o) AS o FROM nav WHERE t <> '' AND length(t) < 60 GROUP BY 1, 2)
-      SELECT pf.page_id, coalesce(array_to_string((list(t ORDER BY o) FILTER (t IS NOT NULL))[:30], '|'), '')
+      SELECT pf.page_id, coalesce(array_to_string((list(t ORDER BY o) FILTER (t IS NOT NULL)), '|'), '')
         AS nav_items FROM pf LEFT JOIN one ON pf.page_id = one.page_id GROUP BY pf.page_id"""),
     "page_types": pages(
         f"SELECT page_id, url, site, path, {_DEPTH}::BIGINT AS depth, page_type FROM pf"),

@@ -39,10 +39,17 @@ _OWN_FOLDER: dict[str, str] = {}
 
 
 def shared_folder(spark) -> str:
-    """Folder named by the cluster for intermediate tables; a folder of our own where unset."""
+    """Folder named by the cluster for intermediate tables, in spark.checkpoint.dir.
+
+    Where it is unset, a local folder serves one machine only; several machines would each write
+    to their own disk and lose rows, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="spark-")
@@ -53,8 +60,12 @@ def reuse(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back.
 
     For results read more than once, such as page features: the markup is parsed once, readers get
-    column pruning, and a lost executor costs a re-read instead of a re-parse.
+    column pruning, and a lost executor costs a re-read instead of a re-parse.  The table is
+    removed when the session's JVM ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
+    return spark.read.schema(df.schema).parquet(path)

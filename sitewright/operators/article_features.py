@@ -12,6 +12,7 @@ from sitewright.functions.text import (
     collapse_ws, compact, contains_any, count_words, decode_entities, keep, let, null_if_blank, strip_tags,
     trim_ws,
 )
+from sitewright.operators.inputs import body_article_type
 from sitewright.operators.page_features import schema_nodes
 
 _AUTHOR = "(?:" + "|".join((
@@ -41,30 +42,28 @@ def _first_attr(h: Column, pattern: str, name: str) -> Column:
 
 
 def questions(text: Column) -> Column:
-    """Sentences that end in a question mark, 11 to 199 characters, the first ten."""
+    """Sentences that end in a question mark, 11 to 199 characters."""
     parts = F.regexp_extract_all(text, F.lit(r"[^.!?]*+(?:[.!?]|\z)"), F.lit(0))
     asked = F.transform(F.filter(parts, lambda q: q.endswith("?")), F.trim)
     sized = F.filter(asked, lambda q: F.length(q).between(11, 199))
-    found = F.when(text.contains("?"), F.slice(sized, 1, 10))
+    found = F.when(text.contains("?"), sized)
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def _repeated(bigrams: str, ordered: str) -> Column:
-    """Bigrams seen five times or more, by first position, the first ten.
+def _repeated(ordered: str) -> Column:
+    """Bigrams seen five times or more, by first position.
 
-    `ordered` is the sorted list: a value at i that equals the one at i+4 but not the one at i-1
-    starts a run of at least five.  The work stays inside the row, so nothing is shuffled.
+    `ordered` is the sorted list of (phrase, at): a phrase at i that equals the one at i+4 but not
+    the one at i-1 starts a run of at least five, and carries its first position.  The work stays
+    inside the row, so nothing is shuffled.
     """
     starts = F.filter(
         ordered,
-        lambda p, i: (p == F.get(ordered, i + 4))
-        & ((i == 0) | (F.get(ordered, i - 1) != p)),
+        lambda x, i: (x["phrase"] == F.get(ordered, i + 4)["phrase"])
+        & ((i == 0) | (F.get(ordered, i - 1)["phrase"] != x["phrase"])),
     )
-    placed = F.array_sort(F.transform(
-        starts,
-        lambda p: F.struct(F.array_position(F.col(bigrams), p).alias("at"), p.alias("phrase")),
-    ))
-    return F.transform(F.slice(placed, 1, 10), lambda x: x["phrase"])
+    placed = F.array_sort(F.transform(starts, lambda x: F.struct(x["at"], x["phrase"])))
+    return F.transform(placed, lambda x: x["phrase"])
 
 
 def _in_sequence(low: Column, words) -> Column:
@@ -178,9 +177,11 @@ def article_features(articles: DataFrame) -> DataFrame:
         "overclaims": compact(*[
             keep(_in_sequence(c("_lower"), words), label) for label, words in fv.OVERCLAIMS]),
         "official_source_links": F.filter("_hrefs", lambda u: u.rlike(fv.OFFICIAL_LINK_PATTERN)),
-        "old_years": F.regexp_extract_all("main_text", F.lit(_OLD_YEAR), F.lit(1)),
+        "old_years": F.regexp_extract_all("body_text", F.lit(_OLD_YEAR), F.lit(1)),
+        "body_article_type": body_article_type(c("_lower")),
     })
-    df = df.withColumn("_sorted_bigrams", F.sort_array("_bigrams"))
+    df = df.withColumn("_sorted_bigrams", F.sort_array(F.transform(
+        "_bigrams", lambda p, i: F.struct(p.alias("phrase"), i.alias("at")))))
     return df.select(
         *passed,
         c("html").isNotNull().alias("has_article"),
@@ -197,6 +198,6 @@ def article_features(articles: DataFrame) -> DataFrame:
         "has_phone", "has_email", "has_line",
         (c("has_phone") | c("has_email") | c("has_line")).alias("has_contact_info"),
         "questions_found",
-        _repeated("_bigrams", "_sorted_bigrams").alias("repeated_phrases"),
-        "overclaims", "official_source_links", "old_years",
+        _repeated("_sorted_bigrams").alias("repeated_phrases"),
+        "overclaims", "official_source_links", "old_years", "body_article_type",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ STORED = (
 
 
 def scan_rows(scans: DataFrame, created_at: Column | None = None) -> DataFrame:
-    """Rows to store: raw input cut to 5000 characters, JSON of score and failures.
+    """Rows to store: the whole raw input, JSON of score and failures.
 
     `scans` has the parsed input, `total`, `verdict`, `final_decision`, `failures`, and may have
     the report texts.
@@ -32,7 +34,6 @@ def scan_rows(scans: DataFrame, created_at: Column | None = None) -> DataFrame:
         F.col("failures").alias("failureReasons")))
     return scans.withColumns({
         **extra,
-        "raw_input": F.substring("raw_input", 1, 5000),
         "detected_main_url": F.col("main_url"),
         "score": F.col("total").cast("double"),
         "json_report": report,
@@ -52,22 +53,25 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
 def delete_scans(spark: SparkSession, path: str, ids: DataFrame) -> None:
     """Rewrites the days that hold the given ids without them.
 
-    The rows that stay are written beside the table first, because a partition must not be
-    replaced by a query that still reads it.
+    The rows that stay are written to a side folder of this call first.  An old day is moved
+    there before the new one takes its place and is removed last, so a failure between the steps
+    loses no row: both versions of the day are still in the side folder or the table.
     """
     scans = read_scans(spark, path)
     days = scans.join(ids, "id", "left_semi").select("day").distinct()
     kept = scans.join(days, "day", "left_semi").join(ids, "id", "left_anti")
-    side = path.rstrip("/") + "_rewrite"
+    side = f"{path.rstrip('/')}_rewrite_{uuid.uuid4().hex}"
     affected = [r["day"] for r in days.collect()]  # one row per day of history
-    kept.write.mode("overwrite").partitionBy("day").parquet(side)
+    kept.write.partitionBy("day").parquet(f"{side}/new")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(f"{side}/old"))
     for day in affected:
-        target, new = fs_path(f"{path}/day={day}"), fs_path(f"{side}/day={day}")
-        fs.delete(target, True)
-        if fs.exists(new):
-            fs.rename(new, target)
+        target, new = fs_path(f"{path}/day={day}"), fs_path(f"{side}/new/day={day}")
+        if not fs.rename(target, fs_path(f"{side}/old/day={day}")):
+            raise OSError(f"could not move {target}")
+        if fs.exists(new) and not fs.rename(new, target):
+            raise OSError(f"could not move {new}; the old rows are in {side}/old")
     fs.delete(fs_path(side), True)
 
 

@@ -57,16 +57,15 @@ def article_type(text: Column) -> Column:
     return let(F.lower(text), decide)
 
 
-def upgraded_type(current: Column, main_text: Column) -> Column:
-    """A `General` input takes the type that the body of the article shows."""
+def body_article_type(lower_body: Column) -> Column:
+    """The type that a lower-case article body shows, `General` where none; null stays null."""
+    cases = [(n, contains_any(lower_body, words)) for n, words in fv.ARTICLE_TYPE_UPGRADE_WORDS]
+    return F.when(lower_body.isNotNull(), first_case(cases, F.lit("General")))
 
-    def decide(low: Column) -> Column:
-        cases = [(n, contains_any(low, words)) for n, words in fv.ARTICLE_TYPE_UPGRADE_WORDS]
-        return first_case(cases, F.lit("General"))
 
-    return F.when(
-        (current == "General") & main_text.isNotNull(), let(F.lower(main_text), decide)
-    ).otherwise(current)
+def upgraded_type(current: Column, body_type: Column) -> Column:
+    """A `General` input takes the type that the whole body of the article shows."""
+    return F.when(current == "General", F.coalesce(body_type, current)).otherwise(current)
 
 
 def slug_keyword(url: Column) -> Column:
@@ -137,7 +136,7 @@ def complete_inputs(articles: DataFrame) -> DataFrame:
     """Article type and keyword of parsed inputs, completed from the features of the article."""
     c = F.col
     return articles.withColumns({
-        "detected_article_type": upgraded_type(c("detected_article_type"), c("main_text")),
+        "detected_article_type": upgraded_type(c("detected_article_type"), c("body_article_type")),
         "detected_keyword": F.coalesce(
             c("detected_keyword"), inferred_keyword(c("main_url"), c("h1"), c("title"))),
     })

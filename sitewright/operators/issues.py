@@ -104,7 +104,7 @@ def issue_examples(features: DataFrame) -> DataFrame:
     groups = top_k(titles, ["site"], [c("first_page_id"), c("title")], 3).select(
         "site", F.lit("duplicate_missing_title").alias("issue_id"), (c("rank") + 3).alias("rank"),
         _item(value=c("n_live"), current=c("title")).alias("item"))
-    words = title_cannibalization(features).select(
+    words = title_cannibalization(live_only(features)).select(
         "site", F.lit("keyword_cannibalization").alias("issue_id"), "rank",
         _item(
             label=F.concat(F.lit('"'), c("keyword"), F.lit('"')), value=c("n_occurrences"),

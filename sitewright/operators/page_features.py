@@ -53,7 +53,7 @@ def _links(pieces: Column, base: Column) -> Column:
             F.regexp_extract(p, H.ANCHOR_HEAD, 1),
             lambda head: F.struct(
                 H.attr(head, "href").alias("href"),
-                F.substring(H.anchor_text(p), 1, 80).alias("text"),
+                H.anchor_text(p).alias("text"),
                 H.attr(head, "rel").contains("nofollow").alias("nofollow"),
             ),
         )
@@ -124,7 +124,7 @@ def schema_nodes(blocks: Column) -> Column:
 
 
 def brand_colors(html: Column) -> Column:
-    """Mid-tone hex colours of CSS variables and backgrounds, at most five, in order of sight."""
+    """Mid-tone hex colours of CSS variables and backgrounds, in order of sight."""
     variables = F.regexp_extract_all(
         html, F.lit(r"(?i)--[a-z-]*color[a-z-]*:\s*(#[0-9a-fA-F]{3,8}|rgb[^;]+)"), F.lit(1)
     )
@@ -139,8 +139,7 @@ def brand_colors(html: Column) -> Column:
     def mid_tone(c: Column) -> Column:
         return let(channel(c, 2) + channel(c, 4) + channel(c, 6), lambda v: (v > 60) & (v < 690))
 
-    kept = F.filter(distinct, lambda c: c.startswith("#") & (F.length(c) >= 7) & mid_tone(c))
-    return F.slice(kept, 1, 5)
+    return F.filter(distinct, lambda c: c.startswith("#") & (F.length(c) >= 7) & mid_tone(c))
 
 
 def title_keywords(title: Column) -> Column:
@@ -223,8 +222,7 @@ def page_features(pages: DataFrame, *, strict: bool = False) -> DataFrame:
         "missing_alt_count": F.size(F.filter("_imgs", lambda t: H.attr(t, "alt") == "")),
         "internal_links": _side("_links", True),
         "external_links": _side("_links", False),
-        "nav_items": F.slice(
-            F.array_distinct(F.filter(
+        "nav_items": F.array_distinct(F.filter(
                 F.transform(
                     F.flatten(F.transform(
                         F.concat(
@@ -234,7 +232,7 @@ def page_features(pages: DataFrame, *, strict: bool = False) -> DataFrame:
                     H.anchor_text,
                 ),
                 lambda t: (t != "") & (F.length(t) < 60),
-            )), 1, 30),
+            )),
         "_list_items": F.aggregate(
             "_ordered_lists", F.lit(0), lambda n, z: n + H.count_tags(z, "li")),
         "page_type": F.when(c("html").isNotNull(), U.page_type(c("url"), strict=strict)),
@@ -245,7 +243,9 @@ def page_features(pages: DataFrame, *, strict: bool = False) -> DataFrame:
     )
     df = df.withColumns({
         "word_count": count_words(c("_text"), 2),
-        "body_snippet": F.substring("_text", 1, 2000),
+        "body_snippet": F.substring("_text", 1, 2000),  # for readers; nothing is computed from it
+        "has_thai_text": c("_text").rlike("[฀-๿]"),
+        "has_latin_text": c("_text").rlike("[a-zA-Z]{3,}"),
         "has_contact_info": contains_any(F.lower("_text"), fv.CONTACT_WORDS)
         | c("_text").rlike(fv.CONTACT_NUMBER_PATTERN),
         "has_faq": c("url").rlike(_FAQ_WORDS)
@@ -257,7 +257,7 @@ def page_features(pages: DataFrame, *, strict: bool = False) -> DataFrame:
         "has_date": any_rlike(c("_t"), _DATE_MARKUP),
         "has_cta_button": any_rlike(c("_t"), _CTA_MARKUP),
         "has_table_of_contents": any_rlike(c("_t"), _TOC_MARKUP)
-        | F.substring("_text", 1, 500).rlike(r"(?i)สารบัญ|table of content"),
+        | c("_text").rlike(r"(?i)สารบัญ|table of content"),
         "has_numbered_list": c("_list_items") > 2,
         "has_table": c("_t").rlike(r"(?i)<table[\s/>]"),
         "broken_nav_items": F.filter(
@@ -330,6 +330,7 @@ def page_features(pages: DataFrame, *, strict: bool = False) -> DataFrame:
         flag("has_og_image", c("og_image").isNotNull()),
         strings("title_keywords"),
         flag("has_table_of_contents"), flag("has_numbered_list"), flag("has_table"),
+        flag("has_thai_text"), flag("has_latin_text"),
         F.coalesce(c("body_snippet"), F.lit("")).alias("body_snippet"),
     )
 

@@ -62,8 +62,8 @@ def site_languages(features: DataFrame) -> DataFrame:
     """Distinct language tags per site: hreflang, else what the text is written in."""
     tagged = features.select("site", F.explode("hreflang.lang").alias("lang")).distinct()
     text = features.groupBy("site").agg(
-        F.bool_or(F.col("body_snippet").rlike("[฀-๿]")).alias("th"),
-        F.bool_or(F.col("body_snippet").rlike("[a-zA-Z]{3,}")).alias("en"),
+        F.bool_or("has_thai_text").alias("th"),
+        F.bool_or("has_latin_text").alias("en"),
     ).join(tagged.select("site").distinct(), "site", "left_anti")
     seen = text.select("site", F.explode(compact(
         keep(F.col("th"), "th"), keep(F.col("en"), "en"))).alias("lang"))
@@ -98,8 +98,8 @@ def _page_counts(features: DataFrame) -> DataFrame:
         "noindex_key": _n(c("is_noindex") & key_type),
         "fetch_ms_mean": F.avg("fetch_ms"),
         "products_all": _n(kind == "product"),
-        "text_th": F.bool_or(c("body_snippet").rlike("[฀-๿]")),
-        "text_en": F.bool_or(c("body_snippet").rlike("[a-zA-Z]{3,}")),
+        "text_th": F.bool_or("has_thai_text"),
+        "text_en": F.bool_or("has_latin_text"),
         # pages with status 200
         "ok_titled": _n(ok & c("title").isNotNull()),
         "ok_no_title": _n(ok & c("title").isNull()),

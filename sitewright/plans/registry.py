@@ -33,7 +33,7 @@ from sitewright.operators.reports import (
 from sitewright.plans import derived as D
 from sitewright.sources.serp import ranked_keywords
 from sitewright.operators.scoring import article_scores, article_verdicts, score_band
-from sitewright.sources.pages import pages_as_articles, read_documents, read_pages
+from sitewright.sources.pages import pages_as_articles, read_documents, read_pages, read_partitions
 
 _CACHE: dict[tuple, DataFrame] = {}
 
@@ -48,7 +48,7 @@ def remembered(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remembered(
-        spark, sf_dir, "pages", lambda: read_pages(spark, f"{sf_dir}/pages.parquet"))
+        spark, sf_dir, "pages", lambda: read_pages(spark, f"{sf_dir}/pages.parquet", read_partitions(spark)))
 
 
 def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +246,7 @@ def parsed_documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as pasted input."""
 
     def make() -> DataFrame:
-        docs = read_documents(spark, f"{sf_dir}/documents.parquet")
+        docs = read_documents(spark, f"{sf_dir}/documents.parquet", read_partitions(spark))
         return parse_inputs(docs.select(F.col("doc_id").alias("article_id"),
                                         F.col("text").alias("raw_input")))
 
@@ -298,7 +298,7 @@ def _document_queries() -> dict:
 
     def documents(fn):
         return lambda spark, sf_dir: tidy(
-            fn(read_documents(spark, f"{sf_dir}/documents.parquet")))
+            fn(read_documents(spark, f"{sf_dir}/documents.parquet", read_partitions(spark))))
 
     def page_articles(fn):
         return lambda spark, sf_dir: tidy(fn(remembered(
@@ -382,7 +382,7 @@ def _derived_queries() -> dict:
 
     def shop_features(spark, sf_dir):
         return remembered(spark, sf_dir, "shop_features", lambda: page_features(
-            D.marked_up_pages(read_documents(spark, f"{sf_dir}/documents.parquet"))))
+            D.marked_up_pages(read_documents(spark, f"{sf_dir}/documents.parquet", read_partitions(spark)))))
 
     def stored_shop_features(spark, sf_dir):
         return remembered(spark, sf_dir, "stored_shop_features",

@@ -22,9 +22,11 @@ def site_audit(pages: DataFrame, *, sitemaps: DataFrame | None = None,
     the markup itself never goes through a shuffle.
     """
     features = reuse(page_features(pages, strict=strict), "page_features")
+    if sitemaps is not None and robots is None:  # no site has a robots file
+        robots = sitemaps.sparkSession.createDataFrame([], "site string, status int, content string")
     facts_of_robots = None if robots is None else robots_facts(robots)
     facts_of_sitemaps = urls = None
-    if sitemaps is not None and robots is not None:
+    if sitemaps is not None:
         facts_of_sitemaps, urls = site_sitemaps(sitemaps, robots)
     facts = reuse(
         S.site_facts(features, sitemaps=facts_of_sitemaps, robots=facts_of_robots,

@@ -28,24 +28,22 @@ def with_page_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Small input over all cores; input with a partition per core or more is left as it is.
-
-    Reading markup costs far more than moving it when the input is one small file.  A large table
-    has many splits already, and its markup is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+def read_partitions(spark: SparkSession) -> int | None:
+    """What a caller asked for in spark.sitewright.read.partitions; unset, splits stay as they are."""
+    named = spark.conf.get("spark.sitewright.read.partitions", None)
+    return int(named) if named else None
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spread(with_page_defaults(spark.read.parquet(path)), "page_id")
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """The page table.  `partitions` deals the rows anew, for few small files on many cores."""
+    pages = with_page_defaults(spark.read.parquet(path))
+    return pages if partitions is None else pages.repartition(partitions, "page_id")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path), "doc_id")
+def read_documents(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """The document table.  `partitions` deals the rows anew, for few small files on many cores."""
+    documents = spark.read.parquet(path)
+    return documents if partitions is None else documents.repartition(partitions, "doc_id")
 
 
 def documents_as_pages(documents: DataFrame) -> DataFrame:

@@ -52,9 +52,9 @@ def _trend(months: Column) -> Column:
                            m["search_volume"].alias("volume")))
 
 
-def _items(df: DataFrame, cap: int) -> DataFrame:
+def _items(df: DataFrame) -> DataFrame:
     first = F.get("result", F.lit(0))["items"]
-    return df.select("target", F.posexplode(F.slice(first, 1, cap)).alias("at", "i")).withColumn(
+    return df.select("target", F.posexplode(first).alias("at", "i")).withColumn(
         "at", F.col("at") + 1)
 
 
@@ -71,10 +71,10 @@ def rank_action(position: Column) -> Column:
     )
 
 
-def ranked_keywords(responses: DataFrame, *, cap: int = 50) -> DataFrame:
-    """Keywords a domain ranks for, the first 50 of a response, blank ones dropped."""
+def ranked_keywords(responses: DataFrame) -> DataFrame:
+    """Keywords a domain ranks for, all of a response, blank ones dropped."""
     c = F.col
-    df = _items(results(responses, RANKED_RESULT), cap)
+    df = _items(results(responses, RANKED_RESULT))
     serp = c("i.ranked_serp_element.serp_item")
     df = df.select(
         "target", "at", F.coalesce(c("i.keyword_data.keyword"), F.lit("")).alias("keyword"),
@@ -87,10 +87,10 @@ def ranked_keywords(responses: DataFrame, *, cap: int = 50) -> DataFrame:
         "priority": rank_priority(c("position")), "suggested_action": rank_action(c("position"))})
 
 
-def keyword_ideas(responses: DataFrame, *, cap: int = 30) -> DataFrame:
-    """Related keywords with volume, difficulty, intent and trend, the first 30 of a response."""
+def keyword_ideas(responses: DataFrame) -> DataFrame:
+    """Related keywords with volume, difficulty, intent and trend, all of a response."""
     c = F.col
-    return _items(results(responses, IDEAS_RESULT), cap).select(
+    return _items(results(responses, IDEAS_RESULT)).select(
         "target", "at", F.coalesce(c("i.keyword"), F.lit("")).alias("keyword"),
         c("i.keyword_info.search_volume").alias("search_volume"),
         _trend(c("i.keyword_info.monthly_searches")).alias("monthly_trend"),
@@ -127,7 +127,7 @@ def competitor_domains(responses: DataFrame) -> DataFrame:
     """Domains that share keywords with the target, in the order of the response."""
     c = F.col
     zero = F.lit(0).cast("bigint")
-    return _items(results(responses, COMPETITOR_RESULT), 1000).select(
+    return _items(results(responses, COMPETITOR_RESULT)).select(
         "target", "at", c("i.domain").alias("domain"),
         F.coalesce(c("i.intersections"), zero).alias("shared_keywords"),
         F.coalesce(c("i.missing_keywords_count"), zero).alias("missing_keywords"))

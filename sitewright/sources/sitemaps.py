@@ -32,7 +32,7 @@ def _files(sitemaps: DataFrame) -> DataFrame:
 
 
 def robots_facts(robots: DataFrame) -> DataFrame:
-    """Per site: file found, sitemap declared, disallowed paths, first 2000 characters."""
+    """Per site: file found, sitemap declared, disallowed paths, the whole text."""
     c = F.col
     found = F.coalesce((c("status") == 200) & (c("content") != ""), F.lit(False))
     paths = F.filter(
@@ -42,7 +42,7 @@ def robots_facts(robots: DataFrame) -> DataFrame:
         lambda p: p != "")
     return robots.select(
         "site", found.alias("robots_found"), c("status").alias("robots_status"),
-        F.when(found, F.substring("content", 1, 2000)).alias("robots_content"),
+        F.when(found, c("content")).alias("robots_content"),
         (found & F.coalesce(c("content").rlike(r"(?im)^sitemap:"), F.lit(False)))
         .alias("sitemap_declared"),
         F.when(found, paths).otherwise(F.array().cast("array<string>")).alias("disallowed_paths"),

@@ -85,7 +85,7 @@ def test_history_and_reports(spark, tmp_path):
     H.append_scans(H.scan_rows(whole, created_at=day), path)
     stored = H.read_scans(spark, path)
     one = H.scan_by_id(stored, "s7").first()
-    assert len(one["raw_input"]) == 5000 and one["score"] > 0
+    assert len(one["raw_input"]) > 5000 and one["score"] > 0
     assert json.loads(one["json_report"])["apexScore"]["total"] == one["score"]
     assert one["markdown_report"].count("\n## ") == 23 and "5 March 2024" in one["markdown_report"]
     assert "## 23. Compliance" in one["markdown_report"]

@@ -119,13 +119,13 @@ def test_competitors(spark, articles):
         [(2, 1, 1), (2, 3, 2), (2, 99, 3), (2, 1, 4)],
         "article_id long, competitor_id long, position int")
     gaps = {r["position"]: r for r in competitor_gaps(targets, articles).collect()}
-    assert set(gaps) == {1, 2, 3}
+    assert set(gaps) == {1, 2, 3, 4}
     assert gaps[1]["has_faq"] and gaps[1]["has_table"] and gaps[1]["title_score"] == 32
     assert "Has FAQ section" in gaps[1]["what_they_do_better"]
     assert gaps[3]["what_they_do_better"] == ["Could not fetch competitor"] and not gaps[3]["fetched"]
     avg = competitor_averages(targets, articles).first()
     words = by_id(articles)[1]["word_count"]
-    assert avg["n_competitors"] == 3 and abs(avg["competitor_mean_words"] - words / 3) < 1e-9
+    assert avg["n_competitors"] == 4 and abs(avg["competitor_mean_words"] - words / 2) < 1e-9
     joined = articles.join(competitor_averages(targets, articles), "article_id", "left")
     kinds = [r["type"] for r in article_failures(joined).filter("article_id = 2").collect()]
     assert "Competitor FAQ Gap" in kinds
@@ -174,5 +174,15 @@ def test_keyword_inference_and_type_upgrade(spark):
         "u string, h1 string, title string, kind string, body string")
     c = F.col
     got = [tuple(r) for r in df.select(
-        P.inferred_keyword(c("u"), c("h1"), c("title")), P.upgraded_type(c("kind"), c("body"))).collect()]
+        P.inferred_keyword(c("u"), c("h1"), c("title")), P.upgraded_type(c("kind"), P.body_article_type(F.lower("body")))).collect()]
     assert got == [("my best_page", "Travel"), ("Head part", "Visa"), (None, "Affiliate")]
+
+
+def test_nothing_of_an_article_is_read_from_a_prefix(spark):
+    asked = " ".join(f"What is question number {i} about?" for i in range(12))
+    text = f"{'plain words. ' * 1500} {asked} since 2015 {' '.join(f'pair{i} pair{i}x ' * 5 for i in range(12))} a hotel"
+    rows = article_features(spark.createDataFrame(
+        [(1, None, f"<html><body><p>{text}</p></body></html>")], "article_id long, url string, html string"))
+    r = rows.first()
+    assert "2015" in r["old_years"] and len(r["questions_found"]) == 12
+    assert r["body_article_type"] == "Travel" and len(r["repeated_phrases"]) > 12

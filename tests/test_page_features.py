@@ -144,3 +144,14 @@ def test_union_of_features_is_features_of_union(spark, data_dir):
     parts = page_features(pages.filter("page_id % 2 = 0")).select(cols).union(
         page_features(pages.filter("page_id % 2 = 1")).select(cols))
     assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
+def test_nothing_is_read_from_a_prefix(spark):
+    menu = "".join(f"<a href='/n{i}'>Item {i}</a>" for i in range(39)) + "<a href='/z'>RAW_NAME</a>"
+    html = (f"<html><body><nav>{menu}</nav><main><p>{'word ' * 3000} table of contents ภาษาไทย</p>"
+            f"<a href='/long'>{'anchor ' * 30}</a></main></body></html>")
+    f = page_features(spark.createDataFrame([(1, "https://a.com/x", html)], "page_id long, url string, html string"))
+    r = f.first()
+    assert r["has_thai_text"] and r["has_latin_text"] and r["has_table_of_contents"]
+    assert len(r["nav_items"]) == 40 and r["broken_nav_items"] == ["RAW_NAME"]
+    assert max(len(x["text"]) for x in r["internal_links"]) > 200

@@ -225,3 +225,21 @@ def test_whole_audit(spark, data_dir):
         assert tables[name].count() == n_sites, name
     assert tables["keyword_frequency"].count() >= 0
     assert audit_overview(pages).select("site").distinct().count() == n_sites
+
+
+def test_repeated_title_words_are_those_of_live_pages(spark):
+    rows = site_rows("a.com", [(f"/l{i}", page(title="alpha live"), 200, 0) for i in range(3)]
+                     + [(f"/m{i}", page(title="missing notfound"), 404, 0) for i in range(8)])
+    f = page_features(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA))
+    found = [r for r in I.site_issues(S.site_facts(f), f).collect() if r["issue_id"] == "keyword_cannibalization"]
+    assert [x["label"] for x in found[0]["found"]] == ['"alpha"', '"live"'] and found[0]["affected_count"] == 6
+
+
+def test_sitemaps_without_robots(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/x", page(), 200, 0)], SCHEMA)
+    maps = spark.createDataFrame(
+        [("a.com", "https://a.com/sitemap.xml", "<urlset><url><loc>https://a.com/y</loc></url></urlset>")],
+        "site string, url string, xml string")
+    tables = site_audit(pages, sitemaps=maps)
+    assert tables["site_facts"].first()["sitemap_found"]
+    assert tables["discovered_urls"].filter("url = 'https://a.com/y'").count() == 1

@@ -99,7 +99,7 @@ def test_ranked_keywords(spark):
         "Add internal links + improve relevance", "Create content"]
     assert a[0]["intent"] == "commercial" and a[1]["intent"] == "unknown"
     assert {r["target"]: r["count"] for r in rows.groupBy("target").count().collect()} == {
-        "a.com": 7, "e.com": 50}
+        "a.com": 7, "e.com": 60}
 
 
 def test_ideas_volumes_backlinks(spark):
@@ -109,7 +109,7 @@ def test_ideas_volumes_backlinks(spark):
     df = responses(spark, [("a", response([{"items": [idea] * 40}])), ("b", response(None))])
     rows = serp.keyword_ideas(df)
     first = rows.first()
-    assert rows.count() == 30 and first["keyword_difficulty"] == 70 and first["intent"] == "unknown"
+    assert rows.count() == 40 and first["keyword_difficulty"] == 70 and first["intent"] == "unknown"
     assert first["monthly_trend"][0].asDict() == {"month": 1, "year": 2024, "volume": 7}
     vols = serp.search_volumes(responses(spark, [
         ("a", response([{"keyword": "x", "search_volume": None}, {"keyword": "y", "search_volume": 3}]))]))
