@@ -238,8 +238,8 @@ def test_repeated_title_words_are_those_of_live_pages(spark):
 def test_sitemaps_without_robots(spark):
     pages = spark.createDataFrame([(1, "https://a.com/x", page(), 200, 0)], SCHEMA)
     maps = spark.createDataFrame(
-        [("a.com", "https://a.com/sitemap.xml", "<urlset><url><loc>https://a.com/y</loc></url></urlset>")],
-        "site string, url string, xml string")
+        [("a.com", "https://a.com/sitemap.xml", 200, "<urlset><url><loc>https://a.com/y</loc></url></urlset>")],
+        "site string, url string, status int, xml string")
     tables = site_audit(pages, sitemaps=maps)
     assert tables["site_facts"].first()["sitemap_found"]
     assert tables["discovered_urls"].filter("url = 'https://a.com/y'").count() == 1
