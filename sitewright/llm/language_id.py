@@ -49,6 +49,7 @@ def language_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "
               .select(F.col(lang).alias("_lang"), F.xxhash64(t).alias("_hash"), t.substr(place, F.lit(SAMPLE_CHARS)).alias("_text"))
               .withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)))
               .withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= SAMPLE_TEXTS)
+              .dropDuplicates(["_lang", "_hash"])  # copies are in one part, and one of them is enough
               .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= SAMPLE_TEXTS)
               .groupBy("_lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_text"))), lambda x: x["_text"]), "\n").alias("_all")))
     texts = {r["_lang"]: plain(r["_all"]) for r in picked.collect()}

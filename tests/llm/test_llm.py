@@ -126,6 +126,10 @@ def test_languages(spark):
     rows = odd.collect()
     assert all(r.lang_pred == "und" and r.lang_rejected and r.lang_score == 0 for r in rows if not r.text or not re.search(r"[^\W\d_]", r.text))
     assert all(0 <= r.lang_score <= 1 for r in rows) and len(rows) == len(ODD) + 1
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    copies = spark.createDataFrame([("en", name(i % 400)) for i in range(8000)], "lang string, text string")
+    learned = language_id.language_dictionaries(copies.repartition(5))["en"].split()
+    assert len(learned) == len(set(learned)) == language_id.SAMPLE_TEXTS  # copies of a text count once
     assert language_id.identify_language(table(spark), {}).filter("lang_pred = 'und'").count() == len(ODD)
 
 
