@@ -88,16 +88,17 @@ def near_links(prints: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = SEGMENT_BITS) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id): component_id is the smallest id reachable over links of two or fewer bits.
+    """(doc_id, text_hash, fp, component_id, label): component_id is the smallest id reachable over links of two or fewer bits.
 
     One row for each row of docs, whatever else it holds; repeated ids and texts are kept.  A component whose ids are
-    all null has a null component_id.  Copies share a fingerprint and cost one row after the first count.
+    all null has a null component_id.  label is the component's least fingerprint: unlike component_id it tells apart
+    components whose least id is the same.  Copies share a fingerprint and cost one row after the first count.
     """
     prints = written(fingerprints(docs, key, text))
     groups = written(prints.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
     labels = written(connected(near_links(groups.select("fp"), bits)))
     named = labels.join(groups, labels.id == groups.fp).groupBy("label").agg(F.count("*").alias("members"), F.min("least").alias("component"))
-    inside = skew_safe_left_join(labels, written(named), "label", "members").select("id", "component")
+    inside = skew_safe_left_join(labels, written(named), "label", "members").select("id", "label", "component")
     table = groups.join(inside, groups.fp == inside.id, "left")
-    table = written(table.select("fp", "copies", F.coalesce("component", "least").alias("component_id")))
-    return skew_safe_left_join(prints, table, "fp", "copies").select("doc_id", "text_hash", "fp", "component_id")
+    table = written(table.select("fp", "copies", F.coalesce("component", "least").alias("component_id"), F.coalesce("label", "fp").alias("label")))
+    return skew_safe_left_join(prints, table, "fp", "copies").select("doc_id", "text_hash", "fp", "component_id", "label")

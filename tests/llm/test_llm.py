@@ -301,3 +301,12 @@ def test_pipeline(spark):
         assert stage(spark, odd, SMALL).columns == odd.columns
         assert stage(spark, odd.limit(0), SMALL).count() == 0
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, odd, SMALL).collect()) == ["1", "2", "None"]
+
+
+def test_near_dedup_repeated_id_of_two_groups(spark):
+    import corpus_pipeline
+
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = table(spark, [(1, one), (2, one), (1, other), (3, other), (4, one)])
+    kept = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, one), (1, other)]
