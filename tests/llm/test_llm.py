@@ -11,7 +11,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from sitewright.llm import automata, bpe, contamination, iblt, language_id, pii, quality_mil, queries, resharding, simhash, sparse_suffixes, sql
+from sitewright.llm import automata, bpe, contamination, iblt, language_id, pii, quality_mil, queries, resharding, similar_texts, simhash, sparse_suffixes, sql
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 RANKS = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
@@ -310,3 +310,32 @@ def test_near_dedup_repeated_id_of_two_groups(spark):
     docs = table(spark, [(1, one), (2, one), (1, other), (3, other), (4, one)])
     kept = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, one), (1, other)]
+
+
+def test_near_dedup_finds_all_similar_texts(spark):
+    """Against all pairs by brute force, with planted copies of several lengths around the bound and a hub of near copies."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    texts = [t for _, t in documents(spark, SMALL)][:60] + ["", "a b", "A  b", "a b c"]
+    for n in (5, 6, 30, 200):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        texts.append(" ".join(base))
+        for cut in range(1, 1 + n // 8):
+            own = list(base)
+            for at in rng.choice(n, max(1, cut // 5), replace=False):
+                own[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(own[cut:]))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    found = {r.doc_id: r.label for r in similar_texts.similar_texts(table(spark, list(enumerate(texts)))).collect()}
+    assert {(i, j) for i in found for j in found if found[i] == found[j]} == {(i, j) for i in found for j in found if group[i] == group[j]}
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, list(enumerate(texts))), SMALL).collect()}
+    assert kept == set(first.values()) and len(kept) < len(texts) - 10
