@@ -339,3 +339,17 @@ def test_near_dedup_finds_all_similar_texts(spark):
         first.setdefault(g, i)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, list(enumerate(texts))), SMALL).collect()}
     assert kept == set(first.values()) and len(kept) < len(texts) - 10
+
+
+def test_account_numbers_before_words(spark):
+    number = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    cases = [(f"{before}{n}{after}", n) for n in number for before in ("", "the latest, our greatest order test sample: ", "border\n")
+             for after in (" Please pay", " BIC COBADEFFXXX", " 12 May", " I pay", ".", " 2024", "")]
+    found = {r.doc_id: r for r in pii.redact(pii.find_pii(table(spark, [(i, t) for i, (t, _) in enumerate(cases)])).withColumn("whole", F.col("text"))).collect()}
+    for i, (text, n) in enumerate(cases):
+        assert [text[s.start:s.end] for s in found[i].pii if s.kind == "iban"] == [n], text
+        assert "<" in found[i].text and n[-4:] not in found[i].text
+    wrong = ["DE88370400440532013000 Please", "DE893704004405320130001", "xDE89370400440532013000", "DE8937040044053201300"]
+    assert not any(s.kind == "iban" for r in pii.find_pii(table(spark, list(enumerate(wrong)))).collect() for s in r.pii)
+    scores = [r.pii[0].score for r in pii.find_pii(table(spark, [(0, "the latest border +49 30 1234567"), (1, "a test +49 30 1234567")])).orderBy("doc_id").collect()]
+    assert scores == [0.7, 0.4]
