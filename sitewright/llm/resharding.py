@@ -128,15 +128,27 @@ def reshard(sized: DataFrame, shards: int, old: str = "old_shard", size: str = "
         (F.col("shard") != F.col(old)).alias("moved"))
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id", old: str = "old_shard") -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, old: str = "old_shard") -> list[int]:
     """Writes the rows of every shard that gives or takes documents to path/shard=N; returns those shards.
 
-    Shards that nothing moves into or out of are left alone, so their files stay valid.  docs has one row per key.
+    Shards that nothing moves into or out of are left alone, so their files stay valid.  docs has one row for each row of
+    placed and the column `old`; a row finds its place by all columns that the two tables share, nulls included, and rows
+    equal in all of these by their number among their like.  Where ids repeat, docs should have the size and the text's
+    hash that reshard was given, so that each text gets the place of its size.
     """
-    moved = placed.filter("moved")
-    touched = [r[0] for r in moved.select(F.explode(F.array("shard", old)).alias("s")).distinct().collect()]
-    targets = placed.filter(F.col("shard").isin(touched)).select(key, "shard", "slot")
-    (docs.drop("shard", "slot").join(targets, key)
+    added = {"shard", "slot", "moved"}
+    docs = docs.drop(*added)
+    shared = [c for c in placed.columns if c in docs.columns and c not in added]
+    if old not in shared:
+        raise ValueError(f"both tables need the column {old}")
+    touched = [r[0] for r in placed.filter("moved").select(F.explode(F.array("shard", old)).alias("s")).distinct().collect()]
+    number = F.row_number().over(Window.partitionBy(*shared).orderBy(old))
+    # a row that moves makes its old shard touched, so rows that are alike are numbered on both sides or on neither
+    rows = docs.filter(F.col(old).isin(touched)).withColumn("_number", number)
+    targets = placed.filter(F.col(old).isin(touched)).select(*shared, "shard", "slot").withColumn("_number", number)
+    targets = targets.select(F.struct(*shared, "_number").alias("_handle"), "shard", "slot")
+    same = [rows[c].eqNullSafe(F.col("_handle")[c]) for c in (*shared, "_number")]
+    (rows.join(targets, same).drop("_handle", "_number")
      .repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))
     return sorted(touched)

@@ -353,3 +353,17 @@ def test_account_numbers_before_words(spark):
     assert not any(s.kind == "iban" for r in pii.find_pii(table(spark, list(enumerate(wrong)))).collect() for s in r.pii)
     scores = [r.pii[0].score for r in pii.find_pii(table(spark, [(0, "the latest border +49 30 1234567"), (1, "a test +49 30 1234567")])).orderBy("doc_id").collect()]
     assert scores == [0.7, 0.4]
+
+
+def test_rewrite_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None if i % 4 == 0 else i % 7, f"text {i % 50} " * (i % 9), i % 3) for i in range(300)] + [(None, None, 0), (None, None, 0), (3, None, 1)]
+    docs = (spark.createDataFrame(rows, "doc_id long, text string, old_shard int")
+            .withColumn("size", resharding.text_size(F.col("text"))).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))))
+    placed = resharding.reshard(docs.drop("text"), 5, order=("doc_id", "text_crc32")).cache()
+    touched = resharding.rewrite(docs, placed, str(tmp_path / "new"))
+    back = spark.read.parquet(str(tmp_path / "new")).collect()
+    want = placed.filter(F.col("shard").isin(touched)).collect()
+    place = lambda r: (r.shard, r.slot, r.doc_id, r.size, r.text_crc32, r.old_shard)
+    assert sorted(map(str, map(place, back))) == sorted(map(str, map(place, want))) and len(set((r.shard, r.slot) for r in back)) == len(back)
+    texts = sorted(str((r.doc_id, r.text, r.old_shard)) for r in back)
+    assert texts == sorted(str(r) for r in rows if r[2] in touched) and len(texts) > 250
