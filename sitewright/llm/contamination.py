@@ -210,9 +210,9 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     (ids with an exact window, and with a window by proximity; sorted).
 
     A benchmark of any size is searched in blocks of bounded size.  Null texts and items without words have no
-    window; items with null ids are left out; an empty benchmark hits nothing.
+    window; words of items with null ids are hit, but such items are in no list; an empty benchmark hits nothing.
     """
-    items = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
     parts = [_search_block(index, [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()], window, near)

@@ -367,3 +367,12 @@ def test_rewrite_null_and_repeated_ids(spark, tmp_path):
     assert sorted(map(str, map(place, back))) == sorted(map(str, map(place, want))) and len(set((r.shard, r.slot) for r in back)) == len(back)
     texts = sorted(str((r.doc_id, r.text, r.old_shard)) for r in back)
     assert texts == sorted(str(r) for r in rows if r[2] in touched) and len(texts) > 250
+
+
+def test_contamination_items_without_id(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = table(spark, [(1, f"a b {passage} c"), (2, "nothing of it here")])
+    for ids in ([None], [None, 7]):
+        benchmark = spark.createDataFrame([(i, passage) for i in ids], "item_id long, text string")
+        found = {r.doc_id: r for r in contamination.search(contamination.build_index(docs), benchmark).collect()}
+        assert found[1].n_hit == 40 and found[1]["items"] == [i for i in ids if i] and found[2].n_hit == 0
