@@ -108,6 +108,29 @@ def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.pivot_clusters import centroid_digest, pivot_clusters
+
+    found = pivot_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    own = found.assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    total = own.agg(F.sum("cluster_inertia").alias("inertia"))
+    named = spark.createDataFrame([(i, centroid_digest(c)) for i, c in enumerate(found.centroids)], "cluster int, centroid_sha256 string")
+    # one row for each of the 40 centroids
+    return found.assigned.join(F.broadcast(own.crossJoin(total).join(named, "cluster")), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_certified_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    from sitewright.llm.packing import pack, token_pieces
+
+    pieces = token_pieces(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(tokenizer), with_ids=False).drop("ids")
+    found = pack(pieces)
+    return found.placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
+                               F.lit(found.sequences).cast("long").alias("sequences"), F.lit(found.bound).cast("long").alias("bound"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,5 +139,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_flow_resharding, op2_pii_spans, op3_zstd_language, op4_positional_index, op5_simhash_popcount,
-             op6_sparse_suffixes, op7_byte_bpe, op8_iblt_fingerprint, op9_suffix_automata, op10_attention_mil, pipeline)
+             op6_sparse_suffixes, op7_byte_bpe, op8_iblt_fingerprint, op9_suffix_automata, op10_attention_mil, op12_laesa_clusters, op13_certified_packing, pipeline)
     return {q.__name__: q for q in named}
