@@ -108,6 +108,33 @@ def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults by rule: lost, emptied, cut off, repeated rows and wrong roles; nulls count as one space."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn")).cast("binary")) % 20
+    text = name("text")
+    return rows.withColumn("_code", code).filter("_code <> 0").select(
+        "conv_id", "turn", F.when(F.col("_code") == 4, "user").otherwise(name("role")).alias("role"),
+        F.when(F.col("_code") == 1, "").when(F.col("_code") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("_code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
+
+
+def op11_path_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitewright.llm.common import written
+    from sitewright.llm.conversations import conversation_digests, conversation_key, repair_conversations, turn_gaps
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    original = rows.groupBy("conv_id").agg(F.lit(1).alias("_one")).select("conv_id", conversation_key(F.col("conv_id")).alias("conv"))
+    faulty = damaged(rows)
+    blocks = written(repair_conversations(faulty))
+    counts = ("blank", "duplicate", "truncated", "illegal")
+    counted = blocks.groupBy("conv").agg(*[F.sum(c).alias(c) for c in counts], F.min_by("cost", "block").alias("cost"))
+    found = original.join(turn_gaps(faulty), "conv", "left").join(counted, "conv", "left").join(conversation_digests(blocks), "conv", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return found.select("conv_id", zero("gaps"), *map(zero, counts), zero("cost"), F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 def op12_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitewright.llm.pivot_clusters import centroid_digest, pivot_clusters
 
@@ -139,5 +166,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_flow_resharding, op2_pii_spans, op3_zstd_language, op4_positional_index, op5_simhash_popcount,
-             op6_sparse_suffixes, op7_byte_bpe, op8_iblt_fingerprint, op9_suffix_automata, op10_attention_mil, op12_laesa_clusters, op13_certified_packing, pipeline)
+             op6_sparse_suffixes, op7_byte_bpe, op8_iblt_fingerprint, op9_suffix_automata, op10_attention_mil, op11_path_ranking, op12_laesa_clusters, op13_certified_packing, pipeline)
     return {q.__name__: q for q in named}
