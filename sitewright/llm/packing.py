@@ -2,8 +2,8 @@
 
 Pieces are dealt into groups of bounded size.  Each group is packed by best-fit decreasing, and dual feasible functions
 give a bound that no packing of the group can beat.  Groups that meet their bound are done but for their loosest bin;
-groups with a gap hand over their loosest bins.  What was handed over is dealt anew in whole bins and packed again, and
-the new packing counts only where it needs fewer bins, so the number of sequences never grows.
+groups with a gap hand over all bins that have room.  What was handed over is dealt anew in whole bins and packed again,
+and the new packing counts only where it needs fewer bins, so the number of sequences never grows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from sitewright.llm.common import written
 GROUP_PIECES = 8192
 #: Rounding functions tried for the bound, each together with every threshold.
 ROUNDINGS = 32
+#: An exchange is followed by another while it saves one of so many bins.
+WORTH = 1000
 #: Distinct words, and parts of words, whose ids a task remembers; beyond it the memory is emptied, which costs time only.
 REMEMBERED = 600_000
 #: Long texts are read in parts of about so many characters.
@@ -83,13 +85,9 @@ def _repacked(capacity: int, stage: int) -> Callable[[pa.Table], pa.Table]:
         if stage and bins.max() + 1 >= len(old):  # nothing won: the old bins stay
             bins, ids, offsets = place, before, table.column("offset").to_numpy()
         filled = np.bincount(bins, lengths).astype(np.int64)
-        gap = len(filled) - bound
-        order = np.argsort(filled, kind="stable")
-        # saving `gap` bins takes the free space of that many; one bin more leaves room to move
-        loose = 1 if gap == 0 else int(np.searchsorted(np.cumsum(capacity - filled[order]), (gap + 1) * capacity)) + 1
-        open_bins = np.zeros(len(filled), bool)
-        open_bins[order[:loose]] = True
-        open_bins &= filled < capacity
+        open_bins = filled < capacity
+        if len(filled) == bound:  # proven; only the last bin may still be shared with other groups
+            open_bins &= np.arange(len(filled)) == filled.argmin()
         for name, column in (("sequence_id", ids), ("offset", offsets), ("_open", open_bins[bins])):
             table = table.set_column(table.schema.get_field_index(name), name, pa.array(column))
         return table
@@ -133,7 +131,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, length: str = "length") -> Pac
         packed = written(dealt.groupBy("_group").applyInArrow(_repacked(capacity, stage), dealt.schema))
         now = {r["_open"]: (r.bins, r.n) for r in packed.groupBy("_open").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()}
         closed, (bins, n_open) = now.get(False, (0, 0))[0], now.get(True, (0, 0))
-        won = open_bins is None or closed + bins < open_bins
+        won = open_bins is None or (open_bins - closed - bins) * WORTH >= open_bins
         if groups == 1 or not won or sequences + closed + bins <= bound:  # nothing left to exchange, to win, or to prove
             done.append(packed.select("row", "sequence_id", "offset"))
             sequences += closed + bins

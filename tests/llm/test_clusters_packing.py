@@ -73,7 +73,8 @@ def test_pivots_spare_distances_and_miss_none():
     all_d = ((vectors[:, None] - centres[None]) ** 2).sum(axis=2)
     assert (c == all_d.argmin(axis=1)).all() and (d == all_d.min(axis=1)).all()
     assert tried < 0.2 * all_d.size
-    assert (pivot_clusters.nearest(vectors, 0 * to_pivots + 1e12, centres, pivots)[0] != c).any()  # the table decides
+    wrong = pivot_clusters.nearest(vectors, np.roll(to_pivots, 1, axis=0), centres, pivots)[0]  # the table decides
+    assert len(wrong) != len(c) or (wrong != c).any()
 
 
 def fewest_bins(lengths, capacity):
@@ -142,7 +143,9 @@ def test_packing_is_whole_and_certified(spark, monkeypatch, group):
     got = found.placed.collect()
     assert sorted((r.doc_id, r.length) for r in got) == sorted((a, b) for a, b, _ in rows)
     assert check_places([(r.sequence_id, r.offset, r.length) for r in got], 100) == found.sequences
-    assert found.bound <= found.sequences <= found.bound + (0 if group > 1500 else 3)
+    assert found.bound <= found.sequences <= found.bound + (0 if group > 1500 else found.bound // 100)
+    in_groups = [lengths[at::38] for at in range(38)]  # packed apart, without an exchange
+    assert group > 1500 or found.sequences < sum(packing.best_fit_decreasing(np.array(x), 100)[0].max() + 1 for x in in_groups)
     assert packing.pack(spark.createDataFrame([], "length long"), 100).placed.count() == 0
     with pytest.raises(Exception, match="lengths must be"):
         packing.pack(spark.createDataFrame([(101,)], "length long"), 100).placed.collect()
