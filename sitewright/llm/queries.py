@@ -139,11 +139,11 @@ def op12_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitewright.llm.pivot_clusters import centroid_digest, pivot_clusters
 
     found = pivot_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
-    own = found.assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = own.agg(F.sum("cluster_inertia").alias("inertia"))
-    named = spark.createDataFrame([(i, centroid_digest(c)) for i, c in enumerate(found.centroids)], "cluster int, centroid_sha256 string")
     # one row for each of the 40 centroids
-    return found.assigned.join(F.broadcast(own.crossJoin(total).join(named, "cluster")), "cluster").select(
+    own = {r.cluster: r.d for r in found.assigned.groupBy("cluster").agg(F.sum("distance").alias("d")).collect()}
+    named = spark.createDataFrame([(i, own[i], sum(own.values()), centroid_digest(found.centroids[i])) for i in sorted(own)],
+                                  "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.assigned.join(F.broadcast(named), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
