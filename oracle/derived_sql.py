@@ -57,7 +57,7 @@ rf AS (SELECT id, id AS page_id, k, lang, host, 'shop' || k || '.example.com' AS
     got AND id % 6 IN (1, 2) AS has_og_title, got AND id % 6 IN (2, 3) AS has_og_image,
     got AND id % 6 = 2 AS has_og_description,
     CASE WHEN got AND id % 5 = 1 THEN 2 ELSE 0 END AS n_hreflang,
-    CASE WHEN NOT got THEN 0 ELSE CASE id % 12 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END END AS n_schemas,
+    CASE WHEN NOT got THEN 0 ELSE CASE id % 12 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 4 ELSE 0 END END AS n_schemas,
     got AND id % 12 = 0 AS has_org, got AND id % 12 = 1 AS has_product, got AND id % 12 = 2 AS has_faq_schema,
     got AND id % 12 = 0 AS has_breadcrumb, got AND id % 12 = 3 AS has_article,
     CASE WHEN got AND id % 9 <> 4 THEN h1 END AS h1,
@@ -207,7 +207,7 @@ bk AS (SELECT site, {_BUCKET} AS bucket, path, min(page_id) AS first_id FROM rf
 cp AS (SELECT * FROM ({top_k('bk', 'site, bucket', 'first_id, path', 15)}) WHERE bucket = 'collections' OR rank <= 10),
 ot AS ({top_k(f'''(SELECT DISTINCT site, url, path FROM rf WHERE path <> '/' AND path NOT LIKE '/a/b/c/d/%'
    AND NOT regexp_matches(path, {q(fv.OTHER_PATH_SYSTEM_PATTERN)})
-   AND (site, path) NOT IN (SELECT (site, path) FROM cp))''', 'site', 'url', 10)}),
+   AND (site, path) NOT IN (SELECT (site, path) FROM bk))''', 'site', 'url', 10)}),
 al AS (SELECT site, bucket, path, rank FROM cp UNION ALL SELECT site, 'other', path, rank FROM ot)
 """
 
@@ -216,6 +216,46 @@ def _bucket(name: str) -> str:
     return f"coalesce(array_to_string(list(path ORDER BY rank) FILTER (bucket = {q(name)}), '|'), '') AS {name}"
 
 
+def _evidence(issue: str, k: int, cond: str, **fields: str) -> str:
+    given = ", ".join(f"({fields.get(n, 'NULL')})::{'BIGINT' if n == 'status' else 'VARCHAR'} AS {n}" for n in ("url", "page", "label", "current", "status", "value", "note"))
+    return (f"SELECT site, {q(issue)} AS issue_id, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS at, {given} "
+            f"FROM rf WHERE {cond} QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) <= {k}")
+
+
+_P = {"page": "rf.url"}
+EVIDENCE = f"""
+kwp AS (SELECT o.site, o.kw, o.page_id, r.path, row_number() OVER (PARTITION BY o.site, o.kw ORDER BY o.page_id) AS g
+        FROM kwo o JOIN rf r USING (page_id)),
+kwl AS (SELECT t.site, t.kw, t.n, t.rank, array_to_string(list(path ORDER BY g) FILTER (g <= 2), ', ') AS paths
+        FROM ({top_k('kwc', 'site', 'n DESC, kw', 5)}) t JOIN kwp USING (site, kw) GROUP BY ALL),
+tgf AS (SELECT site, title, count(*) AS n, min(page_id) AS first_id FROM rf WHERE title IS NOT NULL AND {_L} GROUP BY 1, 2 HAVING count(*) > 1),
+ev AS (""" + " UNION ALL ".join([
+    _evidence("no_meta_description", 4, f"{_L} AND meta_description IS NULL", **_P, value="word_count"),
+    _evidence("missing_h1", 4, f"{_L} AND h1 IS NULL", **_P),
+    _evidence("weak_h1", 4, f"{_L} AND length(h1) < 15", **_P, current="h1"),
+    _evidence("product_title_model_code_only", 4, f"{_L} AND page_type = 'product' AND length(regexp_replace(title, '[^a-zA-Z0-9]', '', 'g')) < 15", **_P, current="title"),
+    _evidence("thin_content", 4, f"{_L} AND word_count < 300", **_P, value="word_count"),
+    _evidence("missing_alt_text", 4, f"{_L} AND missing_alt_count > 0", **_P, value="missing_alt_count"),
+    _evidence("no_cta", 3, f"{_L} AND NOT has_cta_button AND page_type <> 'policy'", **_P),
+    _evidence("poor_internal_linking", 4, f"{_L} AND internal_link_count < 3", **_P, value="internal_link_count", note="'internal links'"),
+    _evidence("noindex_pages", 5, f"{_L} AND meta_robots IS NOT NULL", **_P, current="meta_robots", note="page_type"),
+    _evidence("multiple_h1", 4, f"{_L} AND h1_count > 1", **_P, value="h1_count", note="'H1 tags'"),
+    _evidence("heading_hierarchy", 4, f"{_L} AND h1 IS NOT NULL AND h3_count > 0 AND h2_count = 0", **_P, current="'H1:1, H2:' || h2_count || ', H3:' || h3_count"),
+    _evidence("missing_og_tags", 3, f"{_L} AND NOT (has_og_title AND has_og_image)", **_P,
+              note="'og:title: ' || CASE WHEN has_og_title THEN 'yes' ELSE 'no' END || ' og:image: ' || CASE WHEN has_og_image THEN 'yes' ELSE 'no' END"),
+    _evidence("canonical_mismatch", 4, f"{_L} AND canonical LIKE '%other.example.net%'", **_P, current="canonical"),
+    _evidence("missing_canonical", 4, f"{_L} AND canonical IS NULL AND page_type <> 'other'", **_P, note="page_type"),
+    _evidence("slow_server_response", 4, f"{_L} AND fetch_ms > 3000", **_P, value="printf('%.1fs', fetch_ms / 1000.0::DOUBLE)"),
+    _evidence("no_h2_structure", 4, f"{_L} AND page_type IN ('home', 'product', 'category', 'blog', 'service') AND h2_count = 0 AND word_count > 200", **_P, note="page_type"),
+    _evidence("broken_pages", 5, "status >= 400", url="rf.url", status="status"),
+    "SELECT site, 'duplicate_missing_title' AS issue_id, CASE WHEN o = 0 THEN g - 1 ELSE g - 1 + least(3, (SELECT count(*) FROM rf x WHERE x.site = u.site "
+    f"AND x.title IS NULL AND (x.status = 200 OR x.status IS NULL))) END AS at, NULL::VARCHAR AS url, page, NULL::VARCHAR AS label, "
+    "t AS current, NULL::BIGINT AS status, n::VARCHAR AS value, NULL::VARCHAR AS note FROM ("
+    f"SELECT site, 0 AS o, row_number() OVER (PARTITION BY site ORDER BY page_id) AS g, NULL AS t, url AS page, NULL AS n FROM rf WHERE {_L} AND title IS NULL "
+    "UNION ALL SELECT site, 1, row_number() OVER (PARTITION BY site ORDER BY first_id, title), title, NULL, n FROM tgf) u WHERE g <= 3",
+    "SELECT site, 'keyword_cannibalization' AS issue_id, rank - 1 AS at, NULL AS url, NULL AS page, '\"' || kw || '\"' AS label, NULL AS current, NULL AS status, n::VARCHAR AS value, paths AS note FROM kwl",
+]) + ")"
+
 _MISSING = ", ".join([
     "CASE WHEN id % 5 = 1 THEN 'salesPitchSummary' END", "CASE WHEN id % 7 = 2 THEN 'executiveSummary' END",
     "CASE WHEN id % 11 = 3 THEN 'overallVerdict' END", "CASE WHEN id % 6 = 4 THEN 'actionPlan' END",
@@ -230,7 +270,84 @@ ut AS (SELECT scan_id, model, CASE WHEN known THEN n * 10 ELSE round(n / 4.0::DO
 uc AS (SELECT *, tin / 1000000.0::DOUBLE * ({_PRICE_IN}) + tout / 1000000.0::DOUBLE * ({_PRICE_OUT}) AS cost FROM ut)
 """
 
+# What the shops' sitemap files list, stated by the rule of the shop; no file is built or read here.
+MAPS = """
+md AS (SELECT id, k, id // 7 // 3 AS j, site, url FROM rf WHERE k <> 5),
+mu AS (SELECT DISTINCT site, k, url FROM md WHERE k <> 6
+       UNION SELECT DISTINCT site, k, 'https://' || site || '/fresh/' || id FROM md WHERE k <> 6 AND id % 10 = 0
+       UNION SELECT DISTINCT site, k, 'https://' || site || '/maps/leaf-' || j FROM md WHERE k = 6),
+ml AS (SELECT k, '2024-01-' || lpad(((min(j) FILTER (j % 4 = 1)) % 28 + 1)::VARCHAR, 2, '0') AS lastmod FROM md WHERE k <> 6 GROUP BY k),
+ms AS (SELECT mu.*, lastmod, 'https://' || site || CASE k WHEN 0 THEN '/maps/root.xml' WHEN 2 THEN '/sitemap_index.xml'
+         WHEN 3 THEN '/maps/second.xml' WHEN 4 THEN '/wp-sitemap.xml' ELSE '/sitemap.xml' END AS candidate,
+         CASE k WHEN 0 THEN 0 WHEN 3 THEN 1 WHEN 2 THEN 1000001 WHEN 4 THEN 1000003 ELSE 1000000 END::BIGINT AS rank,
+         CASE k WHEN 4 THEN 301 ELSE 200 END::BIGINT AS status
+       FROM mu LEFT JOIN ml USING (k)),
+mf AS (SELECT site, candidate, status, lastmod, count(*) AS n FROM ms GROUP BY ALL),
+mr AS (SELECT DISTINCT site, k, k <> 5 AS found FROM rf WHERE k <> 1)
+"""
+_WITH_MAPS = (FACTS.replace("10 - 3 - 2 - least", "10 - 3 * (1 - sm) - 2 * (1 - rb) - least").replace("10 - 2 - 2 * (ok_no_bc", "10 - 2 * (1 - sm) - 2 * (ok_no_bc")
+              .replace("FROM (SELECT DISTINCT site, url, path FROM rf)", "FROM (SELECT DISTINCT site, url, path FROM rf UNION SELECT site, url, '/x' FROM mu ANTI JOIN rf USING (site, url))")
+              .replace("any_value(k) AS k\n", "any_value(k) AS k, (any_value(k) <> 5)::INT AS sm, (any_value(k) NOT IN (1, 5))::INT AS rb\n"))
+
+# Response files, stated by the rule of the block of 25 documents that a response comes from.
+LANDED = """
+rs AS (SELECT *, b * 5 + row_number() OVER (PARTITION BY k, b ORDER BY id) AS at
+       FROM (SELECT DISTINCT doc_id AS id, doc_id % 5 AS k, doc_id // 25 AS b FROM documents)),
+rb AS (SELECT k, b, sum(id)::BIGINT AS links, count(*) AS n FROM rs GROUP BY 1, 2),
+rg AS (SELECT * FROM rs WHERE b % 6 < 3)
+"""
+_VOLUME_OF = "CASE WHEN id % 4 <> 0 THEN id * 3 % 1000 END::BIGINT AS search_volume"
+_DOMAIN = r"(?:https?://)?(?:www\.)?([a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?:\.[a-zA-Z]{2})?)"
+NOTES = r"""
+gt AS (SELECT doc_id AS scan_id, string_split('See https://www.site' || doc_id % 9 || '.example.com/page and Shop' || doc_id % 4 || '.co.th'
+         || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '  again site0.example and www.google.com ' || chr(10) ELSE chr(10) || chr(10) END
+         || 'About Topic ' || doc_id % 6 || ' and own.example' || chr(10) || text, chr(10)) AS lines,
+         ['topic 1', 'TOPIC ' || doc_id % 6, 'site', 'none such', 'x', 'y', 'z'] AS kws FROM documents),
+gl AS (SELECT scan_id, unnest(lines) AS line, unnest(range(len(lines))) AS ln FROM gt)
+"""
+_TRIMMED = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+
 SQL = {
+    "keyword_ideas": f"""WITH {LANDED} SELECT 'site' || k AS target, "at", CASE WHEN id % 11 <> 0 THEN 'topic ' || id ELSE '' END AS keyword, {_VOLUME_OF},
+        CASE WHEN id % 6 = 1 THEN '2024/1/' || id || '|2024/2/?' ELSE '' END AS monthly_trend, CASE WHEN id % 5 <> 0 THEN id % 7 / 2::DOUBLE END AS cpc,
+        CASE WHEN id % 3 = 1 THEN 0.5::DOUBLE END AS competition, CASE WHEN id % 3 <> 0 THEN (id % 101)::DOUBLE END AS keyword_difficulty,
+        CASE WHEN id % 2 = 0 THEN 'informational' ELSE 'unknown' END AS intent FROM rg""",
+    "search_volumes": f"""WITH {LANDED} SELECT 'site' || k AS target, "at", 'topic ' || id AS keyword, {_VOLUME_OF},
+        CASE WHEN id % 6 = 1 THEN '2024/3/' || id ELSE '' END AS monthly_trend, id % 7 / 2::DOUBLE AS cpc, NULL::DOUBLE AS competition,
+        NULL::DOUBLE AS keyword_difficulty, 'unknown' AS intent FROM rg""",
+    "backlinks": f"""WITH {LANDED} SELECT 'site' || k AS target, links AS total_backlinks, n AS referring_domains, 0::BIGINT AS lost_backlinks,
+        links % 100 AS domain_rank FROM rb WHERE b % 6 < 3 AND n > 1""",
+    "failed_responses": f"""WITH {LANDED}, x AS (SELECT k, b, unnest(['ideas', 'volumes', 'backlinks']) AS api FROM rb WHERE b % 6 >= 3)
+        SELECT CASE WHEN b % 6 <> 4 THEN 'site' || k END AS target, CASE WHEN b % 6 <> 4 THEN api END AS api, CASE WHEN b % 6 <> 4 THEN b * 5 END AS "offset",
+        CASE b % 6 WHEN 3 THEN 'refused' WHEN 4 THEN 'unreadable' ELSE 'no task' END AS reason,
+        CASE WHEN b % 6 = 3 THEN 'Error: limit reached' END AS message, count(*) AS n FROM x GROUP BY ALL""",
+    "domains_in_text": f"""WITH {NOTES}, dm AS (SELECT scan_id, ln, line, unnest(ds) AS domain, unnest(range(len(ds))) AS dn
+          FROM (SELECT *, [lower(d) for d in regexp_extract_all(line, {q(_DOMAIN)}, 1)] AS ds FROM gl)),
+        fd AS (SELECT * FROM dm WHERE domain <> 'own.example' AND NOT regexp_matches(domain, 'google|facebook|wikipedia')
+               QUALIFY row_number() OVER (PARTITION BY scan_id, domain ORDER BY ln, dn) = 1)
+        SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY ln, dn) - 1 AS at, domain,
+          upper(domain[1]) || substr(split_part(domain, '.', 1), 2) AS name, {_TRIMMED.format('line')} AS snippet FROM fd""",
+    "keyword_lines": f"""WITH {NOTES}, kw AS (SELECT scan_id, lines, unnest(kws) AS keyword, unnest(range(len(kws))) AS i FROM gt),
+        kl AS (SELECT scan_id, i, keyword, coalesce(nullif({_TRIMMED.format("list_extract(list_filter(lines, lambda s: contains(lower(s), lower(keyword))), 1)")}, ''),
+                 {_TRIMMED.format('list_extract(lines, i + 1)')}, '') AS serp_context FROM kw)
+        SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY i) - 1 AS at, keyword, serp_context FROM kl WHERE serp_context <> ''""",
+    "merged_sources": """WITH s AS (SELECT doc_id AS scan_id, list_concat(['u' || doc_id % 5, 'a', 'u' || doc_id % 3],
+          ['u' || (i * doc_id) % 14 for i in range(1, 13)]) AS l FROM documents),
+        u AS (SELECT scan_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM s), f AS (SELECT scan_id, x, min(i) AS i FROM u GROUP BY 1, 2)
+        SELECT scan_id, string_agg(x, '|' ORDER BY i) AS sources FROM f GROUP BY 1""",
+    "sitemap_urls": rich(MAPS, "SELECT site, candidate, rank, status AS candidate_status, lastmod, url FROM ms"),
+    "site_sitemaps": rich(MAPS, "SELECT site, true AS sitemap_found, candidate AS sitemap_url, status AS sitemap_status, n AS sitemap_url_count, lastmod AS sitemap_lastmod FROM mf"),
+    "robots_facts": rich(MAPS, """SELECT site, found AS robots_found, CASE WHEN found THEN 200 ELSE 404 END::BIGINT AS robots_status,
+        CASE WHEN k = 0 THEN 'User-agent: *\nDisallow: /cart \nDisallow:\nSitemap: https://shop0.example.com/maps/root.xml\n'
+             WHEN k = 3 THEN 'sitemap: https://shop3.example.com/maps/empty.xml\nSITEMAP: https://shop3.example.com/maps/second.xml\ndisallow: /x'
+             WHEN found THEN 'User-agent: *\nDisallow: /shop' || k END AS robots_content,
+        k IN (0, 3) AS sitemap_declared, CASE WHEN k = 0 THEN '/cart' WHEN k = 3 THEN '/x' WHEN found THEN '/shop' || k ELSE '' END AS disallowed_paths FROM mr"""),
+    "audit_with_sitemaps": rich(MAPS, _WITH_MAPS, f"""SELECT sc.site, technical::BIGINT AS technical, onpage::BIGINT AS onpage,
+        site_structure::BIGINT AS site_structure, ux_ui::BIGINT AS ux_ui, content_quality::BIGINT AS content_quality, {OVERALL} AS overall,
+        sm = 1 AS sitemap_found, candidate AS sitemap_url, coalesce(mf.n, 0) AS sitemap_url_count, rb = 1 AS robots_found, k IN (0, 3) AS sitemap_declared,
+        n_disc AS n_discovered, deep AS n_deep, CASE WHEN sm = 0 OR rb = 0 THEN f.n END AS affected_count
+        FROM sc JOIN f USING (site) LEFT JOIN mf USING (site)"""),
+    "discovered_with_sitemaps": rich(MAPS, "SELECT site, url FROM rf UNION SELECT site, url FROM mu"),
     "markup_head": rich("""SELECT page_id, site, page_type, title, meta_description, meta_robots, canonical, viewport,
         has_og_title, has_og_image, has_og_description, n_hreflang::BIGINT AS n_hreflang,
         meta_robots IS NOT NULL AS is_noindex, meta_robots IS NOT NULL AS is_nofollow,
@@ -239,7 +356,7 @@ SQL = {
         CASE WHEN got THEN '#336699|#abcdef' ELSE '' END AS brand_colors FROM rf"""),
     "markup_schema": rich("""SELECT page_id, CASE WHEN NOT got THEN '' ELSE CASE id % 12
         WHEN 0 THEN 'Organization|WebSite|BreadcrumbList' WHEN 1 THEN 'Product,Thing' WHEN 2 THEN 'FAQPage'
-        WHEN 3 THEN 'BlogPosting' ELSE '' END END AS schema_types, has_org AS has_organization_schema,
+        WHEN 3 THEN 'BlogPosting' WHEN 5 THEN 'Place|City|Event|Map' ELSE '' END END AS schema_types, has_org AS has_organization_schema,
         has_product AS has_product_schema, has_faq_schema, has_breadcrumb AS has_breadcrumb_schema,
         has_article AS has_article_schema, has_org AS has_website_schema FROM rf"""),
     "markup_body": rich("""SELECT page_id, h1, h1_count::BIGINT AS h1_count,
@@ -259,6 +376,7 @@ SQL = {
         site_structure::BIGINT AS site_structure, ux_ui::BIGINT AS ux_ui, content_quality::BIGINT AS content_quality,
         {OVERALL} AS overall FROM sc"""),
     "markup_site_issues": rich(FACTS, ISSUES),
+    "markup_issue_evidence": rich(FACTS, EVIDENCE, "SELECT * FROM ev"),
     "markup_schema_summary": rich(FACTS, """SELECT f.site, array_to_string(list_filter([
           CASE WHEN NOT home_org THEN 'Homepage' END, CASE WHEN NOT prod_schema THEN 'Product pages' END,
           CASE WHEN NOT faq_schema THEN 'FAQ page' END, '*'], lambda s: s IS NOT NULL), '|') AS pages
@@ -301,19 +419,20 @@ SQL = {
         CASE WHEN position * 2 >= 70 THEN 'high' WHEN position * 2 >= 40 THEN 'medium' ELSE 'low' END AS difficulty_band
         FROM ranked""",
     "keyword_tables": "WITH " + PAGES + "," + TOKEN_TABLE + f"SELECT site AS target, rank, keyword, search_volume FROM ({top_k('ranked', 'site', 'search_volume DESC, keyword', 25)})",
-    "competitor_report": "WITH " + PAGES + "," + TOKEN_TABLE + """, sz AS (SELECT site, count(*) AS n FROM pf GROUP BY 1),
-        cs AS (SELECT p.site AS target, p.competitor AS domain, n, row_number() OVER (ORDER BY n DESC, p.competitor) AS rank
-               FROM pairs p JOIN sz ON sz.site = p.competitor),
-        ow AS (SELECT lower(keyword) AS key FROM ranked, pairs WHERE ranked.site = pairs.site AND position % 7 <> 0 GROUP BY 1),
-        tk AS (SELECT cs.domain, r.keyword, r.search_volume, o.key IS NULL AS gap FROM cs
-               JOIN ranked r ON r.site = cs.domain AND r.position <= 20 LEFT JOIN ow o ON o.key = lower(r.keyword) WHERE cs.rank <= 3),
-        gp AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY search_volume DESC, keyword) AS g FROM tk WHERE gap),
-        gl AS (SELECT domain, count(*) AS n_gaps, array_to_string(list(keyword ORDER BY g), '|') AS l FROM gp WHERE g <= 10 GROUP BY 1),
-        kn AS (SELECT domain, count(*) AS n_keywords FROM tk GROUP BY 1)
-        SELECT target, rank, cs.domain, 33::BIGINT AS estimated_visibility, n AS shared_keywords, n * 2 AS missing_keywords,
+    "competitor_report": "WITH " + PAGES + "," + TOKEN_TABLE + """,
+        ow AS (SELECT site, lower(keyword) AS key FROM ranked WHERE position % 7 <> 0 GROUP BY 1, 2),
+        tk AS (SELECT p.site, p.competitor, r.keyword, r.search_volume, o.key IS NULL AS gap FROM pairs p
+               JOIN ranked r ON r.site = p.competitor LEFT JOIN ow o ON o.site = p.site AND o.key = lower(r.keyword)),
+        gp AS (SELECT *, row_number() OVER (PARTITION BY site, competitor ORDER BY search_volume DESC, keyword) AS g FROM tk WHERE gap),
+        gl AS (SELECT site, competitor, count(*) AS n_gaps, array_to_string((list(keyword ORDER BY g))[1:10], '|') AS l FROM gp GROUP BY 1, 2),
+        kn AS (SELECT site, competitor, count(*) AS n_keywords FROM tk GROUP BY 1, 2)
+        SELECT p.site AS target, rank, p.competitor AS domain,
+          least(100, round(shared_keywords / (shared_keywords + missing_keywords)::DOUBLE * 100))::BIGINT AS estimated_visibility,
+          shared_keywords, missing_keywords,
           CASE WHEN coalesce(n_gaps, 0) > 5 THEN 'Build keyword gap content' ELSE 'Monitor & maintain' END AS suggested_action,
-          coalesce(n_keywords, 0) AS n_keywords, coalesce(l, '') AS keyword_gaps
-        FROM cs LEFT JOIN gl ON gl.domain = cs.domain LEFT JOIN kn ON kn.domain = cs.domain""",
+          n_keywords, coalesce(n_gaps, 0) AS n_gaps, least(n_keywords, 20) AS n_listed, coalesce(l, '') AS keyword_gaps
+        FROM pairs p LEFT JOIN gl ON gl.site = p.site AND gl.competitor = p.competitor
+          JOIN kn ON kn.site = p.site AND kn.competitor = p.competitor""",
     "model_costs": f"WITH {USAGE} SELECT scan_id, model, sum(tin)::BIGINT AS input_tokens, sum(tout)::BIGINT AS output_tokens, "
                    "round(sum(cost), 9) AS cost_usd FROM uc GROUP BY 1, 2",
     "api_costs": "SELECT user_id AS scan_id, event_type AS api, round(sum(value), 4) AS cost_usd, count(*) AS n_calls FROM events GROUP BY 1, 2",

@@ -270,6 +270,7 @@ SQL = {
     "recent_scans": docs(COMPETITORS, SCORES, FAILURES, SCANS,
                          f"SELECT {_LISTED} FROM sn ORDER BY created_at DESC, id LIMIT 50"),
     "scan_by_id": docs(COMPETITORS, SCORES, FAILURES, SCANS, f"SELECT {_LISTED} FROM sn WHERE id = '7'"),
+    "scans_after_delete": docs(COMPETITORS, SCORES, FAILURES, SCANS, f"SELECT {_LISTED} FROM sn WHERE id::BIGINT % 7 <> 3 AND id::BIGINT % 90 <> 41"),
     "escaped_text": "SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), "
                     "'>', '&gt;'), '\"', '&quot;') AS html FROM documents",
     "page_article_counts": pages(r"""SELECT page_id AS article_id, title,

@@ -146,13 +146,17 @@ TOKEN_TABLE = rf"""
 tok AS (SELECT site, unnest({tokens('title')}) AS keyword FROM pf),
 tc AS (SELECT site, keyword, count(*) AS n FROM tok GROUP BY site, keyword),
 vol AS (SELECT keyword, sum(n)::BIGINT AS search_volume FROM tc GROUP BY keyword),
-ranked AS (SELECT * FROM (SELECT site, keyword, search_volume,
+ranked AS (SELECT site, keyword, search_volume,
              row_number() OVER (PARTITION BY site ORDER BY n DESC, keyword) AS position
-           FROM tc JOIN vol USING (keyword)) WHERE position <= 50),
-sizes AS (SELECT site, row_number() OVER (ORDER BY count(*) DESC, site) AS size_rank
-          FROM pf GROUP BY site),
-pairs AS (SELECT a.site, b.site AS competitor FROM sizes a, sizes b
-          WHERE a.size_rank = 1 AND b.size_rank BETWEEN 2 AND 6),
+           FROM tc JOIN vol USING (keyword)),
+wt AS (SELECT keyword, 1000000 // count(*) AS weight FROM tc GROUP BY 1),
+nw AS (SELECT site, count(*) AS n_words FROM tc GROUP BY 1),
+ov AS (SELECT a.site, b.site AS competitor, sum(weight)::BIGINT AS overlap, count(*) AS shared_keywords
+       FROM tc a JOIN tc b USING (keyword) JOIN wt USING (keyword) WHERE a.site <> b.site GROUP BY 1, 2),
+rv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY overlap DESC, competitor) AS rank FROM ov)
+       WHERE rank <= 10),
+pairs AS (SELECT rv.site, competitor, rank, overlap, shared_keywords, n_words - shared_keywords AS missing_keywords
+          FROM rv JOIN nw ON nw.site = competitor),
 own AS (SELECT site, lower(keyword) AS key, max(position) AS own_position FROM ranked GROUP BY 1, 2),
 joined AS (SELECT p.site, p.competitor, r.keyword, r.position, r.search_volume, o.own_position
            FROM pairs p JOIN ranked r ON r.site = p.competitor
@@ -307,6 +311,7 @@ SQL = {
           WHERE path <> '/' AND NOT regexp_matches(path, {q(fv.OTHER_PATH_FILE_PATTERN)})
             AND NOT regexp_matches(path, {q(fv.OTHER_PATH_SYSTEM_PATTERN)}) AND {_DEPTH} <= 3)''',
           'site', 'url', 10)}) o ON s.site = o.site GROUP BY s.site"""),
+    "site_rivals": p(TOKEN_TABLE, "SELECT site, rank, competitor, overlap, shared_keywords, missing_keywords FROM pairs"),
     "own_and_competitor_keywords": p(TOKEN_TABLE, "SELECT * FROM joined"),
     "keyword_gaps": p(TOKEN_TABLE, "SELECT site, competitor, keyword, position, search_volume, rank FROM gaps"),
 }

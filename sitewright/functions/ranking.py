@@ -56,6 +56,14 @@ def shared_folder(spark) -> str:
     return _OWN_FOLDER[app]
 
 
+def shared_path(spark, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
+    return path
+
+
 def reuse(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back.
 
@@ -64,8 +72,6 @@ def reuse(df: DataFrame, name: str) -> DataFrame:
     removed when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)

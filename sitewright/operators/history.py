@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +39,18 @@ def scan_rows(scans: DataFrame, created_at: Column | None = None) -> DataFrame:
     }).select(*STORED)
 
 
+#: Scans of one file, for the size of its Bloom filter over ids.
+SCANS_OF_A_FILE = 1_000_000
+
+
+def _writer(rows: DataFrame):
+    """A day's files are sorted by id and carry a Bloom filter over it, so a lookup skips most row groups."""
+    return rows.sortWithinPartitions("day", "id").write.partitionBy("day").option(
+        "parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", str(SCANS_OF_A_FILE))
+
+
 def append_scans(rows: DataFrame, path: str) -> None:
-    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(
-        path)
+    _writer(rows.withColumn("day", F.to_date("created_at"))).mode("append").parquet(path)
 
 
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
@@ -51,32 +58,42 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delete_scans(spark: SparkSession, path: str, ids: DataFrame) -> None:
-    """Rewrites the days that hold the given ids without them.
+    """Rewrites the days that hold the given ids without them, as one write of those days.
 
-    The rows that stay are written to a side folder of this call first.  An old day is moved
-    there before the new one takes its place and is removed last, so a failure between the steps
-    loses no row: both versions of the day are still in the side folder or the table.
+    All new files are written aside before the commit puts day after day in its place (dynamic
+    partition overwrite); a failure before it changes nothing.  Days that keep no row are removed
+    after it, so until then their rows can still be read.  Other days are not touched.
     """
     scans = read_scans(spark, path)
-    days = scans.join(ids, "id", "left_semi").select("day").distinct()
-    kept = scans.join(days, "day", "left_semi").join(ids, "id", "left_anti")
-    side = f"{path.rstrip('/')}_rewrite_{uuid.uuid4().hex}"
-    affected = [r["day"] for r in days.collect()]  # one row per day of history
-    kept.write.partitionBy("day").parquet(f"{side}/new")
+    per_day = scans.join(ids.select("id").distinct().withColumn("_gone", F.lit(True)), "id", "left").groupBy("day").agg(
+        F.count_if("_gone").alias("gone"), F.count("*").alias("n")).filter("gone > 0").collect()  # one row per day of history
+    changed = [r["day"] for r in per_day if r["gone"] < r["n"]]
+    if changed:
+        kept = scans.filter(F.col("day").isin(changed)).join(ids, "id", "left_anti")
+        _writer(kept.repartition("day")).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(fs_path(f"{side}/old"))
-    for day in affected:
-        target, new = fs_path(f"{path}/day={day}"), fs_path(f"{side}/new/day={day}")
-        if not fs.rename(target, fs_path(f"{side}/old/day={day}")):
-            raise OSError(f"could not move {target}")
-        if fs.exists(new) and not fs.rename(new, target):
-            raise OSError(f"could not move {new}; the old rows are in {side}/old")
-    fs.delete(fs_path(side), True)
+    for r in per_day:
+        if r["gone"] == r["n"]:
+            fs.delete(fs_path(f"{path}/day={r['day']}"), True)
+
+
+def last_days(scans: DataFrame, least: int) -> DataFrame:
+    """The scans of the newest days that hold `least` rows together; older days are not read."""
+    days = scans.groupBy("day").count().orderBy(F.col("day").desc()).collect()  # one row per day of history
+    wanted, n = [], 0
+    for r in days:
+        if n >= least:
+            break
+        wanted.append(r["day"])
+        n += r["count"]
+    return scans.filter(F.col("day").isin(wanted)) if wanted else scans.limit(0)
 
 
 def recent_scans(scans: DataFrame, *, cap: int = 50) -> DataFrame:
-    """The newest 50 scans, newest first."""
+    """The newest 50 scans, newest first; of a stored history only the newest days are read."""
+    if "day" in scans.columns:
+        scans = last_days(scans, cap)
     return scans.select(*LISTED).orderBy(F.col("created_at").desc(), "id").limit(cap)
 
 

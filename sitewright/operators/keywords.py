@@ -114,8 +114,9 @@ def url_patterns(discovered: DataFrame) -> DataFrame:
 def _repeated(occurrences: DataFrame, least: int, groups: int, pages: int) -> DataFrame:
     """Words seen `least` times or more on a site, the `groups` most frequent, with first pages.
 
-    Counting combines on the map side.  Only occurrences of the few words that stay are ranked for
-    their example pages, and each map task keeps no more than `pages` of a word.
+    Counting combines on the map side, and each map task keeps no more than `pages` first pages of
+    a word; so what meets in one task of a word that all pages use is a few rows for each map task,
+    and no occurrence takes part in a join.
     """
     c = F.col
     counts = occurrences.groupBy("site", "keyword", "page_id", "url").agg(
@@ -124,9 +125,8 @@ def _repeated(occurrences: DataFrame, least: int, groups: int, pages: int) -> Da
         F.sum("times").alias("n_occurrences"), F.count("*").alias("n_pages"))
     top = top_k(counts.filter(c("n_occurrences") >= least), ["site"],
                 [c("n_occurrences").desc(), c("keyword")], groups)
-    kept = occurrences.join(top.select("site", "keyword"), ["site", "keyword"], "left_semi")
     first = collect_ranked(
-        top_k(kept, ["site", "keyword"], [c("page_id"), c("url")], pages, rank="at"),
+        top_k(occurrences, ["site", "keyword"], [c("page_id"), c("url")], pages, rank="at"),
         ["site", "keyword"], c("url"), "pages", rank="at")
     return top.join(first, ["site", "keyword"])
 

@@ -94,7 +94,7 @@ def _side(links: str, internal: bool) -> Column:
 
 
 def schema_nodes(blocks: Column) -> Column:
-    """Structured-data blocks as (type, raw) in reading order; three levels of `@graph`."""
+    """Structured-data blocks as (type, raw) in reading order, `@graph` within `@graph` to any depth."""
     parse = "`@type` STRING, `@graph` ARRAY<STRING>"
 
     def node(raw: Column) -> Column:
@@ -116,7 +116,12 @@ def schema_nodes(blocks: Column) -> Column:
         )
         return F.flatten(F.transform(nodes, lambda n: F.concat(own(n), children(n))))
 
-    found = expand(expand(F.transform(blocks, node)))
+    # no block is nested deeper than it has graphs; a key written with escapes still has its bracket
+    text = F.array_join(blocks, " ")
+    graphs = F.size(F.split(text, F.when(text.contains("\\u00"), "\\[").otherwise('"@graph"'))) - 1
+    rounds = F.when(graphs > 0, F.sequence(F.lit(1), graphs)).otherwise(F.array().cast("array<int>"))
+    found = F.aggregate(rounds, F.transform(blocks, node), lambda nodes, _: F.when(
+        F.exists(nodes, lambda n: F.size(n["graph"]) > 0), expand(nodes)).otherwise(nodes))
     named = F.filter(found, lambda n: F.coalesce(n["type"], F.lit("")) != "")
     return F.transform(
         named, lambda n: F.struct(n["type"].alias("type"), n["raw"].alias("raw"))

@@ -402,10 +402,17 @@ def page_type_counts(features: DataFrame, *, strict: bool = False) -> DataFrame:
         *[F.count_if(kind == t).alias(t) for t in TYPE_COUNT_COLUMNS])
 
 
+SITEMAP_CAPS = {"collections": 15, "pages": 10, "blogs": 10, "other": 10}
+
+
 def recommended_sitemap(features: DataFrame, sitemap_urls: DataFrame | None = None, *,
-                        strict: bool = False) -> DataFrame:
-    """Paths to list in a sitemap, by bucket: 15 collections, 10 static, 10 blog, 10 other pages."""
+                        strict: bool = False, caps: dict[str, int] = SITEMAP_CAPS) -> DataFrame:
+    """Paths to list in a sitemap, by bucket, the first of each as `caps` says.
+
+    Other pages are those of no bucket: a path that its bucket's list has no room for is not one of them.
+    """
     c = F.col
+    most = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
     kind = c("page_type")
     collection = (kind == "collection") if strict else kind.isin("collection", "category")
     bucket = (
@@ -418,14 +425,14 @@ def recommended_sitemap(features: DataFrame, sitemap_urls: DataFrame | None = No
         F.coalesce(U.path(c("url")), c("url")).alias("path"),
     ).filter("bucket IS NOT NULL").groupBy("site", "bucket", "path").agg(
         F.min("page_id").alias("first_id"))
-    capped = top_k(paths, ["site", "bucket"], [c("first_id"), c("path")], 15).filter(
-        (c("bucket") == "collections") | (c("rank") <= 10))
+    capped = top_k(paths, ["site", "bucket"], [c("first_id"), c("path")], max(caps.values())).filter(
+        c("rank") <= most[c("bucket")])
     p = U.path(c("url"))
     rest = discovered_urls(features, sitemap_urls).select("site", "url", p.alias("path")).filter(
         (c("path") != "/") & ~c("path").rlike(fv.OTHER_PATH_FILE_PATTERN)
         & ~c("path").rlike(fv.OTHER_PATH_SYSTEM_PATTERN) & (U.depth(c("path")) <= 3)
-    ).join(capped.select("site", "path").distinct(), ["site", "path"], "left_anti")
-    other = top_k(rest, ["site"], [c("url")], 10).select(
+    ).join(paths.select("site", "path"), ["site", "path"], "left_anti")
+    other = top_k(rest, ["site"], [c("url")], caps["other"]).select(
         "site", F.lit("other").alias("bucket"), "path", "rank")
     lists = capped.select("site", "bucket", "path", "rank").unionByName(other)
     grouped = lists.groupBy("site").agg(*[
@@ -446,19 +453,23 @@ def recommended_sitemap(features: DataFrame, sitemap_urls: DataFrame | None = No
     )
 
 
-def sitemap_report_groups(recommended: DataFrame) -> DataFrame:
-    """Sitemap groups as a report shows them (10, 8, 6 and 5 paths) and how many there are."""
-    c = F.col
-    parts = {
-        "collections": F.slice("collections", 1, 10), "pages": F.slice("pages", 1, 8),
-        "blogs": F.slice("blogs", 1, 6), "other": F.slice("other", 1, 5),
-    }
-    total = F.lit(1) + F.when(c("products") != "", 1).otherwise(0)
-    for part in parts.values():
-        total = total + F.size(part)
+#: Paths of each bucket that a report shows.
+REPORT_CAPS = {"collections": 10, "pages": 8, "blogs": 6, "other": 5}
+
+
+def sitemap_report_total(caps: dict[str, int] = REPORT_CAPS) -> Column:
+    """How many entries a report shows of a row of `recommended_sitemap`."""
+    total = F.lit(1) + F.when(F.col("products") != "", 1).otherwise(0)
+    for name, most in caps.items():
+        total = total + F.least(F.size(name), F.lit(most))
+    return total
+
+
+def sitemap_report_groups(recommended: DataFrame, caps: dict[str, int] = REPORT_CAPS) -> DataFrame:
+    """Sitemap groups as a report shows them and how many entries there are."""
     return recommended.select(
-        "site", "home", "products", *[e.alias(n) for n, e in parts.items()],
-        total.alias("total_urls"))
+        "site", "home", "products", *[F.slice(n, 1, most).alias(n) for n, most in caps.items()],
+        sitemap_report_total(caps).alias("total_urls"))
 
 
 def site_summary(facts: DataFrame) -> DataFrame:

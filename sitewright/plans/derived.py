@@ -6,7 +6,7 @@ search exports around title tokens; answers, usage and probes around conversatio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.functions.text import escape_html
@@ -44,7 +44,8 @@ _HEAD = (
     " WHEN 1 THEN '<script type=\"application/ld+json\">{\"@type\":[\"Product\",\"Thing\"]}</script>'"
     " WHEN 2 THEN '<script type=\"application/ld+json\">{\"@graph\":[{\"@type\":\"FAQPage\"}]}</script>'"
     " WHEN 3 THEN '<script type=\"application/ld+json\">{\"@type\":\"BlogPosting\"}</script>'"
-    " WHEN 4 THEN '<script type=\"application/ld+json\">{\"@type\":\"Organization\",</script>' ELSE '' END",
+    " WHEN 4 THEN '<script type=\"application/ld+json\">{\"@type\":\"Organization\",</script>'"
+    " WHEN 5 THEN '<script type=\"application/ld+json\">{\"@type\":\"Place\",\"@graph\":[{\"@graph\":[{\"@type\":\"City\",\"@graph\":[{\"@graph\":[{\"@graph\":[{\"@type\":\"Event\"}]}]}]},{\"@type\":\"Map\"}]}]}</script>' ELSE '' END",
 )
 _MAIN = (
     "CASE WHEN id % 9 = 4 THEN '' WHEN id % 4 = 0 THEN concat('<h1 class=\"t\">Short ', id, '</h1>')"
@@ -94,11 +95,59 @@ def marked_up_pages(documents: DataFrame) -> DataFrame:
         e("(id * 37) % 7000").cast("bigint").alias("fetch_ms"))
 
 
-def rank_responses(ranks: DataFrame) -> DataFrame:
-    """Ranked-keyword responses, one per site, from `site, keyword, position, search_volume`.
+_SHOP = "concat('https://shop', k, '.example.com')"
+_ROOT = f"concat({_SHOP}, CASE k WHEN 0 THEN '/maps/root.xml' WHEN 2 THEN '/sitemap_index.xml' WHEN 3 THEN '/maps/second.xml' WHEN 4 THEN '/wp-sitemap.xml' ELSE '/sitemap.xml' END)"
+_LEAF = f"concat({_SHOP}, '/maps/leaf-', j, CASE WHEN k = 6 THEN '' ELSE '.xml' END)"
+
+
+def sitemap_files(documents: DataFrame) -> DataFrame:
+    """Sitemap files of the shops: three pages to a file, five files to an index, five levels and a root over them.
 
-    `ranks` holds at most fifty keywords of a site, so a response is small.
+    The lowest indexes name the root again.  Files also name pictures, foreign pages and pages that were never crawled.
+    One shop has no sitemap, one an empty file before the full one, one files without an ending.
     """
+    e, c = F.expr, F.col
+    docs = documents.select(c("doc_id").alias("id")).distinct().withColumn("k", e("id % 7")).filter("k <> 5").withColumn("j", e("id div 7 div 3"))
+    docs = docs.withColumn("page", e(f"concat('https://', CASE WHEN id % 2 = 0 THEN 'www.' ELSE '' END, 'shop', k, '.example.com', {_PATH})"))
+    entry = e(f"concat('<url><loc>', page, '</loc>', CASE WHEN j % 4 = 1 THEN concat('<lastmod>2024-01-', lpad(j % 28 + 1, 2, '0'), '</lastmod>') ELSE '' END, '</url>',"
+              f" CASE WHEN id % 10 = 0 THEN concat('<url><loc>', {_SHOP}, '/fresh/', id, '</loc></url>') ELSE '' END,"
+              f" CASE WHEN id % 8 = 0 THEN concat('<url><loc>', {_SHOP}, '/a.png</loc></url><url><loc>https://elsewhere.example.net/', id, '</loc></url>') ELSE '' END)")
+
+    def files(rows: DataFrame, keys: list[str], url: str, item: Column, tail: str = "''", tag: str = "sitemapindex") -> DataFrame:
+        listed = rows.groupBy("k", *keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", item.alias("x")))), lambda r: r["x"]), "\n").alias("items"))
+        return listed.select("k", e(url).alias("url"), e(f"concat('<{tag}>', items, {tail}, '</{tag}>')").alias("xml"))
+
+    out = files(docs.withColumn("at", c("id")), ["j"], _LEAF, entry, tag="urlset")
+    nodes = docs.select("k", c("j").alias("at"), e(_LEAF).alias("u")).distinct()
+    for level in range(1, 6):
+        up = nodes.withColumn("i", e("at div 5"))
+        cycle = f"CASE WHEN k <> 6 THEN concat('<sitemap><loc>', {_ROOT}, '</loc></sitemap>') ELSE '' END" if level == 1 else "''"
+        url = f"concat({_SHOP}, '/maps/l{level}-', i, '.xml')"
+        out = out.unionByName(files(up, ["i"], url, e("concat('<sitemap><loc>', u, '</loc></sitemap>')"), cycle))
+        nodes = up.select("k", c("i").alias("at"), e(url).alias("u")).distinct()
+    out = out.unionByName(files(nodes, [], _ROOT, e("concat('<sitemap><loc>', u, '</loc></sitemap>')")))
+    shops = docs.select("k").distinct()
+    odd = shops.filter("k = 2").select("k", e(f"concat({_SHOP}, '/sitemap.xml')").alias("url"), F.lit("<urlset><loc>https://shop2.example.com/x</loc></urlset>").alias("xml")).unionByName(
+        shops.filter("k = 3").select("k", e(f"concat({_SHOP}, '/maps/empty.xml')").alias("url"), F.lit("<urlset></urlset>").alias("xml"))).unionByName(
+        shops.filter("k = 4").select("k", e(f"concat({_SHOP}, '/sitemap.xml')").alias("url"), F.lit("<html>no map</html>").alias("xml")))
+    return out.unionByName(odd).select(
+        e("concat('shop', k, '.example.com')").alias("site"), "url",
+        F.when((c("k") == 2) & c("url").endswith("/sitemap.xml"), 404).when(c("k") == 4, 301).otherwise(200).alias("status"), "xml")
+
+
+def robots_files(documents: DataFrame) -> DataFrame:
+    """A robots file for each shop but one: sitemap lines, blocked paths, an empty rule, a missing file."""
+    e = F.expr
+    shops = documents.select(F.expr("doc_id % 7").alias("k")).distinct().filter("k <> 1")
+    return shops.select(
+        e("concat('shop', k, '.example.com')").alias("site"), e("CASE WHEN k = 5 THEN 404 ELSE 200 END").alias("status"),
+        e(f"""CASE k WHEN 0 THEN concat('User-agent: *\nDisallow: /cart \nDisallow:\nSitemap: ', {_ROOT}, '\n')
+          WHEN 3 THEN concat('sitemap: ', {_SHOP}, '/maps/empty.xml\nSITEMAP: ', {_ROOT}, '\ndisallow: /x')
+          WHEN 5 THEN 'Not found' ELSE concat('User-agent: *\nDisallow: /shop', k) END""").alias("content"))
+
+
+def rank_responses(ranks: DataFrame) -> DataFrame:
+    """Ranked-keyword responses of a hundred keywords, from `site, keyword, position, search_volume`."""
     c = F.col
     item = F.struct(
         F.struct(
@@ -110,16 +159,72 @@ def rank_responses(ranks: DataFrame) -> DataFrame:
             F.when(c("position") % 7 != 0, c("position")).alias("rank_absolute"),
             F.concat(F.lit("https://"), "site", F.lit("/"), "keyword").alias("url"))
             .alias("serp_item")).alias("ranked_serp_element"))
-    lists = ranks.groupBy(c("site").alias("target")).agg(F.transform(
+    lists = ranks.groupBy(c("site").alias("target"), F.expr("(position - 1) div 100").alias("page")).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("position", item.alias("item")))),
         lambda x: x["item"]).alias("items"))
-    return lists.select("target", F.to_json(F.struct(
+    return lists.select("target", (c("page") * 100).alias("offset"), F.to_json(F.struct(
         F.lit(0.01).alias("cost"),
         F.array(F.struct(F.lit("Ok.").alias("status_message"),
                          F.array(F.struct("items")).alias("result"))).alias("tasks")))
         .alias("response"))
 
 
+_IDEA = """named_struct('keyword', CASE WHEN id % 11 <> 0 THEN concat('topic ', id) END,
+  'keyword_info', named_struct('search_volume', CASE WHEN id % 4 <> 0 THEN id * 3 % 1000 END, 'cpc', CASE WHEN id % 5 <> 0 THEN id % 7 / 2D END,
+    'competition', CASE WHEN id % 3 = 1 THEN 0.5D END,
+    'monthly_searches', CASE WHEN id % 6 = 1 THEN array(named_struct('month', 1, 'year', 2024, 'search_volume', id), named_struct('month', 2, 'year', 2024, 'search_volume', CAST(NULL AS BIGINT))) END),
+  'keyword_properties', named_struct('keyword_difficulty', CASE WHEN id % 3 <> 0 THEN id % 101 * 1D END),
+  'search_intent_info', named_struct('main_intent', CASE WHEN id % 2 = 0 THEN 'informational' END))"""
+_VOLUME = """named_struct('keyword', concat('topic ', id), 'search_volume', CASE WHEN id % 4 <> 0 THEN id * 3 % 1000 END, 'cpc', id % 7 / 2D,
+  'monthly_searches', CASE WHEN id % 6 = 1 THEN array(named_struct('month', 3, 'year', 2024, 'search_volume', id)) END)"""
+
+
+def response_lines(documents: DataFrame) -> DataFrame:
+    """Lines of response files, `value`: ideas, volumes and backlinks of five sites, five items to a response.
+
+    Of six responses in a row one is refused, one cut off in the middle of the line, one without a task, the others fine.
+    """
+    e, c = F.expr, F.col
+    rows = documents.select(c("doc_id").alias("id")).distinct().withColumns({"k": e("id % 5"), "b": e("id div 25")})
+    listed = lambda item: F.transform(F.sort_array(F.collect_list(F.struct("id", e(item).alias("x")))), lambda r: r["x"])
+    blocks = rows.groupBy("k", "b").agg(listed(_IDEA).alias("ideas"), listed(_VOLUME).alias("volumes"), F.sum("id").alias("links"), F.count("*").alias("n"))
+    results = {
+        "ideas": F.array(F.struct(c("ideas").alias("items"))), "volumes": c("volumes"),
+        "backlinks": F.array(F.when(c("n") > 1, F.struct(c("links").alias("backlinks"), c("n").alias("referring_domains"), (c("links") % 100).alias("rank")))),
+    }
+
+    def lines(api: str, result: Column) -> Column:
+        said = F.when(c("b") % 6 == 3, "Error: limit reached").otherwise("Ok.")
+        task = F.struct(said.alias("status_message"), F.when(c("b") % 6 != 3, result).alias("result"))
+        response = F.to_json(F.struct(F.lit(0.01).alias("cost"), F.when(c("b") % 6 == 5, F.array().cast(f"array<{task_type(task)}>"))
+                                      .otherwise(F.array(task)).alias("tasks")))
+        line = F.concat(e(f"concat('{{\"target\":\"site', k, '\",\"api\":\"{api}\",\"offset\":', b * 5, ',\"response\":')"), response, F.lit("}"))
+        return F.when(c("b") % 6 == 4, F.expr("substring(line, 1, length(line) - 9)")).otherwise(c("line")).alias("value"), line
+
+    def task_type(task: Column) -> str:
+        return blocks.select(task.alias("t")).schema["t"].dataType.simpleString()
+
+    out = None
+    for api, result in results.items():
+        value, line = lines(api, result)
+        one = blocks.withColumn("line", line).select(value)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def grounding_texts(documents: DataFrame) -> DataFrame:
+    """Research notes around the documents: lines that name domains and topics, keywords asked for, sources."""
+    e = F.expr
+    return documents.select(
+        F.col("doc_id").alias("scan_id"),
+        e("""concat('See https://www.site', doc_id % 9, '.example.com/page and Shop', doc_id % 4, '.co.th',
+          CASE WHEN doc_id % 3 = 0 THEN '\n  again site0.example and www.google.com \n' ELSE '\n\n' END,
+          'About Topic ', doc_id % 6, ' and own.example', '\n', text)""").alias("text"),
+        e("array('topic 1', concat('TOPIC ', doc_id % 6), 'site', 'none such', 'x', 'y', 'z')").alias("keywords"),
+        e("array(concat('u', doc_id % 5), 'a', concat('u', doc_id % 3))").alias("first"),
+        e("transform(sequence(1, 12), i -> concat('u', (i * doc_id) % 14))").alias("second"))
+
+
 def model_usage(conversations: DataFrame) -> DataFrame:
     e = F.expr
     known = "turn % 3 <> 0"

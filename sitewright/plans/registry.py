@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewright.functions import urls as U
-from sitewright.functions.ranking import reuse, top_k
+from sitewright.functions.ranking import reuse, shared_path, top_k
 from sitewright.operators import answers as A
 from sitewright.operators import issues as I
 from sitewright.operators import keywords as K
@@ -16,23 +16,26 @@ from sitewright.operators import site as S
 from sitewright.functions.text import escape_html
 from sitewright.operators.article_competitors import competitor_averages, competitor_gaps
 from sitewright.operators.article_features import article_features
-from sitewright.operators.findings import article_failures, article_findings, with_failures
-from sitewright.operators.history import recent_scans, scan_by_id, scan_rows
+from sitewright.operators.findings import article_failures, article_findings, final_decision, with_failures
+from sitewright.operators.history import append_scans, delete_scans, read_scans, recent_scans, scan_by_id, scan_rows
 from sitewright.operators.inputs import (
     complete_inputs, inferred_keyword, input_markup, is_safe_input, is_site_input, parse_inputs,
     safe_inputs,
 )
 from sitewright.operators.page_features import page_features, page_links
 from sitewright.operators.competitors import (
-    competitor_report, difficulty_band, keyword_table, markets,
+    competitor_report, difficulty_band, domains_in_text, keyword_lines, keyword_table, markets, merged_sources,
 )
 from sitewright.operators.costs import answer_visibility, api_costs, model_costs, scan_costs
+from sitewright.operators.rivals import site_rivals
 from sitewright.operators.reports import (
     article_contexts, markdown_reports, rewrite_prompts, site_contexts,
 )
 from sitewright.plans import derived as D
+from sitewright.sources import serp
 from sitewright.sources.serp import ranked_keywords
-from sitewright.operators.scoring import article_scores, article_verdicts, score_band
+from sitewright.sources.sitemaps import robots_facts, site_sitemaps, sitemap_urls
+from sitewright.operators.scoring import article_scores, article_verdicts, score_band, with_verdicts
 from sitewright.sources.pages import pages_as_articles, read_documents, read_pages, read_partitions
 
 _CACHE: dict[tuple, DataFrame] = {}
@@ -84,28 +87,14 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def token_ranks(features: DataFrame) -> DataFrame:
-    """Title tokens as ranked keywords: position by use on the site, volume over all sites.
-
-    The first fifty of a site, as many as a ranked-keyword export holds.
-    """
+    """All title tokens as ranked keywords: position by use on the site, volume over all sites."""
     c = F.col
     counts = features.select("site", F.explode(K.tokens(c("title"))).alias("keyword")).groupBy(
         "site", "keyword").agg(F.count("*").alias("n"))
     volume = counts.groupBy("keyword").agg(F.sum("n").alias("search_volume"))
-    ranked = top_k(counts, ["site"], [c("n").desc(), c("keyword")], 50, rank="position")
-    return ranked.join(volume, "keyword").select("site", "keyword", "position", "search_volume")
-
-
-def largest_site_and_rivals(features: DataFrame) -> DataFrame:
-    """The site with most pages paired with the next five."""
-    c = F.col
-    sizes = features.groupBy("site").agg(F.count("*").alias("n"))
-    six = sizes.orderBy(c("n").desc(), "site").limit(6)
-    ordered = six.agg(F.sort_array(F.collect_list(
-        F.struct((-c("n")).alias("n"), "site"))).alias("s"))
-    return ordered.select(
-        F.get("s", F.lit(0))["site"].alias("site"),
-        F.explode(F.slice("s", 2, 5)).alias("o")).select("site", c("o.site").alias("competitor"))
+    of_site = Window.partitionBy("site").orderBy(c("n").desc(), "keyword")
+    return counts.withColumn("position", F.row_number().over(of_site)).join(volume, "keyword").select(
+        "site", "keyword", "position", "search_volume")
 
 
 def _page_queries() -> dict:
@@ -131,11 +120,10 @@ def _page_queries() -> dict:
         return lazy(lambda f: f.select(*names))
 
     def competing(features: DataFrame) -> DataFrame:
-        ranks = token_ranks(features)
-        pairs = largest_site_and_rivals(features)
+        ranks = reuse(token_ranks(features), "token_ranks")
+        pairs = site_rivals(ranks).select("site", "competitor")
         theirs = pairs.join(ranks.withColumnRenamed("site", "competitor"), "competitor")
-        own = ranks.join(pairs.select("site").distinct(), "site", "left_semi")
-        return K.competitor_keywords(theirs, own).select(
+        return K.competitor_keywords(theirs, ranks).select(
             "site", "competitor", "keyword", "position", "search_volume", "own_position")
 
     def scored(f: DataFrame) -> DataFrame:
@@ -204,9 +192,8 @@ def _page_queries() -> dict:
             "n_slow": F.size("slow_pages"), "n_noindex": F.size("noindex_pages")}).drop(
             "slow_pages", "noindex_pages")),
         "page_type_counts": stored(S.page_type_counts),
-        "recommended_sitemap": stored(lambda p: S.recommended_sitemap(p).join(
-            S.sitemap_report_groups(S.recommended_sitemap(p)).select("site", "total_urls"),
-            "site").select("site", "other", "total_urls")),
+        "recommended_sitemap": stored(lambda p: S.recommended_sitemap(p).select(
+            "site", "other", S.sitemap_report_total().alias("total_urls"))),
         "site_issues": both(lambda f, p: I.site_issues(f, p).select(
             "site", "issue_id", "priority", "priority_rank", "rule_no", "affected_count",
             "effort_days")),
@@ -237,6 +224,7 @@ def _page_queries() -> dict:
             "site", "rank", "page_id", "word_count")),
         "verified_urls": lazy(R.verified_urls),
         "page_title_lines": lazy(R.page_title_lines),
+        "site_rivals": stored(lambda p: site_rivals(token_ranks(p))),
         "own_and_competitor_keywords": stored(competing),
         "keyword_gaps": stored(lambda p: K.keyword_gaps(competing(p))),
     }
@@ -281,6 +269,26 @@ def competing_articles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         competitor_averages(next_documents(articles), articles), "article_id", "left")
 
 
+def scans_of(articles: DataFrame) -> DataFrame:
+    """A scan of every article, each computed in its own row; days go by the number of the article."""
+    judged = with_verdicts(with_failures(articles))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("article_id") % 90).cast("int"))
+    return scan_rows(judged.withColumns({
+        "id": F.col("article_id").cast("string"),
+        "final_decision": final_decision(F.col("failures"), F.coalesce("word_count", F.lit(0)))}), created_at=day)
+
+
+def history_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history of the articles' scans."""
+
+    def make() -> DataFrame:
+        path = shared_path(spark, "scans")
+        append_scans(scans_of(competing_articles_of(spark, sf_dir)), path)
+        return read_scans(spark, path)
+
+    return remembered(spark, sf_dir, "history", make)
+
+
 def _document_queries() -> dict:
     c = F.col
 
@@ -305,12 +313,16 @@ def _document_queries() -> dict:
             spark, sf_dir, "page_articles",
             lambda: article_features(pages_as_articles(pages_of(spark, sf_dir))))))
 
-    def scans(a: DataFrame) -> DataFrame:
-        whole = with_failures(a).join(article_verdicts(a).drop("max_total"), "article_id").join(
-            article_findings(a).select("article_id", "final_decision"), "article_id")
-        day = F.date_add(F.lit("2024-01-01").cast("date"), (c("article_id") % 90).cast("int"))
-        return scan_rows(whole.withColumn("id", c("article_id").cast("string")),
-                         created_at=day)
+    def history(fn):
+        return lambda spark, sf_dir: tidy(fn(history_of(spark, sf_dir)))
+
+    def after_delete(spark, sf_dir):
+        """A history of its own, from which every seventh scan and one whole day are deleted."""
+        path = shared_path(spark, "scans")
+        rows = scans_of(competing_articles_of(spark, sf_dir))
+        append_scans(rows, path)
+        delete_scans(spark, path, rows.filter("id % 7 = 3 OR id % 90 = 41").select("id"))
+        return tidy(listed(read_scans(spark, path)))
 
     def listed(rows: DataFrame) -> DataFrame:
         return rows.select(
@@ -349,13 +361,14 @@ def _document_queries() -> dict:
             "conversion_issues")),
         "competitor_gaps": stored(lambda a: competitor_gaps(next_documents(a), a)),
         "competitor_averages": stored(lambda a: competitor_averages(next_documents(a), a)),
-        "scan_rows": competing(lambda a: scans(a).select(
+        "scan_rows": competing(lambda a: scans_of(a).select(
             "id", "raw_input", "score", "verdict", "final_decision",
             F.get_json_object("json_report", "$.apexScore.total").alias("json_total"),
             F.size(F.from_json("json_report", "failureReasons array<struct<type:string>>")
                    ["failureReasons"]).cast("bigint").alias("json_failures"))),
-        "recent_scans": competing(lambda a: listed(recent_scans(scans(a)))),
-        "scan_by_id": competing(lambda a: listed(scan_by_id(scans(a), "7"))),
+        "recent_scans": history(lambda h: listed(recent_scans(h))),
+        "scan_by_id": history(lambda h: listed(scan_by_id(h, "7"))),
+        "scans_after_delete": after_delete,
         "escaped_text": documents(lambda d: d.select("doc_id", escape_html(c("text")).alias("html"))),
         "page_article_counts": page_articles(lambda a: a.select(
             "article_id", "title", "h1", "word_count", "paragraph_count", "list_count",
@@ -403,11 +416,45 @@ def _derived_queries() -> dict:
         return lambda spark, sf_dir: tidy(
             fn(shop_facts(spark, sf_dir), stored_shop_features(spark, sf_dir)))
 
-    def responses(features: DataFrame) -> DataFrame:
-        return D.rank_responses(token_ranks(features))
+    def with_sitemaps(fn):
+        def run(spark, sf_dir):
+            docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+            return tidy(fn(D.sitemap_files(docs), D.robots_files(docs)))
+        return run
+
+    def landed(fn):
+        """Over response files, written from the documents and read back as files."""
+        def make(spark, sf_dir):
+            path = shared_path(spark, "responses")
+            D.response_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).write.text(path)
+            return serp.read_responses(spark, path)
+        return lambda spark, sf_dir: tidy(fn(remembered(spark, sf_dir, "responses", lambda: make(spark, sf_dir))))
+
+    def with_trend(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("monthly_trend", F.transform("monthly_trend", lambda m: F.concat_ws(
+            "/", m["year"], m["month"], F.coalesce(m["volume"].cast("string"), F.lit("?")))))
+
+    def audit_with_sitemaps(spark, sf_dir):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        robots = D.robots_files(docs)
+        maps, urls = site_sitemaps(D.sitemap_files(docs), robots)
+        features = stored_shop_features(spark, sf_dir)
+        found = reuse(S.site_facts(features, sitemaps=maps, robots=robots_facts(robots), sitemap_urls=urls), "shop_facts")
+        fired = I.site_issues(found, features, with_examples=False).filter("issue_id = 'no_sitemap_robots'").select("site", "affected_count")
+        return tidy(S.site_scores(found).join(found.select(
+            "site", "sitemap_found", "sitemap_url", "sitemap_url_count", "robots_found", "sitemap_declared", "n_discovered", "n_deep"), "site")
+            .join(fired, "site", "left"))
+
+    def discovered_with_sitemaps(spark, sf_dir):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        _, urls = site_sitemaps(D.sitemap_files(docs), D.robots_files(docs))
+        return tidy(S.discovered_urls(stored_shop_features(spark, sf_dir), urls))
+
+    def responses(ranks: DataFrame) -> DataFrame:
+        return D.rank_responses(ranks)
 
     def ranked(fn):
-        return lambda spark, sf_dir: tidy(fn(responses(stored_features_of(spark, sf_dir))))
+        return lambda spark, sf_dir: tidy(fn(responses(token_ranks(stored_features_of(spark, sf_dir)))))
 
     def reports(fn):
         def run(spark, sf_dir):
@@ -428,18 +475,21 @@ def _derived_queries() -> dict:
             F.size(full["contentGaps"]).alias("n_gaps"), F.size(full["quickWins"]).alias("n_quick_wins"))
 
     def competitor_rows(features: DataFrame) -> DataFrame:
-        pairs = largest_site_and_rivals(features)
-        sizes = features.groupBy(c("site").alias("competitor")).agg(F.count("*").alias("n"))
-        order = F.row_number().over(Window.partitionBy("site").orderBy(c("n").desc(), "competitor"))
-        listed = pairs.join(sizes, "competitor").select(
-            c("site").alias("target"), order.alias("at"), c("competitor").alias("domain"),
-            c("n").alias("shared_keywords"), (c("n") * 2).alias("missing_keywords"))
-        rows = ranked_keywords(responses(features))
-        report = competitor_report(listed, rows, rows)
+        """Rivals of every site as the search export lists them, two platforms, a government site and the site itself among them."""
+        ranks = reuse(token_ranks(features), "token_ranks")
+        rivals = site_rivals(ranks).select(
+            c("site").alias("target"), (c("rank") * 10).alias("at"), c("competitor").alias("domain"), "shared_keywords", "missing_keywords")
+        own = features.select("site").distinct()
+        odd = own.select(c("site").alias("target"), F.explode(F.array(*[
+            F.struct(F.lit(at).alias("at"), domain.alias("domain")) for at, domain in (
+                (1, F.lit("facebook.com")), (12, c("site")), (23, F.lit("office.go.th")), (34, F.lit("")))])).alias("x")).select(
+            "target", "x.at", "x.domain", F.lit(9).cast("long").alias("shared_keywords"), F.lit(1).cast("long").alias("missing_keywords"))
+        rows = ranked_keywords(responses(ranks))
+        report = competitor_report(rivals.unionByName(odd), rows, rows)
         return report.select(
             "target", "rank", "domain", "estimated_visibility", "shared_keywords",
-            "missing_keywords", "suggested_action", F.size("top_keywords").alias("n_keywords"),
-            "keyword_gaps")
+            "missing_keywords", "suggested_action", "n_keywords", "n_gaps",
+            F.size("top_keywords").alias("n_listed"), "keyword_gaps")
 
     return {
         "markup_head": lambda spark, sf_dir: tidy(shop_features(spark, sf_dir).select(
@@ -460,9 +510,27 @@ def _derived_queries() -> dict:
         "markup_links": lambda spark, sf_dir: tidy(shop_features(spark, sf_dir).select(
             "page_id", "internal_link_count", "external_nofollow_count",
             "external_dofollow_count", "nav_items", "broken_nav_items")),
+        "keyword_ideas": landed(lambda r: with_trend(serp.keyword_ideas(r.filter("api = 'ideas'")))),
+        "search_volumes": landed(lambda r: with_trend(serp.search_volumes(r.filter("api = 'volumes'")))),
+        "backlinks": landed(lambda r: serp.backlink_summaries(r.filter("api = 'backlinks'"))),
+        "failed_responses": landed(lambda r: serp.failed_responses(r).groupBy("target", "api", "offset", "reason", "message").agg(
+            F.count("*").alias("n"))),
+        "domains_in_text": over("documents", lambda d: D.grounding_texts(d).select("scan_id", F.posexplode(
+            domains_in_text(c("text"), F.lit("own.example"))).alias("at", "x")).select("scan_id", "at", "x.*")),
+        "keyword_lines": over("documents", lambda d: D.grounding_texts(d).select("scan_id", F.posexplode(
+            keyword_lines(c("text"), c("keywords"))).alias("at", "x")).select("scan_id", "at", "x.*")),
+        "merged_sources": over("documents", lambda d: D.grounding_texts(d).select(
+            "scan_id", merged_sources(c("first"), c("second")).alias("sources"))),
+        "sitemap_urls": with_sitemaps(sitemap_urls),
+        "site_sitemaps": with_sitemaps(lambda m, r: site_sitemaps(m, r)[0]),
+        "robots_facts": with_sitemaps(lambda m, r: robots_facts(r)),
+        "audit_with_sitemaps": audit_with_sitemaps,
+        "discovered_with_sitemaps": discovered_with_sitemaps,
         "markup_site_scores": facts(S.site_scores),
         "markup_site_issues": both(lambda f, p: I.site_issues(f, p).select(
             "site", "issue_id", "rule_no", "priority", "affected_count")),
+        "markup_issue_evidence": shop(lambda p: I.issue_examples(p).select("site", "issue_id", F.posexplode("found").alias("at", "f")).select(
+            "site", "issue_id", "at", "f.*")),
         "markup_schema_summary": both(lambda f, p: I.site_issues(f, p, with_examples=False).filter(
             "issue_id = 'no_schema_markup'").select("site", c("found.page").alias("pages"))),
         "markup_strengths": facts(lambda f: S.site_strengths(f).select(

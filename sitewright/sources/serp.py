@@ -1,8 +1,11 @@
-"""Search-result exports, landed as JSON text, one response per row (`target, response`)."""
+"""Search-result exports, landed as JSON text, one response per row (`target, response`).
+
+A list may be spread over several responses; their column `offset` says how many items stand before.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.functions.text import trim_ws
@@ -27,6 +30,44 @@ COMPETITOR_RESULT = (
 )
 
 
+CORRUPT = "_corrupt"
+LANDED = f"target STRING, api STRING, offset BIGINT, response STRING, {CORRUPT} STRING"
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Files of responses, a JSON object with `target, api, offset, response` on each line.
+
+    The schema is fixed, so nothing is inferred.  A line that is no JSON keeps its row, with the line in `_corrupt` and
+    nothing else; `file` names the file of a row.
+    """
+    rows = spark.read.schema(LANDED).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    whole = {n: F.when(F.col(CORRUPT).isNull(), F.col(n)) for n in ("target", "api", "offset", "response")}
+    return rows.withColumn("file", F.col("_metadata.file_name")).withColumns(whole)
+
+
+def _refused(said: Column) -> Column:
+    return said.contains("Error") | said.contains("Invalid")
+
+
+def failed_responses(responses: DataFrame) -> DataFrame:
+    """The responses that `results` leaves out, each with a reason and what the service said.
+
+    unreadable: the line or the response is no JSON; no task; refused: by its message; no result.
+    """
+    c = F.col
+    schema = "tasks ARRAY<STRUCT<status_message STRING, result ARRAY<STRING>>>"
+    task = F.get(F.from_json("response", schema)["tasks"], F.lit(0))
+    said = F.coalesce(c("_task.status_message"), F.lit(""))
+    bad = F.try_parse_json("response").isNull()
+    if CORRUPT in responses.columns:
+        bad = bad | c(CORRUPT).isNotNull()
+    reason = (F.when(bad, "unreadable").when(c("_task").isNull(), "no task").when(_refused(said), "refused")
+              .when(c("_task.result").isNull(), "no result"))
+    kept = [n for n in ("target", "api", "offset", "file") if n in responses.columns]
+    return responses.withColumn("_task", task).withColumn("reason", reason).filter("reason IS NOT NULL").select(
+        *kept, "reason", c("_task.status_message").alias("message"))
+
+
 def results(responses: DataFrame, result_type: str) -> DataFrame:
     """Result array of the first task of every response; failed calls give no row."""
     c = F.col
@@ -34,9 +75,13 @@ def results(responses: DataFrame, result_type: str) -> DataFrame:
     df = responses.withColumn("_task", F.get(F.from_json("response", schema)["tasks"], F.lit(0)))
     said = F.coalesce(c("_task.status_message"), F.lit(""))
     return df.filter(
-        c("_task").isNotNull() & ~said.contains("Error") & ~said.contains("Invalid")
-        & c("_task.result").isNotNull()
-    ).select("target", c("_task.result").alias("result"))
+        c("_task").isNotNull() & ~_refused(said) & c("_task.result").isNotNull()
+    ).select("target", _offset(responses).alias("offset"), c("_task.result").alias("result"))
+
+
+def _offset(responses: DataFrame) -> Column:
+    """Items of a target's list that earlier responses hold; a table without the column has whole lists."""
+    return F.coalesce(F.col("offset").cast("int"), F.lit(0)) if "offset" in responses.columns else F.lit(0)
 
 
 def response_costs(responses: DataFrame) -> DataFrame:
@@ -54,8 +99,8 @@ def _trend(months: Column) -> Column:
 
 def _items(df: DataFrame) -> DataFrame:
     first = F.get("result", F.lit(0))["items"]
-    return df.select("target", F.posexplode(first).alias("at", "i")).withColumn(
-        "at", F.col("at") + 1)
+    return df.select("target", "offset", F.posexplode(first).alias("at", "i")).withColumn(
+        "at", F.col("at") + 1 + F.col("offset")).drop("offset")
 
 
 def rank_priority(position: Column) -> Column:
@@ -103,9 +148,9 @@ def search_volumes(responses: DataFrame) -> DataFrame:
     """Volumes of the keywords asked for; one call asks for twenty at most."""
     c = F.col
     return results(responses, VOLUME_RESULT).select(
-        "target", F.posexplode("result").alias("at", "i")
+        "target", "offset", F.posexplode("result").alias("at", "i")
     ).select(
-        "target", (c("at") + 1).alias("at"), F.coalesce(c("i.keyword"), F.lit("")).alias("keyword"),
+        "target", (c("at") + 1 + c("offset")).alias("at"), F.coalesce(c("i.keyword"), F.lit("")).alias("keyword"),
         c("i.search_volume").alias("search_volume"),
         _trend(c("i.monthly_searches")).alias("monthly_trend"), c("i.cpc").alias("cpc"),
         c("i.competition").alias("competition"),

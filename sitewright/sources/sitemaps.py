@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from sitewright import fixed_values as fv
 from sitewright.functions import urls as U
+from sitewright.functions.ranking import reuse
 from sitewright.functions.text import trim_ws
-from sitewright.operators.page_ranking import sitemap_url_filter
 
-SUB_SITEMAP_CAP = 20
 _LOC = r"(?i)<loc>\s*(https?://[^<\s]+)\s*</loc>"
 
 
@@ -64,38 +63,47 @@ def sitemap_candidates(sitemaps: DataFrame, robots: DataFrame) -> DataFrame:
         F.min("rank").alias("rank"))
 
 
+def sitemap_tree(sitemaps: DataFrame, robots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every file that belongs to a candidate, `site, candidate, rank, candidate_status, url, at`, and what files say.
+
+    A candidate's index files are followed to any depth and with all their files.  Each round joins the files that the
+    last one found with what they say, and takes on those not seen before under the same candidate, so an index that
+    names itself or a file above it ends nothing and repeats nothing.  `at` is the place of a file in the tree, the
+    least of several that a round finds.  Each file is read once, whatever the number of rounds.
+    """
+    c = F.col
+    # a file landed for several sites says what the usable one of the first site says
+    order = F.struct((~F.coalesce("usable", F.lit(False))).alias("a"), F.col("site").alias("b"), F.hash("subs", "leaves", "lastmod").alias("c"))
+    read = reuse(_files(sitemaps), "sitemap_files")
+    says = reuse(read.groupBy("url").agg(F.min_by(F.struct("subs", "leaves", "lastmod"), order).alias("says"))
+                 .select("url", "says.*"), "sitemap_says")
+    key = ["site", "candidate", "url"]
+    new = sitemap_candidates(sitemaps, robots).join(
+        read.filter("usable").groupBy("site", "url").agg(F.min("status").alias("candidate_status")), ["site", "url"]).select(
+        "site", c("url").alias("candidate"), "rank", "candidate_status", "url", F.array().cast("array<int>").alias("at"))
+    new = seen = reuse(new, "sitemap_tree")
+    while True:
+        found = new.join(says.filter(F.size("subs") > 0), "url").select(
+            "site", "candidate", "rank", "candidate_status", "at", F.posexplode("subs").alias("i", "sub")).groupBy(
+            "site", "candidate", "rank", "candidate_status", c("sub").alias("url")).agg(
+            F.min(F.concat("at", F.array("i"))).alias("at"))
+        new = reuse(found.join(seen.select(*key), key, "left_anti").join(says.select("url"), "url", "left_semi").select(*seen.columns),
+                    "sitemap_tree")
+        if new.isEmpty():
+            return seen, says
+        seen = seen.unionByName(new)
+
+
 def sitemap_urls(sitemaps: DataFrame, robots: DataFrame) -> DataFrame:
     """URL rows of every candidate: `site, candidate, rank, status, lastmod, url`.
 
-    A sitemap index is followed for two levels, the first twenty files of each; on the third level
-    a file is read for the URLs it lists.  Each level is one equi-join on the URL of the file.
+    Files that name other files only lead on to them; the others give their URLs.  The date is the one of the first
+    file of the tree that has any.
     """
     c = F.col
-    files = _files(sitemaps)
-    no_path = F.array().cast("array<int>")
-    level = sitemap_candidates(sitemaps, robots).join(files.filter("usable"), ["site", "url"]).select(
-        "site", c("url").alias("candidate"), "rank", c("status").alias("candidate_status"),
-        no_path.alias("at"), "subs", "leaves", "lastmod")
-    content = files.select(
-        c("url").alias("sub"), c("subs").alias("n_subs"), c("leaves").alias("n_leaves"),
-        c("lastmod").alias("n_lastmod")).dropDuplicates(["sub"])
-    seen = []
-    for depth in range(3):
-        index = (F.size("subs") > 0) if depth < 2 else F.lit(False)
-        seen.append(level.select(
-            "site", "candidate", "rank", "candidate_status", "at", "lastmod",
-            F.when(index, F.array().cast("array<string>")).otherwise(c("leaves")).alias("leaves")))
-        if depth == 2:
-            break
-        level = level.filter(F.size("subs") > 0).select(
-            "site", "candidate", "rank", "candidate_status", "at",
-            F.posexplode(F.slice("subs", 1, SUB_SITEMAP_CAP)).alias("i", "sub"),
-        ).join(content, "sub").select(
-            "site", "candidate", "rank", "candidate_status",
-            F.concat("at", F.array(c("i"))).alias("at"),
-            c("n_subs").alias("subs"), c("n_leaves").alias("leaves"),
-            c("n_lastmod").alias("lastmod"))
-    every = seen[0].unionByName(seen[1]).unionByName(seen[2])
+    tree, says = sitemap_tree(sitemaps, robots)
+    every = tree.join(says, "url").select("site", "candidate", "rank", "candidate_status", "at", "lastmod",
+                                          F.when(F.size("subs") > 0, F.array().cast("array<string>")).otherwise(c("leaves")).alias("leaves"))
     dates = every.groupBy("site", "candidate").agg(
         F.min_by("lastmod", F.when(c("lastmod").isNotNull(), c("at"))).alias("lastmod"))
     rows = every.select(
@@ -123,6 +131,3 @@ def site_sitemaps(sitemaps: DataFrame, robots: DataFrame) -> tuple[DataFrame, Da
         "left_semi").select("site", "url")
     return facts, urls
 
-
-__all__ = ["robots_facts", "sitemap_candidates", "sitemap_urls", "site_sitemaps",
-           "sitemap_url_filter"]

@@ -93,6 +93,10 @@ def test_history_and_reports(spark, tmp_path):
     newest = H.recent_scans(stored).collect()
     assert len(newest) == 50 and newest[0]["created_at"] >= newest[-1]["created_at"]
     assert newest[0]["id"] == "s11" and len(newest[0]) == 9
+    plan = H.scan_by_id(stored, "s7")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,s7)]" in plan
+    days = {r["day"] for r in H.last_days(stored, 5).select("day").distinct().collect()}
+    assert 0 < len(days) < stored.select("day").distinct().count()
     H.delete_scans(spark, path, spark.createDataFrame([("s7",), ("s8",), ("zz",)], "id string"))
     left = H.read_scans(spark, path)
     assert left.count() == 58 and H.scan_by_id(left, "s7").count() == 0

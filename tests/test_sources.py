@@ -1,9 +1,11 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from sitewright.operators import competitors as C
 from sitewright.operators import costs
+from sitewright.operators.rivals import site_rivals
 from sitewright.sources import serp
 from sitewright.sources.pages import with_page_defaults
 from sitewright.sources.sitemaps import robots_facts, site_sitemaps
@@ -21,14 +23,14 @@ def index(*urls):
 def test_sitemaps_and_robots(spark):
     a, b, d = "https://www.a.com", "https://b.com", "https://d.com"
     maps = [
-        # declared file is empty of own URLs, so the usual name is taken; two levels are followed
+        # declared file is empty of own URLs, so the usual name is taken; indexes are followed to any depth
         ("a.com", f"{a}/declared.xml", 200, urlset("https://other.org/x")),
         ("a.com", f"{a}/sitemap.xml", 200, index(f"{a}/s1.xml", f"{a}/s2.xml", f"{a}/gone.xml")),
         ("a.com", f"{a}/s1.xml", 200, urlset(f"{a}/1", f"{a}/1", f"{a}/pic.PNG", "https://a.com/2")),
         ("a.com", f"{a}/s2.xml", 200, index(f"{a}/s3.xml")),
-        ("a.com", f"{a}/s3.xml", 200, index(f"{a}/s4.xml").replace("</s", f"<loc>{a}/deep</loc></s")
+        ("a.com", f"{a}/s3.xml", 200, index(f"{a}/s4.xml").replace("</s", f"<loc>{a}/beside</loc></s")
          + "<lastmod>2024-02-03</lastmod>"),
-        ("a.com", f"{a}/s4.xml", 200, urlset(f"{a}/never")),
+        ("a.com", f"{a}/s4.xml", 200, urlset(f"{a}/below")),
         ("b.com", f"{b}/sitemap.xml", 404, urlset(f"{b}/1")),
         ("b.com", f"{b}/wp-sitemap.xml", 200, urlset(f"{b}/1", lastmod=" 2024-01-01 ")),
         ("b.com", f"{b}/post-sitemap.xml", 200, urlset(f"{b}/2")),
@@ -48,7 +50,7 @@ def test_sitemaps_and_robots(spark):
     lists = {}
     for r in urls.collect():
         lists.setdefault(r["site"], set()).add(r["url"])
-    assert lists == {"a.com": {f"{a}/1", "https://a.com/2", f"{a}/deep"}, "b.com": {f"{b}/1"}}
+    assert lists == {"a.com": {f"{a}/1", "https://a.com/2", f"{a}/below"}, "b.com": {f"{b}/1"}}
     assert got["a.com"]["sitemap_url_count"] == 3
     rob = {r["site"]: r for r in robots_facts(robots).collect()}
     assert rob["a.com"]["robots_found"] and rob["a.com"]["sitemap_declared"]
@@ -135,13 +137,50 @@ def test_competitor_report(spark):
         ("me.com", response([{"items": [ranked_item("K0", 5), ranked_item("k0", 8)]
                               + [ranked_item(f"k{i}", 9) for i in range(16, 25)]}]))]))
     got = C.competitor_report(comps, theirs, own).orderBy("rank").collect()
-    assert [r["domain"] for r in got] == ["c1.com", "c2.com", "c3.com", "c4.com", "c5.com"]
-    assert [r["estimated_visibility"] for r in got] == [0, 25, 25, 25, 25]
+    assert [r["domain"] for r in got] == ["c1.com", "c2.com", "c3.com", "c4.com", "c5.com", "c6.com"]
+    assert [r["estimated_visibility"] for r in got] == [0, 25, 25, 25, 25, 25]
+    assert C.competitor_report(comps, theirs, own, competitors=5).count() == 5
     one = got[0]
     assert len(one["top_keywords"]) == 20 and one["top_keywords"][0]["own_position"] == 8
     assert one["keyword_gaps"] == [f"k{i}" for i in range(15, 5, -1)]
     assert one["suggested_action"] == "Build keyword gap content"
-    assert got[3]["top_keywords"] == [] and got[3]["suggested_action"] == "Monitor & maintain"
+    assert [(r["n_keywords"], r["n_gaps"]) for r in got] == [(25, 15), (0, 0), (0, 0), (25, 15), (0, 0), (0, 0)]
+    assert got[4]["top_keywords"] == [] and got[4]["suggested_action"] == "Monitor & maintain"
+
+
+def test_rivals_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    words = [(f"s{i}", f"w{int(rng.paretovariate(0.5)) % 400}") for i in range(70) for _ in range(rng.choice([1, 3, 40]))]
+    words += [(f"s{i}", "everywhere") for i in range(70)] + [("alone", "own"), (None, "w1"), ("s1", None)]
+    sets = {}
+    for site, word in words:
+        if site and word:
+            sets.setdefault(site, set()).add(word)
+    weight = {w: 1_000_000 // sum(w in x for x in sets.values()) for x in sets.values() for w in x}
+    want = []
+    for a, x in sets.items():
+        near = sorted((-sum(weight[w] for w in x & y), b) for b, y in sets.items() if b != a and x & y)[:4]
+        want += [(a, i + 1, b, -n, len(x & sets[b]), len(sets[b] - x)) for i, (n, b) in enumerate(near)]
+    df = spark.createDataFrame(words, "site string, keyword string")
+    for rounds in ((2, 5, 20), (1000,), ()):
+        got = site_rivals(df, cap=4, rounds=rounds).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert site_rivals(df.limit(0)).count() == 0
+
+
+def test_sitemap_trees_of_any_size(spark):
+    a = "https://a.com"
+    rows = [("a.com", f"{a}/sitemap.xml", 200, index(f"{a}/m0.xml", f"{a}/many.xml"))]
+    rows += [("a.com", f"{a}/m{i}.xml", 200, index(f"{a}/m{i + 1}.xml", f"{a}/sitemap.xml")) for i in range(6)]
+    rows += [("a.com", f"{a}/m6.xml", 200, urlset(f"{a}/deep", lastmod="2024-05-05"))]
+    rows += [("a.com", f"{a}/many.xml", 200, index(*[f"{a}/p{i}.xml" for i in range(25)], f"{a}/many.xml"))]
+    rows += [("a.com", f"{a}/p{i}.xml", 200, urlset(f"{a}/page{i}", lastmod="2024-01-01")) for i in range(25)]
+    maps = spark.createDataFrame(rows, "site string, url string, status int, xml string")
+    robots = spark.createDataFrame([], "site string, status int, content string")
+    facts, urls = site_sitemaps(maps, robots)
+    assert {r["url"] for r in urls.collect()} == {f"{a}/deep"} | {f"{a}/page{i}" for i in range(25)}
+    assert [(r["sitemap_url_count"], r["sitemap_lastmod"]) for r in facts.collect()] == [(26, "2024-05-05")]
+    assert site_sitemaps(maps.limit(0), robots)[0].count() == 0
 
 
 def test_markets_and_bands(spark):
@@ -162,7 +201,9 @@ def test_grounding_text(spark):
             "google.com facebook.com gamma.net delta.io eps.org zeta.org\nLine about SHOES here")
     df = spark.createDataFrame([(text, ["shoes", "missing", "none"], ["a", "b"], ["b", "c"])],
                                "t string, k array<string>, s1 array<string>, s2 array<string>")
-    r = df.select(C.domains_in_text(F.col("t"), F.lit("me.com")), C.keyword_lines(F.col("t"), F.col("k")),
+    every = df.select(C.domains_in_text(F.col("t"), F.lit("me.com"))).first()[0]
+    assert [x["domain"] for x in every] == ["alpha.com", "beta.co.th", "gamma.net", "delta.io", "eps.org", "zeta.org"]
+    r = df.select(C.domains_in_text(F.col("t"), F.lit("me.com"), cap=5), C.keyword_lines(F.col("t"), F.col("k")),
                   C.merged_sources(F.col("s1"), F.col("s2"))).first()
     assert [x["domain"] for x in r[0]] == ["alpha.com", "beta.co.th", "gamma.net", "delta.io", "eps.org"]
     assert r[0][0]["name"] == "Alpha" and r[0][1]["snippet"].startswith("Top: ")
