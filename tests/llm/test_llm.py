@@ -281,7 +281,7 @@ def test_pipeline(spark):
     texts = dict(documents(spark, SMALL))
     rejected = {r.doc_id for r in queries.op3_zstd_language(spark, SMALL).filter("rejected").collect()}
     kept = {i: t for i, t in texts.items() if i not in rejected}
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, list(kept.items()))).collect()}
+    groups = similar_groups(kept)
     hit = {r.doc_id for r in queries.op4_positional_index(spark, SMALL).filter("contaminated").collect()}
     want = []
     for i, text in kept.items():
@@ -294,13 +294,47 @@ def test_pipeline(spark):
             ids = ENCODING.encode_ordinary(clean)
             want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(clean.encode()).hexdigest()))
     assert got == sorted(want) and 0 < len(got) < len(texts)
+
+
+def similar_groups(texts, percent=80):
+    """The least id that chains of pairs with so similar sets of five words reach, by brute force."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    group = {i: i for i in texts}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i]) * 100 >= percent * len(sets[j]) and len(sets[j]) * 100 >= percent * len(sets[i]):
+                if len(sets[i] & sets[j]) * 100 >= percent * len(sets[i] | sets[j]) and group[i] != group[j]:
+                    old, new = max(group[i], group[j]), min(group[i], group[j])
+                    group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, extra columns named as the operators name theirs, empty tables."""
+    import corpus_pipeline
+
     schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the same text here", "en", "s", 18), (2, "the same text here", "en", "s", 18),
-                                 (3, "the same text here", None, "s", 18)], schema).withColumn("row", F.lit("own")).withColumn("pii", F.lit("own"))
+    long_text = "a very long text of words " * 40_000
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the same text here", "en", "s", 18), (2, "the same text here", "en", "s", 18),
+            (3, "the same text here", None, "s", 18), (4, long_text, "en", "s", len(long_text)), (5, long_text + "end", "en", "s", len(long_text) + 3)]
+    odd = spark.createDataFrame(rows, schema).withColumns({n: F.lit("own") for n in ("row", "pii", "label", "seq", "_key", "key", "n")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SMALL).columns == odd.columns
         assert stage(spark, odd.limit(0), SMALL).count() == 0
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, odd, SMALL).collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, odd, SMALL).collect()) == ["1", "2", "4", "None"]
+    found = corpus_pipeline.tokens(spark, odd, SMALL).collect()
+    want = [(r[0], hashlib.sha256(np.array(ENCODING.encode_ordinary(r[1] or ""), "<u4").tobytes()).hexdigest()) for r in rows]
+    assert sorted(str((r.doc_id, r.ids_sha256)) for r in found) == sorted(map(str, want))
+    assert corpus_pipeline.tokens(spark, odd.limit(0), SMALL).count() == 0
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 200, 5000):
+        a = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(-2**63, 2**63 - 1, n // 5)]))
+        bits = sum(bin(int(x) & (2**64 - 1)).count("1") for x in similar_texts.parity_bits(a) ^ similar_texts.parity_bits(b))
+        assert bits <= len(np.setxor1d(a, b)) and (n < 5 or bits > 0)
 
 
 def test_near_dedup_repeated_id_of_two_groups(spark):
