@@ -2,26 +2,30 @@
 
 A text is cut into paragraphs where its words say so, so that an edit changes only the paragraphs it touches.  A
 sketch keeps, in each cell, the number of digests, their XOR and the XOR of their checks.  Subtracting the sketches of
-two versions cancels what both have; peeling cells with a single digest recovers what differs.  Where peeling gets
-stuck, the pair is tried again with sketches four times as large.
+two versions cancels what both have; peeling cells with a single digest recovers what differs.
+
+A fingerprint is the sketch at the size at which it can be peeled by itself, so it grows with the number of paragraphs.
+Halves of a sketch add up to the sketch of half the size.  Two fingerprints are compared at a small size first; where
+peeling gets stuck, at four times that size, up to their own; where even that is too small, each is peeled by itself.
+So the likeness of two texts follows from their fingerprints alone.
 """
 
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A paragraph ends after a word whose hash is a multiple of 8, and after 32 words at most.
 CUT, LONGEST = 8, 32
-#: The fingerprint has 3 times 2 ** BASE cells; comparisons begin with as many.
-BASE = 3
+#: The smallest sketch has 3 times 2 ** BASE cells; comparisons begin with as many and go on in steps of STEP powers.
+BASE, STEP = 3, 2
 #: Texts are worked on in groups of about so many characters.
 GROUP_CHARS = 4_000_000
 LOWEST = -(2**63)
@@ -39,13 +43,16 @@ def _check(x: np.ndarray) -> np.ndarray:
 
 
 def paragraph_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, digest) of every paragraph; the k-th of equal paragraphs of a text has a digest of its own."""
+    """(text number, digest) of every paragraph; the k-th of equal paragraphs of a text has a digest of its own.
+
+    White space counts as one space, so texts that differ in nothing else have equal paragraphs.
+    """
     lists = [t.encode().split() for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     n = int(sizes.sum())
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = _mix(np.fromiter((zlib.crc32(w) for x in lists for w in x), np.uint64, n))
+    h = _mix(np.fromiter((xxhash.xxh3_64_intdigest(w) for x in lists for w in x), np.uint64, n))
     text = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(n)
     starts = np.zeros(n, bool)
@@ -67,7 +74,7 @@ def paragraph_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _cells(owner: np.ndarray, digest: np.ndarray, power: int) -> Iterator[np.ndarray]:
     for j in range(3):
-        h = _mix(digest * _ODD[j] + np.uint64(power)) & np.uint64((1 << power) - 1)
+        h = _mix(digest * _ODD[j]) & np.uint64((1 << power) - 1)
         yield owner * (3 << power) + (j << power) + h.astype(np.int64)
 
 
@@ -105,36 +112,96 @@ class Sketches:
         join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(f[k] for f in found)])
         return join(0, np.int64), join(1, np.uint64), join(2, np.int32), empty
 
-    def text(self, owner: int, paragraphs: int) -> str:
-        part = slice(owner * (3 << self.power), (owner + 1) * (3 << self.power))
-        data = self.count[part].astype("<i2").tobytes() + self.key[part].astype("<u8").tobytes() + self.check[part].astype("<u4").tobytes()
-        return f"{paragraphs}:{base64.b85encode(data).decode()}"
-
-
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, digest, sign) of the digests that only one side of each of `pairs` pairs has: sign 1 for a, -1 for b."""
-    owner, digest = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    sign = np.concatenate([np.ones(len(a[0]), np.int32), -np.ones(len(b[0]), np.int32)])
-    open_, power, found = np.arange(pairs), BASE, []
-    while len(open_):
-        table = Sketches(len(open_), power)
-        number = np.full(pairs, -1)
-        number[open_] = np.arange(len(open_))
-        own = number[owner] >= 0
-        owner, digest, sign = owner[own], digest[own], sign[own]
-        table.add(number[owner], digest, sign)
-        p, d, s, done = table.peel()
-        keep = done[p]
-        found.append((open_[p[keep]], d[keep], s[keep]))
-        open_, power = open_[~done], power + 2
-    return tuple(np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.int64, np.uint64, np.int32)))
-
-
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], pairs: int) -> np.ndarray:
-    """Shared paragraphs as a share of all different ones of both sides; 1 where both sides have none."""
-    both = np.bincount(a[0], minlength=pairs) + np.bincount(b[0], minlength=pairs)
-    d = np.bincount(differences(a, b, pairs)[0], minlength=pairs)
-    return np.where(both > 0, (both - d) / np.maximum(both + d, 1), 1.0)
+
+class Prints:
+    """The fingerprints of texts 0 to owners - 1: number of paragraphs, power, and the tables of each power."""
+
+    def __init__(self, n: np.ndarray, power: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.n, self.power, self.tables = n, power, tables  # tables[power]: owners, counts, keys, checks
+
+    @classmethod
+    def of(cls, owner: np.ndarray, digest: np.ndarray, owners: int) -> Prints:
+        n = np.bincount(owner, minlength=owners)
+        power = np.maximum(BASE, np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64))
+        open_, parts = np.arange(owners), {}
+        while len(open_):
+            stuck = []
+            for p in np.unique(power[open_]).tolist():
+                mine = open_[power[open_] == p]
+                number = np.full(owners, -1)
+                number[mine] = np.arange(len(mine))
+                own = number[owner] >= 0
+                table = Sketches(len(mine), p)
+                table.add(number[owner[own]], digest[own])
+                kept = [x.reshape(len(mine), -1).copy() for x in (table.count, table.key, table.check)]
+                done = table.peel()[3]
+                parts.setdefault(p, []).append([mine[done], *(x[done] for x in kept)])
+                stuck.append(mine[~done])
+            open_ = np.concatenate(stuck)
+            power[open_] += 1
+        return cls(n, power, {p: tuple(np.concatenate([x[k] for x in some]) for k in range(4)) for p, some in parts.items()})
+
+    @classmethod
+    def read(cls, prints: list[str]) -> Prints:
+        """The fingerprints that `texts` wrote."""
+        split = [x.split(":") for x in prints]
+        power, parts = np.array([int(x[1]) for x in split], np.int64), {}
+        for i, (_, p, data) in enumerate(split):
+            raw, cells = base64.b64decode(data), 3 << int(p)
+            parts.setdefault(int(p), []).append((i, np.frombuffer(raw, "<i2", cells), np.frombuffer(raw, "<u8", cells, 2 * cells), np.frombuffer(raw, "<u4", cells, 10 * cells)))
+        kinds = (np.int64, np.int32, np.uint64, np.uint32)
+        return cls(np.array([int(x[0]) for x in split], np.int64), power,
+                   {p: tuple(np.array([x[k] for x in some], kinds[k]) for k in range(4)) for p, some in parts.items()})
+
+    def texts(self) -> list[str]:
+        out = [""] * len(self.n)
+        for p, (owners, *parts) in self.tables.items():
+            count, key, check = (x.astype(kind) for x, kind in zip(parts, ("<i2", "<u8", "<u4"), strict=True))
+            for i, owner in enumerate(owners.tolist()):
+                data = count[i].tobytes() + key[i].tobytes() + check[i].tobytes()
+                out[owner] = f"{self.n[owner]}:{p}:{base64.b64encode(data).decode()}"
+        return out
+
+    def folded(self, power: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, keys and checks of all owners at a size; zeros for those whose own is smaller."""
+        out = [np.zeros((len(self.n), 3 << power), kind) for kind in (np.int32, np.uint64, np.uint32)]
+        for p, (owners, *parts) in self.tables.items():
+            if p >= power and len(owners):
+                for k, (x, join) in enumerate(zip(parts, (np.add, np.bitwise_xor, np.bitwise_xor), strict=True)):
+                    out[k][owners] = join.reduce(x.reshape(len(owners), 3, 1 << (p - power), 1 << power), axis=2).reshape(len(owners), -1)
+        return tuple(out)
+
+    def digests(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, digest) of all paragraphs of some owners, peeled from their own tables."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for p, (owners, count, key, check) in self.tables.items():
+            at = np.flatnonzero(np.isin(owners, wanted))
+            if len(at):
+                table = Sketches(len(at), p)
+                table.count, table.key, table.check = count[at].ravel().copy(), key[at].ravel().copy(), check[at].ravel().copy()
+                o, d, _, _ = table.peel()
+                found.append((owners[at][o], d))
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(2))
+
+
+def likeness(a: Prints, b: Prints) -> np.ndarray:
+    """Shared paragraphs of each pair as a share of all different ones of both sides; 1 where both sides have none."""
+    pairs = len(a.n)
+    apart, open_ = np.zeros(pairs, np.int64), np.arange(pairs)
+    least, power = np.minimum(a.power, b.power), BASE
+    while len(open_) and power <= least[open_].max():
+        able = open_[least[open_] >= power]
+        table = Sketches(len(able), power)
+        (ca, ka, xa), (cb, kb, xb) = a.folded(power), b.folded(power)
+        table.count, table.key, table.check = (ca[able] - cb[able]).ravel(), (ka[able] ^ kb[able]).ravel(), (xa[able] ^ xb[able]).ravel()
+        owner, _, _, done = table.peel()
+        apart[able] = np.bincount(owner, minlength=len(able))
+        open_, power = np.concatenate([open_[least[open_] < power], able[~done]]), power + STEP
+    if len(open_):
+        both = [np.rec.fromarrays(x.digests(open_), names="owner,digest") for x in (a, b)]
+        apart[open_] = np.bincount(np.setxor1d(*both)["owner"], minlength=pairs)[open_]
+    total = a.n + b.n
+    return np.where(total > 0, (total - apart) / np.maximum(total + apart, 1), 1.0)
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,7 +239,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row for each document, whose edited text is the text with its last half replaced by the start of the next
     document's: doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next (likeness, 0 to 1).
 
-    A null text counts as empty; repeated rows follow each other; a single document follows itself.
+    Both likenesses are those of the fingerprints, see `likeness`.  A null text counts as empty; repeated rows follow
+    each other; a single document follows itself.
     """
     def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, chars, last = [], 0, None
@@ -180,15 +248,10 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         def results() -> pa.RecordBatch:
             ids, texts, follow = zip(*group, strict=True)
             edited = [t[:len(t) - len(t) // 2] + f[:len(t) // 2] for t, f in zip(texts, follow, strict=True)]
-            own, new, after = (paragraph_digests(x) for x in (texts, edited, follow))
-            prints = []
-            for digests in (own, new):
-                table, n = Sketches(len(ids), BASE), np.bincount(digests[0], minlength=len(ids)).tolist()
-                table.add(*digests)
-                prints.append([table.text(i, n[i]) for i in range(len(ids))])
+            own, new, after = (Prints.of(*paragraph_digests(x), len(ids)) for x in (texts, edited, follow))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(edited, pa.string()),
-                 *(pa.array(x, pa.string()) for x in prints), *(pa.array(likeness(own, x, len(ids))) for x in (new, after))],
+                 *(pa.array(x.texts(), pa.string()) for x in (own, new)), *(pa.array(likeness(own, x)) for x in (new, after))],
                 names=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for batch in batches:

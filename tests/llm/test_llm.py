@@ -219,6 +219,15 @@ def test_fingerprints(spark):
         for value, other in zip((got[i].near_edited, got[i].near_next), others):
             assert value == pytest.approx(len(own & other) / len(own | other) if own | other else 1)
         assert prints.setdefault(text, got[i].fingerprint) == got[i].fingerprint
+    # both values follow from the fingerprints alone
+    ids = [i for i, _ in rows]
+    own, new = (iblt.Prints.read([getattr(got[i], c) for i in ids]) for c in ("fingerprint", "edited_fingerprint"))
+    after = iblt.Prints.read([got[ids[(k + 1) % len(ids)]].fingerprint for k in range(len(ids))])
+    assert iblt.likeness(own, new).tolist() == [got[i].near_edited for i in ids]
+    assert iblt.likeness(own, after).tolist() == [got[i].near_next for i in ids]
+    for k in range(0, len(ids), 10):
+        assert sorted(own.digests(np.array([k]))[1].tolist()) == sorted(iblt.paragraph_digests([rows[k][1]])[1].tolist())
+    assert iblt.paragraph_digests(["plumless"])[1].tolist() != iblt.paragraph_digests(["buckeroo"])[1].tolist()
     assert iblt.fingerprint_edits(clashing(spark)).count() == len(ODD)
     assert iblt.fingerprint_edits(table(spark).limit(0)).count() == 0
     assert [r.near_next for r in iblt.fingerprint_edits(table(spark, [(1, "a b c")])).collect()] == [1.0]
