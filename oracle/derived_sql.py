@@ -307,6 +307,13 @@ gl AS (SELECT scan_id, unnest(lines) AS line, unnest(range(len(lines))) AS ln FR
 """
 _TRIMMED = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 
+_BOUNDS = ", ".join(["CASE WHEN id % 9 = 4 THEN 'oneSentenceTruth' END", "CASE WHEN id % 5 IN (0, 4) THEN 'topProblems' END",
+    "CASE WHEN id % 3 = 1 AND id % 4 = 0 THEN 'rewriteBrief' END", "CASE WHEN id % 5 IN (0, 4) THEN 'titleOptions' END",
+    "CASE WHEN id % 7 IN (0, 6) THEN 'faqSuggestions' END"])
+_ANSWERS = f"""an AS (SELECT doc_id AS id, doc_id % 4 <> 3 AS parsed, list_filter([{_BOUNDS.replace('id %', 'doc_id %')}], lambda s: s IS NOT NULL) AS bad,
+  CASE WHEN doc_id % 3 = 1 THEN ['line ' || i for i in range(1, 6 + doc_id % 4)] ELSE ['b' || i for i in range(1, 7)] END AS brief FROM documents)"""
+_RISKY = "regexp_matches(text, '(?i)cloaking|doorway page|link spam|fake click|fake traffic|hidden text|keyword stuff|scrape google|bypass robots|fake review')"
+
 SQL = {
     "keyword_ideas": f"""WITH {LANDED} SELECT 'site' || k AS target, "at", CASE WHEN id % 11 <> 0 THEN 'topic ' || id ELSE '' END AS keyword, {_VOLUME_OF},
         CASE WHEN id % 6 = 1 THEN '2024/1/' || id || '|2024/2/?' ELSE '' END AS monthly_trend, CASE WHEN id % 5 <> 0 THEN id % 7 / 2::DOUBLE END AS cpc,
@@ -413,9 +420,9 @@ SQL = {
         search_volume, position * 2.0::DOUBLE AS keyword_difficulty,
         CASE WHEN position % 3 = 0 THEN 'commercial' ELSE 'unknown' END AS intent,
         CASE WHEN position % 7 = 0 THEN 'Low' WHEN position <= 3 THEN 'High' WHEN position <= 10 THEN 'Medium' ELSE 'Low' END AS priority,
-        CASE WHEN position % 7 = 0 THEN 'Create content' WHEN position <= 3 THEN 'Maintain + protect'
-             WHEN position <= 10 THEN 'Optimize CTA + internal links' WHEN position <= 20 THEN 'Refresh content + add schema'
-             ELSE 'Add internal links + improve relevance' END AS suggested_action,
+        CASE WHEN position % 7 = 0 THEN 'create' WHEN position <= 3 THEN 'protect'
+             WHEN position <= 10 THEN 'improve' WHEN position <= 20 THEN 'refresh'
+             ELSE 'support' END AS suggested_action,
         CASE WHEN position * 2 >= 70 THEN 'high' WHEN position * 2 >= 40 THEN 'medium' ELSE 'low' END AS difficulty_band
         FROM ranked""",
     "keyword_tables": "WITH " + PAGES + "," + TOKEN_TABLE + f"SELECT site AS target, rank, keyword, search_volume FROM ({top_k('ranked', 'site', 'search_volume DESC, keyword', 25)})",
@@ -429,7 +436,7 @@ SQL = {
         SELECT p.site AS target, rank, p.competitor AS domain,
           least(100, round(shared_keywords / (shared_keywords + missing_keywords)::DOUBLE * 100))::BIGINT AS estimated_visibility,
           shared_keywords, missing_keywords,
-          CASE WHEN coalesce(n_gaps, 0) > 5 THEN 'Build keyword gap content' ELSE 'Monitor & maintain' END AS suggested_action,
+          CASE WHEN coalesce(n_gaps, 0) > 5 THEN 'fill_gaps' ELSE 'watch' END AS suggested_action,
           n_keywords, coalesce(n_gaps, 0) AS n_gaps, least(n_keywords, 20) AS n_listed, coalesce(l, '') AS keyword_gaps
         FROM pairs p LEFT JOIN gl ON gl.site = p.site AND gl.competitor = p.competitor
           JOIN kn ON kn.site = p.site AND kn.competitor = p.competitor""",
@@ -451,6 +458,28 @@ SQL = {
         id % 4 <> 3 AND len(list_filter([{_MISSING}], lambda s: s IS NOT NULL)) = 0 AS is_accepted,
         CASE WHEN id % 4 <> 3 THEN 1 END::BIGINT AS n_gaps, CASE WHEN id % 4 <> 3 THEN 0 END::BIGINT AS n_quick_wins
         FROM (SELECT doc_id AS id FROM documents)""",
+    "rejected_answers": f"""SELECT id AS scan_id, CASE WHEN id % 4 = 3 THEN 'broken_json' ELSE 'missing_fields' END AS reason,
+        CASE WHEN id % 4 <> 3 THEN array_to_string(list_filter([{_MISSING}], lambda s: s IS NOT NULL), '|') END AS missing
+        FROM (SELECT doc_id AS id FROM documents) WHERE id % 4 = 3 OR len(list_filter([{_MISSING}], lambda s: s IS NOT NULL)) > 0""",
+    "article_answers": f"""WITH {_ANSWERS} SELECT id AS scan_id, parsed AS is_parsed, CASE WHEN parsed THEN array_to_string(bad, '|') END AS out_of_bounds,
+        parsed AND len(bad) = 0 AS is_accepted, CASE WHEN parsed THEN array_to_string(brief, '|') END AS brief FROM an""",
+    "merged_scans": f"""WITH {_ANSWERS} SELECT id AS scan_id, CASE WHEN ok THEN array_to_string(['p' || i for i in range(1, 3 + id % 5)], '|') ELSE 'rule' END AS top_problems,
+        CASE WHEN ok THEN array_to_string(['• ' || b for b in brief], chr(10)) ELSE 'rule brief' END AS rewrite_brief, ok AS is_ai_enhanced
+        FROM (SELECT *, parsed AND len(bad) = 0 AS ok FROM an)""",
+    "risky_inputs": f"""SELECT conv_id, turn, role, NOT ((conv_id + turn) % 5 = 0 OR {_RISKY}) AS is_safe FROM conversations""",
+    "rejected_inputs": f"""SELECT conv_id, turn, role FROM conversations WHERE (conv_id + turn) % 5 = 0 OR {_RISKY}""",
+    "value_bands": """SELECT doc_id, CASE WHEN v >= 70 THEN 'high' WHEN v >= 40 THEN 'medium' WHEN v >= 0 THEN 'low' ELSE 'unknown' END AS difficulty,
+        CASE WHEN v >= 60 THEN 'high' WHEN v >= 30 THEN 'medium' WHEN v >= 0 THEN 'low' ELSE 'unknown' END AS authority,
+        CASE WHEN v >= 60 THEN 'high' WHEN v >= 30 THEN 'medium' WHEN v >= 0 THEN 'low' ELSE 'unknown' END AS visibility,
+        CASE WHEN v >= 70 THEN 'high' WHEN v >= 40 THEN 'medium' WHEN v >= 0 THEN 'low' ELSE 'unknown' END AS clarity,
+        CASE WHEN v % 25 <= 3 THEN 'top3' WHEN v % 25 <= 10 THEN 'top10' WHEN v % 25 <= 20 THEN 'top20' WHEN v IS NULL THEN 'unknown' ELSE 'beyond' END AS position
+        FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN doc_id % 101 END AS v FROM documents)""",
+    "issue_insights": rich(FACTS, f"""SELECT site, issue_id, CASE WHEN rule_no % 3 = 0 THEN 'model|' || site ELSE 'rule ' || issue_id END AS impact,
+        CASE WHEN rule_no % 6 = 0 THEN 'model fix' ELSE 'own fix' END AS fix FROM ({ISSUES})"""),
+    "markup_evidence_chips": rich(FACTS, EVIDENCE, """SELECT site, issue_id, "at",
+        substr(coalesce(nullif(url, ''), nullif(page, ''), nullif(label, ''), nullif(note, ''), ''), 1, 60) AS label,
+        substr(coalesce(nullif(current, ''), CASE WHEN status <> 0 THEN 'status: ' || status END, CASE WHEN value <> '0' THEN nullif(value, '') END, ''), 1, 40) AS detail
+        FROM ev WHERE "at" < 4"""),
     "error_classes": """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'quota' WHEN 1 THEN 'model_missing'
         WHEN 2 THEN 'permission_denied' WHEN 3 THEN 'authentication_failed' WHEN 4 THEN 'impersonation_denied'
         ELSE 'other' END AS error_class, turn % 6 IN (0, 1, 5) AS is_retryable FROM conversations""",

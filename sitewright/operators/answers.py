@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitewright import fixed_values as fv
@@ -71,6 +71,27 @@ def checked_site_answers(answers: DataFrame) -> DataFrame:
         "is_accepted", F.col("is_parsed") & (F.coalesce(F.size("missing"), F.lit(1)) == 0))
 
 
+def _rejection(df: DataFrame) -> Column:
+    """Why a checked answer is not accepted; null for one that is."""
+    broken = F.when(F.coalesce(F.col("_text"), F.lit("")).contains("{"), "broken_json").otherwise("no_json")
+    return F.when(~F.col("is_parsed"), broken).when(~F.col("is_accepted"), "missing_fields")
+
+
+def rejected_site_answers(answers: DataFrame, *, column: str = "text") -> DataFrame:
+    """The answers that are not accepted, with a reason and the missing fields; no text fails a job."""
+    df = checked_site_answers(answers.withColumn("_text", F.col(column)))
+    return df.withColumn("reason", _rejection(df)).filter("reason IS NOT NULL").drop("_text", "answer")
+
+
+def counted_site_answers(answers: DataFrame, *, column: str = "text") -> tuple[DataFrame, Observation]:
+    """`checked_site_answers` with counts by reason, taken in the pass that parses; read them after an action."""
+    counts = Observation()
+    df = checked_site_answers(answers.withColumn("_text", F.col(column)))
+    reason = _rejection(df)
+    return df.observe(counts, F.count(F.lit(1)).alias("answers"), F.count_if("is_accepted").alias("accepted"), *[
+        F.count_if(reason == r).alias(r) for r in ("no_json", "broken_json", "missing_fields")]).drop("_text"), counts
+
+
 def with_empty_lists(answer: Column) -> Column:
     """The answer with empty lists and texts where optional fields are absent."""
     none = F.array().cast("array<string>")

@@ -44,7 +44,7 @@ def _first_attr(h: Column, pattern: str, name: str) -> Column:
 def questions(text: Column) -> Column:
     """Sentences that end in a question mark, 11 to 199 characters."""
     parts = F.regexp_extract_all(text, F.lit(r"[^.!?]*+(?:[.!?]|\z)"), F.lit(0))
-    asked = F.transform(F.filter(parts, lambda q: q.endswith("?")), F.trim)
+    asked = F.transform(F.filter(parts, lambda q: q.endswith("?")), lambda q: F.trim(q))
     sized = F.filter(asked, lambda q: F.length(q).between(11, 199))
     found = F.when(text.contains("?"), sized)
     return F.coalesce(found, F.array().cast("array<string>"))

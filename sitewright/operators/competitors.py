@@ -65,7 +65,7 @@ def competitor_report(candidates: DataFrame, competitor_ranks: DataFrame,
         "target", "rank", "domain", F.concat(F.lit("https://"), "domain").alias("url"),
         visibility(c("shared_keywords"), c("missing_keywords")).alias("estimated_visibility"),
         "shared_keywords", "missing_keywords",
-        F.when(n_gaps > 5, "Build keyword gap content").otherwise("Monitor & maintain")
+        F.when(n_gaps > 5, "fill_gaps").otherwise("watch")
         .alias("suggested_action"), F.coalesce("n_keywords", F.lit(0)).alias("n_keywords"), n_gaps.alias("n_gaps"),
         F.coalesce("top_keywords", F.array().cast(
             "array<struct<keyword:string,position:int,search_volume:bigint,own_position:int>>"))
@@ -133,12 +133,11 @@ def domains_in_text(text: Column, own_domain: Column, *, cap: int | None = None,
 
     All domains and whole lines, unless a caller asks for fewer or shorter ones.
     """
-    pattern = r"(?:https?://)?(?:www\.)?([a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?:\.[a-zA-Z]{2})?)"
     shown = (lambda s: s) if snippet_chars is None else (lambda s: F.substring(s, 1, snippet_chars))
 
     def of_line(line: Column) -> Column:
         return F.transform(
-            F.regexp_extract_all(line, F.lit(pattern), F.lit(1)),
+            F.regexp_extract_all(line, F.lit(fv.DOMAIN_PATTERN), F.lit(1)),
             lambda d: F.struct(F.lower(d).alias("domain"), line.alias("line")))
 
     named = F.flatten(F.transform(F.split(text, "\n"), of_line))

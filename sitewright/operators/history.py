@@ -28,7 +28,7 @@ def scan_rows(scans: DataFrame, created_at: Column | None = None) -> DataFrame:
     extra = {n: F.lit(None).cast("string") for n in ("markdown_report", "rewrite_prompt")
              if n not in scans.columns}
     report = F.to_json(F.struct(
-        F.struct("total", "verdict").alias("apexScore"),
+        F.struct("total", "verdict").alias("score"),
         F.col("failures").alias("failureReasons")))
     return scans.withColumns({
         **extra,

@@ -263,8 +263,8 @@ def issue_counts(issues: DataFrame, strengths: DataFrame) -> DataFrame:
         "site", *fv.PRIORITIES, "strengths")
 
 
-def evidence_chips(found: Column) -> Column:
-    """The first four pieces of evidence as a label (60 characters) and a detail (40)."""
+def evidence_chips(found: Column, *, cap: int = 4, label_chars: int = 60, detail_chars: int = 40) -> Column:
+    """The first pieces of evidence as a label and a detail, as short as a row of a report is."""
 
     def first(*values: Column) -> Column:
         return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
@@ -274,11 +274,11 @@ def evidence_chips(found: Column) -> Column:
             f["status"] != 0, F.concat(F.lit("status: "), f["status"].cast("string")))
         value = F.when(f["value"] != "0", f["value"])
         return F.struct(
-            F.substring(first(f["url"], f["page"], f["label"], f["note"]), 1, 60).alias("label"),
-            F.substring(first(f["current"], status, value), 1, 40).alias("detail"),
+            F.substring(first(f["url"], f["page"], f["label"], f["note"]), 1, label_chars).alias("label"),
+            F.substring(first(f["current"], status, value), 1, detail_chars).alias("detail"),
         )
 
-    return F.transform(F.slice(found, 1, 4), chip)
+    return F.transform(F.slice(found, 1, cap), chip)
 
 
 def issues_with_insights(issues: DataFrame, insights: DataFrame) -> DataFrame:

@@ -75,6 +75,15 @@ _NAV = (
 )
 
 
+_ZONE = """get(CASE id % 6
+  WHEN 1 THEN named_struct('open', '<div role="main"><div>', 'close', '</div></div>')
+  WHEN 2 THEN named_struct('open', '<div id="content">', 'close', '</div>')
+  WHEN 3 THEN named_struct('open', '<div class="box post-content"><div class="inner">', 'close', '</div></div>')
+  WHEN 4 THEN named_struct('open', '<article class="a">', 'close', '</article>')
+  WHEN 5 THEN named_struct('open', '<section class="entry-content">', 'close', '</section>')
+  ELSE named_struct('open', '<main>', 'close', '</main>') END, '{}')""".replace("get(", "(").replace(", '{}')", ").{}")
+
+
 def marked_up_pages(documents: DataFrame) -> DataFrame:
     """A page per document on seven shops, with every kind of markup the features look at."""
     e = F.expr
@@ -85,9 +94,9 @@ def marked_up_pages(documents: DataFrame) -> DataFrame:
     df = df.withColumn("url", e(f"concat('https://', host, {_PATH})"))
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head>"), F.concat_ws("\n", *[e(x) for x in _HEAD]),
-        F.lit("</head><body><header><nav>"), e(_NAV), F.lit("</nav></header>\n<main>\n"),
+        F.lit("</head><body><header><nav>"), e(_NAV), F.lit("</nav></header>\n"), e(_ZONE.format("open")), F.lit("\n"),
         F.concat_ws("\n", *[e(x) for x in _MAIN]),
-        F.lit("\n</main>\n<footer>Footer text</footer></body></html>"))
+        F.lit("\n"), e(_ZONE.format("close")), F.lit("\n<footer>Footer text</footer></body></html>"))
     return df.select(
         F.col("id").alias("page_id"), "url",
         F.when(e("id % 17 <> 16"), html).alias("html"),
@@ -95,6 +104,60 @@ def marked_up_pages(documents: DataFrame) -> DataFrame:
         e("(id * 37) % 7000").cast("bigint").alias("fetch_ms"))
 
 
+_ARTICLE_HEAD = (
+    "CASE id % 8 WHEN 0 THEN '' WHEN 1 THEN concat('<title>Tip ', id, '</title>')"
+    " WHEN 2 THEN concat('<title>A very long title about topic ', id, ' that goes on for more than sixty characters</title>')"
+    " WHEN 3 THEN '<title>Topic overview</title>' ELSE concat('<title>Guide to topic ', id, ' for readers</title>') END",
+    "CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('<meta name=\"description\" content=\"', trim(repeat('long words ', 16)), '\">')"
+    " ELSE concat('<meta name=\"description\" content=\"Summary ', id, '\">') END",
+    "CASE WHEN id % 9 = 4 THEN '<meta name=\"robots\" content=\"noindex, follow\">' ELSE '' END",
+    "CASE id % 4 WHEN 1 THEN concat('<link rel=\"canonical\" href=\"https://mag', k, '.example.com/x\">')"
+    " WHEN 2 THEN concat('<link rel=\"canonical\" href=\"https://other.example.net/', id, '\">') ELSE '' END",
+    "CASE WHEN id % 3 = 1 THEN concat('<meta property=\"og:title\" content=\"Social ', id, '\">') ELSE '' END",
+    "CASE id % 10 WHEN 0 THEN '<script type=\"application/ld+json\">{\"@type\":\"FAQPage\"}</script>'"
+    " WHEN 1 THEN '<script type=\"application/ld+json\">{\"@type\":[\"Article\",\"Thing\"]}</script>'"
+    " WHEN 5 THEN '<script type=\"application/ld+json\">{\"@type\":\"WebPage\",\"@graph\":[{\"@graph\":[{\"@graph\":[{\"@graph\":[{\"@type\":\"Organization\"}]}]}]}]}</script>' ELSE '' END",
+)
+_ARTICLE_BODY = (
+    "CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN concat('<h1>Topic ', id, ' explained</h1>') ELSE '<h1>A general view</h1>' END",
+    _many("id % 5", "concat('<h2>Part ', j, '</h2>')"),
+    "CASE id % 9 WHEN 1 THEN '<h2>Process and timeline</h2>' WHEN 2 THEN '<h2>Mistakes to avoid</h2>' ELSE '' END",
+    "CASE WHEN id % 13 = 5 THEN '<h2>FAQ</h2>' ELSE '' END",
+    _many("id % 3", "concat('<h3>Step ', j, '</h3>')"),
+    "CASE WHEN id % 11 = 3 THEN '<div class=\"faq\">Answers</div>' ELSE '' END",
+    "concat('<p>', body, '</p>')",
+    _many("id % 3", "concat('What is topic number ', j, ' about?')"),
+    "CASE WHEN id % 7 = 3 THEN 'In 2011 and 2012 and 2013 and 2012 it began.' ELSE '' END",
+    "CASE id % 12 WHEN 3 THEN 'This is a 100% success story.' WHEN 9 THEN 'We guarantee every visa.' ELSE '' END",
+    "CASE WHEN id % 4 = 3 THEN 'Contact us today.' ELSE '' END",
+    "CASE WHEN id % 9 = 6 THEN 'Call 0812345678 now.' ELSE '' END",
+    "CASE WHEN id % 4 = 2 THEN '<table><tr><td>Cell</td></tr></table>' ELSE '' END",
+    "CASE WHEN id % 5 = 3 THEN '<ul>\n<li>One</li>\n<li>Two</li>\n</ul>' ELSE '' END",
+    _many("id % 6", "'<img src=\"a.png\">'"),
+    "CASE WHEN id % 2 = 0 THEN '<img src=\"b.png\" alt=\"A view\">' ELSE '' END",
+    "CASE WHEN id % 4 = 1 THEN concat('<span class=\"author\">Ann ', id, '</span>') ELSE '' END",
+    "CASE id % 5 WHEN 2 THEN '<time datetime=\"2024-03-01\">1 March</time>' WHEN 4 THEN concat('<span class=\"post-date\">May ', id, '</span>') ELSE '' END",
+    _many("id % 4", "concat('<a href=\"/p', j, '\">Page ', j, '</a>')"),
+    "CASE WHEN id % 8 = 7 THEN '<a href=\"/w1\">click here</a>\n<a href=\"/w2\">click here</a>\n<a href=\"/w3\">click here</a>' ELSE '' END",
+    "CASE WHEN id % 6 = 1 THEN '<a href=\"https://embassy.example.gov/v\">Embassy</a>' ELSE '' END",
+    "CASE WHEN id % 6 = 2 THEN '<a rel=\"nofollow\" href=\"https://ads.example.org/z\">Partner</a>' ELSE '' END",
+)
+
+
+def marked_up_articles(documents: DataFrame) -> DataFrame:
+    """An article around each document, with every kind of markup and wording that scores and rules look at."""
+    e = F.expr
+    df = documents.select(F.col("doc_id").alias("id"), escape_html(F.col("text")).alias("body")).withColumn("k", e("id % 5"))
+    html = F.concat(F.lit("<!DOCTYPE html><html><head>"), F.concat_ws("\n", *[e(x) for x in _ARTICLE_HEAD]), F.lit("</head><body>\n"),
+                    F.concat_ws("\n", *[e(x) for x in _ARTICLE_BODY]), F.lit("\n</body></html>"))
+    return df.select(
+        F.col("id").alias("article_id"), e("concat('https://mag', k, '.example.com/a/', id)").alias("url"),
+        e("CASE WHEN id % 3 <> 0 THEN concat('https://mag', k, '.example.com/final/', id) END").alias("final_url"), html.alias("html"),
+        e("CASE WHEN id % 6 <> 0 THEN concat('topic ', id) END").alias("detected_keyword"),
+        e("CASE (id div 5) % 5 WHEN 0 THEN 'Visa' WHEN 1 THEN 'Travel' WHEN 2 THEN 'Local/Service' ELSE 'General' END").alias("detected_article_type"),
+        e("CASE (id div 3) % 3 WHEN 0 THEN 'Thai' WHEN 1 THEN 'English' ELSE 'Thai/English mixed' END").alias("detected_language"))
+
+
 _SHOP = "concat('https://shop', k, '.example.com')"
 _ROOT = f"concat({_SHOP}, CASE k WHEN 0 THEN '/maps/root.xml' WHEN 2 THEN '/sitemap_index.xml' WHEN 3 THEN '/maps/second.xml' WHEN 4 THEN '/wp-sitemap.xml' ELSE '/sitemap.xml' END)"
 _LEAF = f"concat({_SHOP}, '/maps/leaf-', j, CASE WHEN k = 6 THEN '' ELSE '.xml' END)"
@@ -273,6 +336,33 @@ def site_answers(documents: DataFrame) -> DataFrame:
       ELSE substring(j, 1, length(j) - 3) END""").alias("text"))
 
 
+_ARTICLE_ANSWER = r"""to_json(named_struct(
+  'oneSentenceTruth', CASE WHEN id % 9 <> 4 THEN concat('Truth ', id) END,
+  'topProblems', transform(sequence(1, cast(2 + id % 5 AS int)), i -> concat('p', i)), 'topFixes', array('f1', 'f2', 'f3', 'f4'),
+  'titleOptions', transform(sequence(1, cast(4 + id % 5 AS int)), i -> concat('t', i)), 'metaOptions', array('m1', 'm2', 'm3'),
+  'h2Suggestions', array('h1', 'h2', 'h3', 'h4', 'h5', 'h6'),
+  'faqSuggestions', transform(sequence(1, cast(3 + id % 7 AS int)), i -> named_struct('q', concat('q', i), 'a', 'a'))))"""
+_BRIEF = r"""CASE WHEN id % 3 = 1 THEN concat('"', array_join(transform(sequence(1, cast(5 + id % 4 AS int)), i -> concat(' line ', i)), '\\n \\n'), '"')
+  ELSE '["b1","b2","b3","b4","b5","b6"]' END"""
+
+
+def article_answers(documents: DataFrame) -> DataFrame:
+    """Article answers with lists within and beyond their bounds, a brief as text or list; bare, fenced, in prose, cut off."""
+    df = documents.select(F.col("doc_id").alias("id")).withColumn("j", F.expr(_ARTICLE_ANSWER))
+    df = df.withColumn("j", F.expr(f"concat(substring(j, 1, length(j) - 1), ',\"rewriteBrief\":', {_BRIEF}, '}}')"))
+    return df.select(F.col("id").alias("scan_id"), F.expr("""CASE id % 4
+      WHEN 0 THEN j WHEN 1 THEN concat('```json\n', j, '\n```') WHEN 2 THEN concat('Sure: ', j, ' Bye')
+      ELSE substring(j, 1, length(j) - 5) END""").alias("text"))
+
+
+def risky_inputs(conversations: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
+    """The texts of conversations, every fifth row of them with a phrase that asks for a forbidden tactic."""
+    some = F.array(*[F.lit(p.upper() if i % 2 else p) for i, p in enumerate(phrases)])
+    at = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(phrases))).cast("int")
+    return conversations.withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.concat(
+        "text", F.lit(" use "), F.get(some, at))).otherwise(F.col("text")))
+
+
 def error_log(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.expr("""concat(CASE turn % 6
       WHEN 0 THEN '429 Too Many Requests: ' WHEN 1 THEN 'Model not found (404): '

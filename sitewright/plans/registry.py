@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitewright import fixed_values as fv
 from sitewright.functions import urls as U
 from sitewright.functions.ranking import reuse, shared_path, top_k
 from sitewright.operators import answers as A
@@ -24,7 +25,8 @@ from sitewright.operators.inputs import (
 )
 from sitewright.operators.page_features import page_features, page_links
 from sitewright.operators.competitors import (
-    competitor_report, difficulty_band, domains_in_text, keyword_lines, keyword_table, markets, merged_sources,
+    authority_band, clarity_band, competitor_report, difficulty_band, domains_in_text, keyword_lines, keyword_table, markets,
+    merged_sources, position_band, visibility_band,
 )
 from sitewright.operators.costs import answer_visibility, api_costs, model_costs, scan_costs
 from sitewright.operators.rivals import site_rivals
@@ -41,9 +43,21 @@ from sitewright.sources.pages import pages_as_articles, read_documents, read_pag
 _CACHE: dict[tuple, DataFrame] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and time of the files that stored tables are made from, so that new data is never answered with old."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for table in ("pages", "documents", "conversations"):
+        path = fs_path(f"{sf_dir}/{table}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = fs.listStatus(path) if fs.exists(path) else []
+        out.append((sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)))
+    return tuple(out)
+
+
 def remembered(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The same DataFrame for every query of a session that starts from it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The same DataFrame for every query of a session that starts from it, as long as the files stay the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name)
     if key not in _CACHE:
         _CACHE[key] = make()
     return _CACHE[key]
@@ -206,14 +220,14 @@ def _page_queries() -> dict:
             "site", "issue_id", F.array_join("found.page", "|").alias("pages"))),
         "page_tokens": lazy(lambda f: f.select("page_id", K.tokens(c("title")).alias("tokens"))),
         "page_bigrams": lazy(lambda f: f.select("page_id", K.bigrams(c("title")).alias("bigrams"))),
-        "keyword_frequency": lazy(K.keyword_frequency),
-        "seed_keywords": lazy(lambda f: K.seed_keywords(K.keyword_frequency(f))),
+        "keyword_frequency": lazy(lambda f: K.keyword_frequency(S.ok_pages(f))),
+        "seed_keywords": lazy(lambda f: K.seed_keywords(K.keyword_frequency(S.ok_pages(f)))),
         "request_keywords": lazy(lambda f: K.request_keywords(
-            K.seed_keywords(K.keyword_frequency(f)))),
-        "verified_keywords": lazy(lambda f: K.verified_keywords(K.keyword_frequency(f))),
+            K.seed_keywords(K.keyword_frequency(S.ok_pages(f))))),
+        "verified_keywords": lazy(lambda f: K.verified_keywords(K.keyword_frequency(S.ok_pages(f)))),
         "url_patterns": pages(lambda p: K.url_patterns(S.discovered_urls(
             p.select(U.site(c("url")).alias("site"), "url")))),
-        "token_cannibalization": stored(K.token_cannibalization),
+        "token_cannibalization": stored(lambda p: K.token_cannibalization(S.ok_pages(p))),
         "title_cannibalization": stored(K.title_cannibalization),
         "top_pages": lazy(lambda f: R.top_pages(f).select(
             "site", "rank", "page_id", "url", "page_type", "title", "h1", "word_count",
@@ -363,7 +377,7 @@ def _document_queries() -> dict:
         "competitor_averages": stored(lambda a: competitor_averages(next_documents(a), a)),
         "scan_rows": competing(lambda a: scans_of(a).select(
             "id", "raw_input", "score", "verdict", "final_decision",
-            F.get_json_object("json_report", "$.apexScore.total").alias("json_total"),
+            F.get_json_object("json_report", "$.score.total").alias("json_total"),
             F.size(F.from_json("json_report", "failureReasons array<struct<type:string>>")
                    ["failureReasons"]).cast("bigint").alias("json_failures"))),
         "recent_scans": history(lambda h: listed(recent_scans(h))),
@@ -422,6 +436,19 @@ def _derived_queries() -> dict:
             return tidy(fn(D.sitemap_files(docs), D.robots_files(docs)))
         return run
 
+    def markup_articles(spark, sf_dir):
+        return remembered(spark, sf_dir, "markup_articles", lambda: reuse(article_features(D.marked_up_articles(read_documents(
+            spark, f"{sf_dir}/documents.parquet", read_partitions(spark)))), "markup_articles"))
+
+    def article(fn):
+        return lambda spark, sf_dir: tidy(fn(markup_articles(spark, sf_dir)))
+
+    def rival_article(fn):
+        def run(spark, sf_dir):
+            a = markup_articles(spark, sf_dir)
+            return tidy(fn(a.join(competitor_averages(next_documents(a), a), "article_id", "left")))
+        return run
+
     def landed(fn):
         """Over response files, written from the documents and read back as files."""
         def make(spark, sf_dir):
@@ -474,6 +501,14 @@ def _derived_queries() -> dict:
             "scan_id", "is_parsed", "missing", "is_accepted",
             F.size(full["contentGaps"]).alias("n_gaps"), F.size(full["quickWins"]).alias("n_quick_wins"))
 
+    def issue_insights(issues: DataFrame) -> DataFrame:
+        """Issue texts of the rules beside those that a model wrote for some of them."""
+        own = issues.select("site", "issue_id", F.array(F.concat(F.lit("rule "), "issue_id")).alias("impact"), F.array(F.lit("own fix")).alias("fix"))
+        theirs = issues.filter("rule_no % 3 = 0").select(
+            "site", "issue_id", F.array(F.lit("model"), c("site")).alias("impact"),
+            F.when(c("rule_no") % 2 == 0, F.array(F.lit("model fix"))).otherwise(F.array().cast("array<string>")).alias("fix"))
+        return I.issues_with_insights(own, theirs)
+
     def competitor_rows(features: DataFrame) -> DataFrame:
         """Rivals of every site as the search export lists them, two platforms, a government site and the site itself among them."""
         ranks = reuse(token_ranks(features), "token_ranks")
@@ -510,6 +545,23 @@ def _derived_queries() -> dict:
         "markup_links": lambda spark, sf_dir: tidy(shop_features(spark, sf_dir).select(
             "page_id", "internal_link_count", "external_nofollow_count",
             "external_dofollow_count", "nav_items", "broken_nav_items")),
+        "markup_article_features": article(lambda a: a.select(
+            "article_id", "title", "h1", "h2s", "h3s", F.size("all_headings").alias("n_headings"), "meta_description", "meta_robots", "og_title", "canonical",
+            "schema_types", "word_count", "paragraph_count", "table_count", "list_count", "image_count", "missing_alt_count",
+            F.transform("internal_links", lambda x: F.concat(x["href"], F.lit(" "), x["text"])).alias("internal_links"),
+            F.transform("external_links", lambda x: x["href"]).alias("external_links"), "nofollow_links", "weak_anchor_count",
+            "author_name", "date_text", "has_author", "has_date", "has_faq", "cta_phrases", "has_phone", "has_email", "has_line",
+            "questions_found", "overclaims", "official_source_links", "old_years", "first_300_words")),
+        "markup_article_scores": rival_article(lambda a: article_scores(a).select(
+            "article_id", "position", "category", "score", "max_score", "status", "evidence")),
+        "markup_article_verdicts": rival_article(article_verdicts),
+        "markup_article_failures": rival_article(article_failures),
+        "markup_article_findings": rival_article(lambda a: article_findings(a).select(
+            "article_id", "n_failures", "n_high_failures", "top_problems", "top_fixes", "worst_failure", "final_decision", "can_extract", "cannot_extract",
+            "freshness_risks", "conversion_issues")),
+        "markup_article_checklist": rival_article(lambda a: article_findings(a).select(
+            "article_id", F.transform("checklist", lambda x: x.cast("string")).alias("checklist"), "checklist_percent")),
+        "markup_article_rivals": article(lambda a: competitor_gaps(next_documents(a), a)),
         "keyword_ideas": landed(lambda r: with_trend(serp.keyword_ideas(r.filter("api = 'ideas'")))),
         "search_volumes": landed(lambda r: with_trend(serp.search_volumes(r.filter("api = 'volumes'")))),
         "backlinks": landed(lambda r: serp.backlink_summaries(r.filter("api = 'backlinks'"))),
@@ -567,13 +619,31 @@ def _derived_queries() -> dict:
             F.round("total_cost_thb", 2).alias("total_cost_thb"))),
         "answer_visibility": over("events", lambda d: answer_visibility(D.prompt_probes(d))),
         "site_answers": over("documents", lambda d: checked(D.site_answers(d))),
+        "rejected_answers": over("documents", lambda d: A.rejected_site_answers(D.site_answers(d)).select("scan_id", "reason", "missing")),
+        "article_answers": over("documents", lambda d: A.checked_article_answers(D.article_answers(d)).select(
+            "scan_id", "is_parsed", "out_of_bounds", "is_accepted", "brief")),
+        "merged_scans": over("documents", lambda d: A.merged_scans(
+            d.select(c("doc_id").alias("scan_id"), F.array(F.lit("rule")).alias("top_problems"), F.lit("rule brief").alias("rewrite_brief")),
+            A.checked_article_answers(D.article_answers(d)))),
+        "risky_inputs": over("conversations", lambda d: D.risky_inputs(d, fv.BLACK_HAT_WORDS).select(
+            "conv_id", "turn", "role", is_safe_input(c("text")).alias("is_safe"))),
+        "rejected_inputs": over("conversations", lambda d: D.risky_inputs(d, fv.BLACK_HAT_WORDS).filter(~is_safe_input(c("text"))).select(
+            "conv_id", "turn", "role")),
+        "value_bands": over("documents", lambda d: d.select("doc_id", F.when(c("doc_id") % 13 != 0, c("doc_id") % 101).alias("v")).select(
+            "doc_id", difficulty_band(c("v")).alias("difficulty"), authority_band(c("v")).alias("authority"), visibility_band(c("v")).alias("visibility"),
+            clarity_band(c("v")).alias("clarity"), position_band(c("v") % 25).alias("position"))),
+        "issue_insights": both(lambda f, p: issue_insights(I.site_issues(f, p, with_examples=False))),
+        "markup_evidence_chips": shop(lambda p: I.issue_examples(p).select("site", "issue_id", F.posexplode(I.evidence_chips(c("found"))).alias("at", "x")).select(
+            "site", "issue_id", "at", "x.*")),
+        "markdown_report_heads": reports(lambda d: markdown_reports(d, report_date=F.lit("2024-03-05").cast("date")).select(
+            "id", F.substring_index("markdown_report", "\n\n---\n\n", 1).alias("head"))),
         "error_classes": over("conversations", lambda d: D.error_log(d).select(
             "conv_id", "turn", A.error_class(c("message")).alias("error_class"),
             A.is_retryable(c("message")).alias("is_retryable"))),
         "pasted_inputs": over("pages", lambda d: parse_inputs(D.pasted_inputs(d)).select(
             "input_id", "main_url", "sitemap_url", "competitor_urls", "detected_keyword",
             "confidence")),
-        "markdown_reports": reports(markdown_reports),
+        "markdown_reports": reports(lambda d: markdown_reports(d, report_date=F.lit("2024-03-05").cast("date"))),
         "rewrite_prompts": reports(rewrite_prompts),
         "article_contexts": lambda spark, sf_dir: article_contexts(stored_articles_of(spark, sf_dir)),
         "site_contexts": both(lambda f, p: site_contexts(

@@ -66,7 +66,7 @@ def site_audit(pages: DataFrame, *, sitemaps: DataFrame | None = None,
 def audit_overview(pages: DataFrame) -> DataFrame:
     """Scores of every site beside its fired issues, one row per issue."""
     features = reuse(page_features(pages), "page_features")
-    facts = S.site_facts(features)
+    facts = reuse(S.site_facts(features), "site_facts")
     scores = S.site_scores(facts)
     issues = I.site_issues(facts, features, with_examples=False)
     return scores.join(

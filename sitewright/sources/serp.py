@@ -109,10 +109,10 @@ def rank_priority(position: Column) -> Column:
 
 def rank_action(position: Column) -> Column:
     return (
-        F.when(position.isNull(), "Create content").when(position <= 3, "Maintain + protect")
-        .when(position <= 10, "Optimize CTA + internal links")
-        .when(position <= 20, "Refresh content + add schema")
-        .otherwise("Add internal links + improve relevance")
+        F.when(position.isNull(), "create").when(position <= 3, "protect")
+        .when(position <= 10, "improve")
+        .when(position <= 20, "refresh")
+        .otherwise("support")
     )
 
 

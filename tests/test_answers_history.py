@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from sitewright import fixed_values as fv
 from sitewright.operators import answers as A
 from sitewright.operators import history as H
 from sitewright.operators.article_features import article_features
@@ -39,6 +40,18 @@ def test_site_answers(spark):
     assert filled.select("a.quickWins", "a.salesInsight").first()[:] == ([], "")
 
 
+def test_rejected_answers_are_counted_in_one_pass(spark):
+    full = {n: "x" for n in fv.ANSWER_REQUIRED_TEXT} | {n: ["a"] for n in fv.ANSWER_REQUIRED_LISTS}
+    full["expectedResults"] = {p: ["a"] for p in fv.ANSWER_REQUIRED_PERIODS}
+    rows = [(1, json.dumps(full)), (2, json.dumps(full)[:-9]), (3, "sorry"), (4, "{}"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "scan_id long, text string")
+    rejected = {r["scan_id"]: r["reason"] for r in A.rejected_site_answers(df).collect()}
+    assert rejected == {2: "broken_json", 3: "no_json", 4: "missing_fields", 5: "no_json", 6: "no_json"}
+    checked, counts = A.counted_site_answers(df)
+    checked.collect()
+    assert counts.get == {"answers": 6, "accepted": 1, "no_json": 3, "broken_json": 1, "missing_fields": 1}
+
+
 def test_article_answers_and_merge(spark):
     long = dict(GOOD, titleOptions=["t"] * 8)
     text = dict(GOOD, rewriteBrief="\n".join(["one", " ", "two", "3", "4", "5", "6"]))
@@ -86,10 +99,10 @@ def test_history_and_reports(spark, tmp_path):
     stored = H.read_scans(spark, path)
     one = H.scan_by_id(stored, "s7").first()
     assert len(one["raw_input"]) > 5000 and one["score"] > 0
-    assert json.loads(one["json_report"])["apexScore"]["total"] == one["score"]
+    assert json.loads(one["json_report"])["score"]["total"] == one["score"]
     assert one["markdown_report"].count("\n## ") == 23 and "5 March 2024" in one["markdown_report"]
-    assert "## 23. Compliance" in one["markdown_report"]
-    assert "CURRENT ARTICLE" in one["rewrite_prompt"] and len(one["rewrite_prompt"]) < 4500
+    assert "## 23. Honest means" in one["markdown_report"]
+    assert "Text:" in one["rewrite_prompt"] and "xxx" in one["rewrite_prompt"]
     newest = H.recent_scans(stored).collect()
     assert len(newest) == 50 and newest[0]["created_at"] >= newest[-1]["created_at"]
     assert newest[0]["id"] == "s11" and len(newest[0]) == 9

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sitewright.texts import sentences
 from sitewright.operators import inputs as P
 from sitewright.operators.article_competitors import competitor_averages, competitor_gaps
 from sitewright.operators.article_features import article_features
@@ -109,8 +110,9 @@ def test_failures_and_findings(articles):
     assert f[1]["final_decision"] == "Rebuild From Scratch" and f[2]["worst_failure"] == "Missing Title Tag"
     # all but: Thai tone
     assert f[1]["checklist_percent"] == 90 and f[2]["checklist"] is None
-    assert f[1]["can_extract"] == ['Title: "Japan visa guide"', "FAQ questions and answers",
-                                   "1 table(s) with structured data", "3 H2 sections covering subtopics"]
+    assert f[1]["can_extract"] == ["title=Japan visa guide", "faq", "tables=1", "h2s=3"]
+    said = articles.limit(1).select(sentences(F.array(F.lit("words=12"), F.lit("no_title"), F.lit("own=x")))).first()[0]
+    assert said == ["the text has 12 words", "the page has no title", "own=x"]
     assert f[1]["cannot_extract"] == [] and f[1]["conversion_issues"] == []
 
 
@@ -121,8 +123,8 @@ def test_competitors(spark, articles):
     gaps = {r["position"]: r for r in competitor_gaps(targets, articles).collect()}
     assert set(gaps) == {1, 2, 3, 4}
     assert gaps[1]["has_faq"] and gaps[1]["has_table"] and gaps[1]["title_score"] == 32
-    assert "Has FAQ section" in gaps[1]["what_they_do_better"]
-    assert gaps[3]["what_they_do_better"] == ["Could not fetch competitor"] and not gaps[3]["fetched"]
+    assert "has_faq" in gaps[1]["what_they_do_better"]
+    assert gaps[3]["what_they_do_better"] == ["unfetched"] and not gaps[3]["fetched"]
     avg = competitor_averages(targets, articles).first()
     words = by_id(articles)[1]["word_count"]
     assert avg["n_competitors"] == 4 and abs(avg["competitor_mean_words"] - words / 2) < 1e-9
