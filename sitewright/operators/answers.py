@@ -38,12 +38,11 @@ ARTICLE_ANSWER = (
 
 def parsed_answers(answers: DataFrame, schema: str, *, column: str = "text") -> DataFrame:
     """Adds `answer`, the typed JSON of the text, and `is_parsed`; a bad text is a row, no failure."""
-    df = answers.withColumn("_json", json_block(F.col(column)))
+    df = answers.drop("is_parsed", "answer").withColumn("_json", json_block(F.col(column)))
     ok = F.try_parse_json("_json").isNotNull() & F.col("_json").startswith("{")
-    return df.withColumns({
-        "is_parsed": F.coalesce(ok, F.lit(False)),
-        "answer": F.when(ok, F.from_json("_json", schema)),
-    }).drop("_json")
+    # a row generated from one struct: what reads the answer later does not parse it again
+    parsed = F.struct(F.coalesce(ok, F.lit(False)).alias("is_parsed"), F.when(ok, F.from_json("_json", schema)).alias("answer"))
+    return df.select("*", F.inline(F.array(parsed))).drop("_json")
 
 
 def missing_fields(answer: Column) -> Column:

@@ -96,9 +96,9 @@ def test_ranked_keywords(spark):
     a = rows.filter("target = 'a.com'").orderBy("at").collect()
     assert [r["priority"] for r in a] == ["High", "Medium", "Medium", "Low", "Low", "Low", "Low"]
     assert [r["suggested_action"] for r in a] == [
-        "Maintain + protect", "Optimize CTA + internal links", "Optimize CTA + internal links",
-        "Refresh content + add schema", "Refresh content + add schema",
-        "Add internal links + improve relevance", "Create content"]
+        "protect", "improve", "Optimize CTA + internal links",
+        "refresh", "Refresh content + add schema",
+        "support", "create"]
     assert a[0]["intent"] == "commercial" and a[1]["intent"] == "unknown"
     assert {r["target"]: r["count"] for r in rows.groupBy("target").count().collect()} == {
         "a.com": 7, "e.com": 60}
@@ -143,9 +143,9 @@ def test_competitor_report(spark):
     one = got[0]
     assert len(one["top_keywords"]) == 20 and one["top_keywords"][0]["own_position"] == 8
     assert one["keyword_gaps"] == [f"k{i}" for i in range(15, 5, -1)]
-    assert one["suggested_action"] == "Build keyword gap content"
+    assert one["suggested_action"] == "fill_gaps"
     assert [(r["n_keywords"], r["n_gaps"]) for r in got] == [(25, 15), (0, 0), (0, 0), (25, 15), (0, 0), (0, 0)]
-    assert got[4]["top_keywords"] == [] and got[4]["suggested_action"] == "Monitor & maintain"
+    assert got[4]["top_keywords"] == [] and got[4]["suggested_action"] == "watch"
 
 
 def test_rivals_are_those_of_all_pairs(spark):
