@@ -96,8 +96,8 @@ def test_ranked_keywords(spark):
     a = rows.filter("target = 'a.com'").orderBy("at").collect()
     assert [r["priority"] for r in a] == ["High", "Medium", "Medium", "Low", "Low", "Low", "Low"]
     assert [r["suggested_action"] for r in a] == [
-        "protect", "improve", "Optimize CTA + internal links",
-        "refresh", "Refresh content + add schema",
+        "protect", "improve", "improve",
+        "refresh", "refresh",
         "support", "create"]
     assert a[0]["intent"] == "commercial" and a[1]["intent"] == "unknown"
     assert {r["target"]: r["count"] for r in rows.groupBy("target").count().collect()} == {
