@@ -162,6 +162,16 @@ class Prints:
                 out[owner] = f"{self.n[owner]}:{p}:{base64.b64encode(data).decode()}"
         return out
 
+    def taken(self, at: np.ndarray) -> Prints:
+        """The fingerprints of the texts with the given numbers, in that order."""
+        tables = {}
+        for p, (owners, *parts) in self.tables.items():
+            place = np.full(len(self.n), -1)
+            place[owners] = np.arange(len(owners))
+            new = np.flatnonzero(place[at] >= 0)
+            tables[p] = (new, *(x[place[at[new]]] for x in parts))
+        return Prints(self.n[at], self.power[at], tables)
+
     def folded(self, power: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts, keys and checks of all owners at a size; zeros for those whose own is smaller."""
         out = [np.zeros((len(self.n), 3 << power), kind) for kind in (np.int32, np.uint64, np.uint32)]
@@ -204,6 +214,18 @@ def likeness(a: Prints, b: Prints) -> np.ndarray:
     return np.where(total > 0, (total - apart) / np.maximum(total + apart, 1), 1.0)
 
 
+def prints_of_following(texts: list[str], follow: list[str]) -> tuple[Prints, Prints]:
+    """Fingerprints of texts and of the texts that follow them; one that follows as the very next text is read once."""
+    every, at = list(texts), []
+    for i, text in enumerate(follow):
+        known = i + 1 < len(texts) and text is texts[i + 1]
+        at.append(i + 1 if known else len(every))
+        if not known:
+            every.append(text)
+    prints = Prints.of(*paragraph_digests(every), len(every))
+    return prints.taken(np.arange(len(texts))), prints.taken(np.array(at, np.int64))
+
+
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(block, extra, doc_id, text): the documents by descending id in blocks, each block followed by the first
     document of the next one, and the last block by the first of all.
@@ -248,7 +270,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         def results() -> pa.RecordBatch:
             ids, texts, follow = zip(*group, strict=True)
             edited = [t[:len(t) - len(t) // 2] + f[:len(t) // 2] for t, f in zip(texts, follow, strict=True)]
-            own, new, after = (Prints.of(*paragraph_digests(x), len(ids)) for x in (texts, edited, follow))
+            own, after = prints_of_following(texts, follow)
+            new = Prints.of(*paragraph_digests(edited), len(ids))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(edited, pa.string()),
                  *(pa.array(x.texts(), pa.string()) for x in (own, new)), *(pa.array(likeness(own, x)) for x in (new, after))],
