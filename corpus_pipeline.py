@@ -29,7 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; of its repeated rows one stays.
 
-    Two texts belong together when 0.8 or more of their shingles of five words are common to both.
+    Two texts belong together when 0.8 or more of their shingles of five words are common to both.  The lattice of
+    op5's SimHash operator links them first, checked exactly; an exact search finds the pairs that it can't reach.
     """
     found = similar_texts(docs, words=5, percent=80).filter("doc_id IS NOT NULL")
     chosen = found.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("_least")).select(

@@ -6,11 +6,15 @@ apart have a lattice cell within one step of both; so each fingerprint is dealt
 off, and only fingerprints that share a cell with another one are looked at exactly.  The exact step is of the same
 kind on the bits themselves: words at one flipped bit, of which each has at most 65 fingerprints around it, and all
 of those differ in at most two bits.  No pairs are made, so groups of near copies cost no more than their members.
+
+For a wider radius the same is done in each of several equal parts: fingerprints that differ in at most 3 * parts - 1
+bits differ in at most two bits of some part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +32,13 @@ SEED = 42
 SEGMENT_BITS = 2
 
 
-def simhash(text: str | None) -> int:
+def simhash(text: str | None, words: int = SHINGLE) -> int:
     """The signed 64-bit fingerprint: a bit is set if it is set in over half the shingles' hashes."""
     own = text.encode().lower().split() if text else []  # bytes: A-Z only; ASCII white space only
     if not own:
         return 0
     digest = xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(own[i:] for i in range(SHINGLE)), strict=False)) if len(own) >= SHINGLE else [b" ".join(own)]
+    shingles = map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False)) if len(own) >= words else [b" ".join(own)]
     h = np.array([digest(s, SEED) for s in shingles], "<u8")
     counts = np.zeros(64, np.int64)
     for part in np.array_split(h, 1 + len(h) // 100_000):  # bounded memory for very long texts
@@ -61,30 +65,41 @@ def segment_counts(fp: Column, bits: int = SEGMENT_BITS) -> Column:
     return two if bits == 2 else two.bitwiseAND(pairs) + F.shiftrightunsigned(two, 2).bitwiseAND(pairs)
 
 
-def nearby_cells(point: Column, bits: int = SEGMENT_BITS) -> Column:
-    """The lattice cells at most one step from a point."""
+def nearby_cells(point: Column, bits: int = SEGMENT_BITS, places: range = range(64)) -> Column:
+    """The lattice cells at most one step from a point, in the segments of these places."""
     steps = []
-    for i in range(0, 64, bits):
+    for i in places[::bits]:
         value = F.shiftrightunsigned(point, i).bitwiseAND(F.lit((1 << bits) - 1))
         moved = lambda other: point.bitwiseXOR(F.shiftleft(value.bitwiseXOR(other), i))  # noqa: B023, E731
         steps += [F.when(value < bits, moved(value + 1)), F.when(value > 0, moved(value - 1))]
     return F.array_compact(F.array(point, *steps))
 
 
-def near_links(prints: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
-    """(u, v): links that join all fingerprints with two or fewer differing bits, directly or by others of them.
+def _long(bits: int) -> Column:
+    return F.lit(bits - (bits >> 63 << 64))
+
+
+def near_links(prints: DataFrame, bits: int = SEGMENT_BITS, parts: int = 1) -> DataFrame:
+    """(u, v): links that join all fingerprints with two or fewer differing bits in one of so many equal parts.
 
-    prints has the different fingerprints in the long column fp.
+    They do so directly or by others of them.  prints has the different fingerprints in the long column fp.
     """
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k)) for k in range(64)])
-    points = prints.select("fp", segment_counts(F.col("fp"), bits).alias("point"))
-    cells = points.select("fp", F.explode(nearby_cells(F.col("point"), bits)).alias("cell"))
+    width = 64 // parts
+    return reduce(DataFrame.union, [_part_links(prints, bits, range(i, i + width)) for i in range(0, 64, width)]).distinct()
+
+
+def _part_links(prints: DataFrame, bits: int, places: range) -> DataFrame:
+    """near_links by the bits of these places alone."""
+    own = F.col("fp") if len(places) == 64 else F.col("fp").bitwiseAND(_long(sum(1 << k for k in places)))
+    flips = F.array(own, *[own.bitwiseXOR(_long(1 << k)) for k in places])
+    points = prints.select("fp", segment_counts(own, bits).alias("point"))
+    cells = points.select("fp", F.explode(nearby_cells(F.col("point"), bits, places)).alias("cell"))
     cell = Window.partitionBy("cell")  # a fingerprint is in a cell once, so no cell holds more than 1 in 33 rows
     met = cells.select("fp", (F.min("fp").over(cell) < F.max("fp").over(cell)).alias("met")).filter("met")
     candidates = written(met.select("fp").distinct())
     words = candidates.select("fp", F.explode(flips).alias("word"))
     return (words.withColumn("least", F.min("fp").over(Window.partitionBy("word")))
-            .filter("least < fp").select(F.col("least").alias("u"), F.col("fp").alias("v")).distinct())
+            .filter("least < fp").select(F.col("least").alias("u"), F.col("fp").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = SEGMENT_BITS) -> DataFrame:

@@ -1,11 +1,13 @@
 """Near-duplicates by the Jaccard similarity of word shingles, exact: no pair above the bound is missed or guessed.
 
-Texts as similar as 0.8 have SimHash fingerprints about ten bits apart, where the lattice cells of `simhash` tell nothing
-apart.  Here each text's shingle hashes are put in one order that all texts share, the very common ones last.  Of two
+First the lattice of `simhash` links texts whose fingerprints differ in few bits, and an exact check of the sets follows.
+Texts as similar as 0.8 have fingerprints about ten bits apart, more than lattice cells can tell from chance, so the
+pairs that the lattice leaves are found by their shingles:
+each text's shingle hashes are put in one order that all texts share, the very common ones last.  Of two
 texts that are similar enough, the first part of each (a fifth, for 0.8) has a shingle in common, at places and
 sizes that leave room for the overlap.  Of these pairs, parity bits of the sets rule out most that are too far apart: a
 bit tells whether an even or odd number of a set's hashes fall on it, so no two sets differ in more bits than in
-members.  What is left is compared by whole sets.  First each text of a shingle meets one other; only texts that these
+members.  What is left is compared by whole sets.  Each text of a shingle meets one other first; only texts that these
 comparisons have not joined yet are then paired, so groups of near copies stay cheap.
 """
 
@@ -21,11 +23,14 @@ from pyspark.sql import functions as F
 
 from sitewright.llm.common import skew_safe_left_join, written
 from sitewright.llm.components import connected
+from sitewright.llm.simhash import near_links, simhash
 
 SEED = 42
 #: One text of so many is looked at for common shingles, which are put last; this changes work, not results.
 SAMPLE, COMMON, MOST_COMMON = 4, 3, 200_000
 STARS = 2
+#: Parts and segments of the fingerprints: those five or fewer bits apart are linked, and farther ones that agree in a half.
+PARTS, PART_SEGMENT_BITS = 2, 4
 #: Longs of parity bits of a set.
 LONGS = 8
 PARITY = [f"p{i}" for i in range(LONGS)]
@@ -144,23 +149,45 @@ def _similar_pairs(pairs: DataFrame, chosen: DataFrame, words: int, percent: int
     return written(pairs.join(of_v, "v").join(of_u, "u").select("u", "v", "a", "b").mapInArrow(exact, "u long, v long"))
 
 
+def fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:
+    """(u, v): pairs of different texts, by the hashes of their words, whose fingerprints are equal or linked by the lattice."""
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            found = {}
+            for x in batch.column(0):
+                text = x.as_py()
+                seq = sequence_hash(text)
+                if seq not in seen and seq not in found:
+                    found[seq] = simhash(text, words)
+            if len(seen) < 1_000_000:
+                seen.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["seq", "fp"])
+
+    rows = written(texts.mapInArrow(prints, "seq long, fp long").distinct())
+    first = written(rows.groupBy("fp").agg(F.min("seq").alias("first")))
+    same = rows.join(first, "fp").filter("first < seq").select(F.col("first").alias("u"), F.col("seq").alias("v"))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"of_{end}"))
+    near = near_links(first.select("fp"), PART_SEGMENT_BITS, PARTS).join(of("u"), "u").join(of("v"), "v")
+    return same.union(near.select(F.least("of_u", "of_v"), F.greatest("of_u", "of_v")))
+
+
 def similar_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, label) of every different text that another is similar to, over chains of similar pairs.
 
     texts has the column text.  id is the hash of the text's words, label the least id of the component.
     """
-    spark = texts.sparkSession
+    pairs = fingerprint_pairs(texts, words)
     shared = _shared(texts, words, percent)
     chosen = _wanted(texts, shared.select("seq").distinct(), words)
     # room for the overlap: at the first common shingle of a similar pair, it and what follows hold the whole overlap
     room = F.expr(f"least(n - pos, n_o - pos_o) * {100 + percent} >= {percent} * (n + n_o) AND n * 100 >= {percent} * n_o AND n_o * 100 >= {percent} * n")
     of = Window.partitionBy("h")
-    links, labels = spark.createDataFrame([], "u long, v long"), None
+    links = _similar_pairs(pairs, chosen, words, percent)  # a text that shares no first shingle is similar to none
+    labels = written(connected(links))
     for turn in range(STARS + 1):
-        open_rows = shared.withColumn("label", F.col("seq"))
-        if labels is not None:
-            open_rows = shared.join(labels.withColumnRenamed("id", "seq"), "seq", "left").withColumn("label", F.coalesce("label", "seq"))
-            open_rows = open_rows.withColumn("_open", F.min("label").over(of) < F.max("label").over(of)).filter("_open").drop("_open")
+        open_rows = shared.join(labels.withColumnRenamed("id", "seq"), "seq", "left").withColumn("label", F.coalesce("label", "seq"))
+        open_rows = open_rows.withColumn("_open", F.min("label").over(of) < F.max("label").over(of)).filter("_open").drop("_open")
         if turn < STARS:
             order = F.col("seq") if turn == 0 else F.xxhash64("h", "seq")
             star = F.min(F.struct(order.alias("o"), "seq", "n", "pos", "label")).over(of)

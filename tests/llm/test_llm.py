@@ -384,6 +384,46 @@ def test_near_dedup_finds_all_similar_texts(spark):
     assert kept == set(first.values()) and len(kept) < len(texts) - 10
 
 
+def test_near_links_in_halves(spark):
+    rng = np.random.default_rng(5)
+    prints = [int(x) for x in rng.integers(-2**63, 2**63 - 1, 150)] + [0, -1, -2**63]
+    for x in prints[:100]:
+        for _ in range(2):
+            flips = rng.choice(64, int(rng.integers(1, 9)), replace=False)
+            y = (x ^ sum(1 << int(b) for b in flips)) % 2**64
+            prints.append(y - (y >> 63 << 64))
+    prints = sorted(set(prints))
+    group = {x: x for x in prints}
+    for x in prints:
+        for y in prints:
+            apart = (x ^ y) % 2**64
+            if x < y and min((apart & 0xFFFFFFFF).bit_count(), (apart >> 32).bit_count()) <= 2 and group[x] != group[y]:
+                old, new = max(group[x], group[y]), min(group[x], group[y])
+                group = {k: new if g == old else g for k, g in group.items()}
+    for bits in (2, 4):
+        links = simhash.near_links(spark.createDataFrame([(x,) for x in prints], "fp long"), bits, parts=2)
+        assert {(r.id, r.label) for r in simhash.connected(links).collect()} == {(x, g) for x, g in group.items() if list(group.values()).count(g) > 1}
+
+
+def test_near_dedup_takes_the_lattice_first(spark, monkeypatch):
+    """With the search by shingles off, near fingerprints are still linked, and checked: equal ones of different sets stay apart."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+    copies = [" ".join([*base[:at], "new", *base[at + 1:]]) for at in range(50, 600, 50)]
+    often = " ".join(f"r{i}" for i in range(11)) + " "  # an odd number, so no bit is a tie
+    apart = [often * 300 + " ".join(f"{c}{i}" for i in range(40)) for c in "xy"]
+    assert simhash.simhash(apart[0], 5) == simhash.simhash(apart[1], 5)
+    texts = [" ".join(base), *copies, *apart, "another text that stands alone here"]
+    monkeypatch.setattr(similar_texts, "STARS", -1)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, list(enumerate(texts))), SMALL).collect()}
+    assert kept >= {0, 12, 13, 14} and len(kept) < 4 + len(copies) / 2
+    monkeypatch.undo()
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, list(enumerate(texts))), SMALL).collect()}
+    assert kept == {0, 12, 13, 14}
+
+
 def test_account_numbers_before_words(spark):
     number = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
     cases = [(f"{before}{n}{after}", n) for n in number for before in ("", "the latest, our greatest order test sample: ", "border\n")
