@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     """
     prints = written(fingerprints(docs, key, text))
     groups = written(prints.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
-    labels = written(connected(near_links(groups.select("fp"), bits)))
+    labels = connected(near_links(groups.select("fp"), bits))
     named = labels.join(groups, labels.id == groups.fp).groupBy("label").agg(F.count("*").alias("members"), F.min("least").alias("component"))
     inside = skew_safe_left_join(labels, written(named), "label", "members").select("id", "label", "component")
     table = groups.join(inside, groups.fp == inside.id, "left")

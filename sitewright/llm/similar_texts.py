@@ -7,8 +7,9 @@ each text's shingle hashes are put in one order that all texts share, the very c
 texts that are similar enough, the first part of each (a fifth, for 0.8) has a shingle in common, at places and
 sizes that leave room for the overlap.  Of these pairs, parity bits of the sets rule out most that are too far apart: a
 bit tells whether an even or odd number of a set's hashes fall on it, so no two sets differ in more bits than in
-members.  What is left is compared by whole sets.  Each text of a shingle meets one other first; only texts that these
-comparisons have not joined yet are then paired, so groups of near copies stay cheap.
+members.  What is left is compared by whole sets.  Each text of a shingle meets one other first, then of any two groups
+still apart the pair whose bits are most alike; only texts that these comparisons have not joined yet are then paired,
+so groups of near copies stay cheap.  From turn to turn only groups are joined, and links inside a group are not kept.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from sitewright.llm.simhash import near_links, simhash
 SEED = 42
 #: One text of so many is looked at for common shingles, which are put last; this changes work, not results.
 SAMPLE, COMMON, MOST_COMMON = 4, 3, 200_000
-STARS = 2
+#: Turns that compare few pairs, in proportion to the texts or to the groups still apart, before all others are compared.
+STARS = 3
 #: Parts and segments of the fingerprints: those five or fewer bits apart are linked, and farther ones that agree in a half.
 PARTS, PART_SEGMENT_BITS = 2, 4
 #: Longs of parity bits of a set.
@@ -62,10 +64,14 @@ def parity_bits(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(">i8").astype(np.int64)
 
 
+def _apart() -> Column:
+    """The number of differing parity bits of a pair, p and p_o."""
+    return sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_o"))) for p in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"{PARITY[0]}_o"))))
+
+
 def _near(percent: int) -> Column:
-    """The parity bits of a pair, p and p_o, leave it possible that the sets of n and n_o members are similar."""
-    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_o"))) for p in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"{PARITY[0]}_o"))))
-    return apart * (100 + percent) <= (F.col("n") + F.col("n_o")) * (100 - percent)
+    """The parity bits of a pair leave it possible that the sets of n and n_o members are similar."""
+    return _apart() * (100 + percent) <= (F.col("n") + F.col("n_o")) * (100 - percent)
 
 
 def _common_shingles(texts: DataFrame, words: int) -> np.ndarray:
@@ -132,21 +138,32 @@ def _wanted(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _similar_pairs(pairs: DataFrame, chosen: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole texts are similar; texts are sent, for they pack better than hashes, where bits don't decide."""
+    """Of the pairs (u, v, label_u, label_v), the different labels of those whose whole texts are similar, as (u, v).
+
+    Texts are sent, for they pack better than hashes, where bits don't decide.
+    """
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None  # pairs of one u mostly follow each other
         for batch in batches:
             kept = []
-            for u, a, b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+            for u, a, b in zip(*(batch.column(c) for c in ("u", "a", "b")), strict=True):
                 if u.as_py() != at:
                     at, own = u.as_py(), shingle_set(a.as_py(), words)
                 kept.append(similar(own, shingle_set(b.as_py(), words), percent))
-            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(["label_u", "label_v"]).filter(pa.array(kept, pa.bool_()))
 
     bits_u = chosen.select(F.col("seq").alias("u"), *[F.col(x).alias(f"{x}_o") for x in ("n", *PARITY)])
-    pairs = pairs.join(chosen.select(F.col("seq").alias("v"), "n", *PARITY), "v").join(bits_u, "u").filter(_near(percent)).select("u", "v")
+    pairs = pairs.join(chosen.select(F.col("seq").alias("v"), "n", *PARITY), "v").join(bits_u, "u").filter(_near(percent)).select("u", "v", "label_u", "label_v")
     of_u, of_v = chosen.select(F.col("seq").alias("u"), F.col("text").alias("a")), chosen.select(F.col("seq").alias("v"), F.col("text").alias("b"))
-    return written(pairs.join(of_v, "v").join(of_u, "u").select("u", "v", "a", "b").mapInArrow(exact, "u long, v long"))
+    found = pairs.join(of_v, "v").join(of_u, "u").select("u", "v", "label_u", "label_v", "a", "b").mapInArrow(exact, "u long, v long")
+    return written(found.distinct())
+
+
+def _joined(labels: DataFrame, joins: DataFrame) -> DataFrame:
+    """labels (id, label) with the labels that joins (id, label) puts together; an id without a label so far is its own."""
+    every = labels.union(joins.select("id", F.col("id").alias("label"))).distinct()
+    to = joins.select(F.col("id").alias("label"), F.col("label").alias("least"))
+    return written(every.join(to, "label", "left").select("id", F.coalesce("least", "label").alias("label")))
 
 
 def fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:
@@ -183,13 +200,14 @@ def similar_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
     # room for the overlap: at the first common shingle of a similar pair, it and what follows hold the whole overlap
     room = F.expr(f"least(n - pos, n_o - pos_o) * {100 + percent} >= {percent} * (n + n_o) AND n * 100 >= {percent} * n_o AND n_o * 100 >= {percent} * n")
     of = Window.partitionBy("h")
-    links = _similar_pairs(pairs, chosen, words, percent)  # a text that shares no first shingle is similar to none
-    labels = written(connected(links))
+    pairs = pairs.select("u", "v", F.col("u").alias("label_u"), F.col("v").alias("label_v"))
+    labels = connected(_similar_pairs(pairs, chosen, words, percent))  # a text that shares no first shingle is similar to none
     for turn in range(STARS + 1):
         open_rows = shared.join(labels.withColumnRenamed("id", "seq"), "seq", "left").withColumn("label", F.coalesce("label", "seq"))
         open_rows = open_rows.withColumn("_open", F.min("label").over(of) < F.max("label").over(of)).filter("_open").drop("_open")
-        if turn < STARS:
-            order = F.col("seq") if turn == 0 else F.xxhash64("h", "seq")
+        if turn < STARS - 1:
+            # a text with few rare shingles before the common one is likely in the middle of its group
+            order = F.col("pos") if turn == 0 else F.xxhash64("h", "seq")
             star = F.min(F.struct(order.alias("o"), "seq", "n", "pos", "label")).over(of)
             pairs = open_rows.withColumn("_s", star).select(
                 "*", *[F.col("_s")[c].alias(f"{c}_o") for c in ("seq", "n", "pos", "label")])
@@ -197,9 +215,13 @@ def similar_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
             open_rows = written(open_rows.join(chosen.select("seq", *PARITY), "seq"))
             other = open_rows.select("h", *[F.col(c).alias(f"{c}_o") for c in ("seq", "n", "pos", "label", *PARITY)])
             pairs = open_rows.join(other, "h").filter("seq_o < seq").filter(_near(percent))
-        pairs = pairs.filter("label <> label_o").filter(room).select(F.col("seq_o").alias("u"), F.col("seq").alias("v")).distinct()
-        links = links.union(_similar_pairs(pairs, chosen, words, percent))
-        labels = written(connected(links))
+        pairs = pairs.filter("label <> label_o").filter(room)
+        if turn == STARS - 1:  # of two groups the pair that looks most alike; what it joins needs no other pairs
+            alike = F.struct((_apart() / (F.col("n") + F.col("n_o"))).alias("apart"), "seq", "seq_o")
+            pairs = pairs.groupBy("label", "label_o").agg(F.min(alike).alias("_s")).select("label", "label_o", "_s.seq", "_s.seq_o")
+        pairs = pairs.select(
+            F.col("seq_o").alias("u"), F.col("seq").alias("v"), F.col("label_o").alias("label_u"), F.col("label").alias("label_v")).distinct()
+        labels = _joined(labels, connected(_similar_pairs(pairs, chosen, words, percent)))
     return labels
 
 

@@ -424,6 +424,42 @@ def test_near_dedup_takes_the_lattice_first(spark, monkeypatch):
     assert kept == {0, 12, 13, 14}
 
 
+def test_near_dedup_work_follows_the_texts(spark, monkeypatch):
+    """In a group of near copies, pairs and links of all turns after the lattice are fewer than texts; no turn takes up old links."""
+    rng = np.random.default_rng(1)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    texts = []
+    for _ in range(400):
+        own = list(base)
+        for at in rng.choice(300, int(rng.integers(1, 7)), replace=False):
+            own[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(own))
+    pairs, links = [], []
+    look, join = similar_texts._similar_pairs, similar_texts.connected
+    monkeypatch.setattr(similar_texts, "_similar_pairs", lambda p, *rest: (pairs.append(p.count()), look(p, *rest))[1])
+    monkeypatch.setattr(similar_texts, "connected", lambda edges: (links.append(edges.count()), join(edges))[1])
+    found = similar_texts.similar_texts(table(spark, list(enumerate(texts)))).collect()
+    assert len(found) == 400 and len({r.label for r in found}) == 1
+    assert sum(pairs[1:]) < 400 and sum(links[1:]) < 400
+
+
+def test_connected_over_odd_graphs(spark):
+    rng = np.random.default_rng(6)
+    ids = [int(x) for x in rng.permutation(300) * 7 - 1000]
+    path = list(zip(ids, ids[1:], strict=False))
+    star = [(10**6, 10**6 + i) for i in range(1, 200)]
+    loose = [tuple(int(y) for y in rng.integers(2 * 10**6, 2 * 10**6 + 150, 2)) for _ in range(90)]
+    odd = [(-2**63, 2**63 - 1), (2**63 - 1, -2**63), (5 * 10**6, 5 * 10**6), (0, 10**7), (0, 10**7)]
+    edges = [*path, *[(v, u) for u, v in star], *loose, *odd]
+    group = {x: x for e in edges for x in e}
+    for u, v in edges:
+        old, new = max(group[u], group[v]), min(group[u], group[v])
+        group = {k: new if g == old else g for k, g in group.items()}
+    found = simhash.connected(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {(r.id, r.label) for r in found} == set(group.items()) and len(found) == len(group)
+    assert simhash.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_account_numbers_before_words(spark):
     number = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
     cases = [(f"{before}{n}{after}", n) for n in number for before in ("", "the latest, our greatest order test sample: ", "border\n")
