@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this share of the rows; so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
+#: A written table of narrow rows has one file for so many of them, where their number is known.
+PART_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,12 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._llm_folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, at_most: int | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read again; lineage ends here, lost executors don't matter.
 
-    The folder goes when the driver's JVM ends.
+    The folder goes when the driver's JVM ends.  at_most: df has narrow rows, and not more than so many; then the files
+    grow with the rows instead of with the shuffle partitions.
     """
     spark = df.sparkSession
+    df = df if at_most is None else df.coalesce(1 + at_most // PART_ROWS)
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

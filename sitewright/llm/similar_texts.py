@@ -138,7 +138,7 @@ def _wanted(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _similar_pairs(pairs: DataFrame, chosen: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (u, v, label_u, label_v), the different labels of those whose whole texts are similar, as (u, v).
+    """Of the pairs (u, v, label_u, label_v), the labels of those whose whole texts are similar, as (u, v).
 
     Texts are sent, for they pack better than hashes, where bits don't decide.
     """
@@ -155,15 +155,14 @@ def _similar_pairs(pairs: DataFrame, chosen: DataFrame, words: int, percent: int
     bits_u = chosen.select(F.col("seq").alias("u"), *[F.col(x).alias(f"{x}_o") for x in ("n", *PARITY)])
     pairs = pairs.join(chosen.select(F.col("seq").alias("v"), "n", *PARITY), "v").join(bits_u, "u").filter(_near(percent)).select("u", "v", "label_u", "label_v")
     of_u, of_v = chosen.select(F.col("seq").alias("u"), F.col("text").alias("a")), chosen.select(F.col("seq").alias("v"), F.col("text").alias("b"))
-    found = pairs.join(of_v, "v").join(of_u, "u").select("u", "v", "label_u", "label_v", "a", "b").mapInArrow(exact, "u long, v long")
-    return written(found.distinct())
+    return pairs.join(of_v, "v").join(of_u, "u").select("u", "v", "label_u", "label_v", "a", "b").mapInArrow(exact, "u long, v long")
 
 
 def _joined(labels: DataFrame, joins: DataFrame) -> DataFrame:
     """labels (id, label) with the labels that joins (id, label) puts together; an id without a label so far is its own."""
     every = labels.union(joins.select("id", F.col("id").alias("label"))).distinct()
     to = joins.select(F.col("id").alias("label"), F.col("label").alias("least"))
-    return written(every.join(to, "label", "left").select("id", F.coalesce("least", "label").alias("label")))
+    return written(every.join(to, "label", "left").select("id", F.coalesce("least", "label").alias("label")), labels.count() + joins.count())
 
 
 def fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:

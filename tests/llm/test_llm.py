@@ -11,7 +11,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from sitewright.llm import automata, bpe, contamination, iblt, language_id, pii, quality_mil, queries, resharding, similar_texts, simhash, sparse_suffixes, sql
+from sitewright.llm import automata, bpe, common, components, contamination, iblt, language_id, pii, quality_mil, queries, resharding, similar_texts, simhash, sparse_suffixes, sql
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 RANKS = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
@@ -443,6 +443,26 @@ def test_near_dedup_work_follows_the_texts(spark, monkeypatch):
     assert sum(pairs[1:]) < 400 and sum(links[1:]) < 400
 
 
+def test_few_links_make_few_files_at_many_partitions(spark, monkeypatch):
+    before, files, write = spark.conf.get("spark.sql.shuffle.partitions"), [], components.written
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    monkeypatch.setattr(components, "written", lambda *a: (out := write(*a), files.append(len(out.inputFiles())))[0])
+    links = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 30], "u long, v long")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {(r.id, r.label) for r in components.connected(links).collect()}
+        monkeypatch.setattr(common, "PART_ROWS", 50)
+        assert {(r.id, r.label) for r in components.connected(links).collect()} == found
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found == {(i, (i - 1) // 30 * 30 + 1) for i in range(1, 301)}
+    second = len(files) // 2
+    assert max(files[1:second]) == 1 and max(files[second + 1:]) > 1  # each run's first table is the links themselves
+
+
 def test_connected_over_odd_graphs(spark):
     rng = np.random.default_rng(6)
     ids = [int(x) for x in rng.permutation(300) * 7 - 1000]
