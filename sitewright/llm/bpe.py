@@ -91,15 +91,16 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             number: dict[str, int] = {}
             codes_of = [[number.setdefault(t, len(number)) for t in pre_tokens(p)] for p in own]
             size = np.array([len(c) for c in codes_of], np.int64)
-            flat = np.array([c for codes in codes_of for c in codes], np.int64)
-            sequence = np.concatenate([np.zeros(0, np.int64), *lists])
-            codes = flat[_ragged((np.cumsum(size) - size)[sequence], size[sequence])]
+            flat = np.array([c for codes in codes_of for c in codes], np.int32)
+            start = np.cumsum(size) - size
+            of_docs = [flat[_ragged(start[own], size[own])] for own in lists]  # by document: arrays of a whole block are kept few and narrow
+            n_codes = np.array([len(x) for x in of_docs], np.int64)
+            codes = np.concatenate([np.zeros(0, np.int32), *of_docs])
+            of_docs.clear()
             uses = np.bincount(codes, minlength=len(number))
             order = np.argsort(-uses, kind="stable")  # frequent pre-tokens get small numbers, which pack better
-            rank = np.empty_like(order)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
-            ends = np.concatenate([[0], np.cumsum(size[sequence])])
-            n_codes = np.diff(ends[np.cumsum([0, *map(len, lists)])])
             names = list(number)
             words = [names[k].encode() for k in order.tolist()]
             bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
@@ -117,7 +118,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = split(value.as_py() or "")
                 ids.append(doc_id)
-                lists.append(np.array([pieces.setdefault(p, len(pieces)) for p in found], np.int64))
+                lists.append(np.array([pieces.setdefault(p, len(pieces)) for p in found], np.int32))
                 total += len(found) + 1
                 if total >= BLOCK_PIECES:
                     yield block()
