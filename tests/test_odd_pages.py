@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sitewright.operators.article_features import article_features
 from sitewright.operators.page_features import page_features
 
 SCHEMA = "page_id long, url string, html string"
@@ -39,7 +41,7 @@ def differing(spark, path: str, name: str) -> tuple[list, list]:
 
 
 @pytest.mark.parametrize("name", [
-    "competitor_report", "keyword_gaps", "own_and_competitor_keywords", "page_bigrams", "page_content", "page_headings",
+    "competitor_report", "keyword_gaps", "own_and_competitor_keywords", "page_article_counts", "page_bigrams", "page_content", "page_headings",
     "page_links", "page_nav_items", "page_title_keywords", "page_title_lines", "page_titles", "page_tokens", "ranked_keyword_rows",
     "site_facts", "site_rivals", "title_groups"])
 def test_cut_references_are_read_as_in_sql(spark, odd, name):
@@ -49,3 +51,5 @@ def test_cut_references_are_read_as_in_sql(spark, odd, name):
 def test_bare_references_are_characters_by_default(spark):
     df = spark.createDataFrame([(1, "https://a.com/x", page("a &quot"))], SCHEMA)
     assert [page_features(df, **o).first()["title"] for o in ({}, {"bare_references": False})] == ['a "', "a &quot"]
+    article = df.select(F.col("page_id").alias("article_id"), "url", "html")
+    assert [article_features(article, **o).first()["h1"] for o in ({}, {"bare_references": False})] == ['a "', "a &quot"]
