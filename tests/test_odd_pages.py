@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sitewright.operators.article_features import article_features
 from sitewright.operators.page_features import page_features
+from sitewright.operators.site import site_facts
 
 SCHEMA = "page_id long, url string, html string"
 CUT = ("&quot", "&quo", "&lt", "&gt", "&nbsp", "&amp", "&am", "&quot;", "&quot;&quot", "&lt;&gt", "&quots")
@@ -53,3 +54,25 @@ def test_bare_references_are_characters_by_default(spark):
     assert [page_features(df, **o).first()["title"] for o in ({}, {"bare_references": False})] == ['a "', "a &quot"]
     article = df.select(F.col("page_id").alias("article_id"), "url", "html")
     assert [article_features(article, **o).first()["h1"] for o in ({}, {"bare_references": False})] == ['a "', "a &quot"]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("repeated"))
+    urls = ("https://a.example.com/1", "https://a.example.com/1", "https://a.example.com/2", "https://b.example.com/1/2/3/4/5",
+            "https://b.example.com/1/2/3/4/5", "https://b.example.com/1")
+    rows = [(i, u, page(f"Title {i}")) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{path}/pages.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["site_facts", "site_scores", "site_summary", "discovered_urls"])
+def test_pages_of_one_url_count_as_in_sql(spark, repeated, name):
+    assert differing(spark, repeated, name) == ([], [])
+
+
+def test_the_operator_counts_different_urls(spark, repeated):
+    features = page_features(spark.read.parquet(f"{repeated}/pages.parquet"))
+    for given, counts in ((None, [(2, 0), (2, 1)]), (features.select("site", "url"), [(3, 0), (3, 2)])):
+        facts = site_facts(features, discovered=given).orderBy("site").collect()
+        assert [(r["n_discovered"], r["n_deep"]) for r in facts] == counts
